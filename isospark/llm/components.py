@@ -1,0 +1,39 @@
+"""Connected components of a link table, in Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from isospark.llm.common import stage
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of each node of `links` (a, b): component is the smallest node reachable.
+
+    Alternates large-star and small-star steps (Kiveris et al. 2014), each a written table, until
+    the links are stars around their smallest nodes. A node's links are aggregated to a minimum
+    before they are joined, so no group is gathered in a task.
+    """
+
+    def star(both: DataFrame) -> DataFrame:
+        """Links (u, v) become (v, m): m is the smallest of u and its neighbours."""
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return both.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
+
+    edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    while True:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = star(both).where("a > b")
+        # large-star keeps a node's link to the minimum only for larger neighbours; the node's own link comes with it
+        own = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").select(F.col("u").alias("a"), F.col("m").alias("b"))
+        joined = stage(large.unionByName(own).distinct())
+        down = joined.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        small = star(down.unionByName(down.select("u", F.col("u").alias("v")))).where("a > b")
+        after = stage(small.distinct())
+        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
+        edges = after
+        if not changed:
+            break
+    roots = edges.select(F.col("b").alias("node")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
