@@ -22,6 +22,8 @@ from isospark.llm.common import stage
 SAMPLE, MOST_LISTS, PER_LIST = 20_000, 1024, 400
 #: Lists that a query probes: this share of all, and this many at least.
 PROBE_SHARE, PROBE_LEAST = 0.35, 8
+#: Nearest lists that are searched first: what they give bounds what the other lists send.
+FIRST = 3
 #: Candidates and queries that a task holds against each other at a time.
 BLOCK, QUERIES = 4096, 512
 #: Columns a step reads, and the test's width: a larger one abandons fewer candidates by mistake.
@@ -122,7 +124,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
             if len(batch):
                 q = np.stack(batch["v"].to_list()) @ turn
                 near = np.argsort(-(q @ middles.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"q": batch["q"].repeat(probes), "v": batch["v"].repeat(probes), "list": near.ravel().astype(np.int32)})
+                yield pd.DataFrame({"q": batch["q"].repeat(probes), "v": batch["v"].repeat(probes), "list": near.ravel().astype(np.int32), "turn": np.tile(np.arange(probes, dtype=np.int32), len(q))})
 
     placed = stage(distinct.mapInPandas(place, "v array<double>, ids array<long>, list int"))
     blocks = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -130,9 +132,9 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     asked = rows.where(F.col("id") % every == 0)
     # equal queries are searched once; q names a query vector
     queries = stage(asked.groupBy("v").agg(F.min("id").alias("q")))
-    probing = queries.mapInPandas(probe, "q long, v array<double>, list int").join(F.broadcast(blocks), "list")
+    probing = queries.mapInPandas(probe, "q long, v array<double>, list int, turn int").join(F.broadcast(blocks), "list")
     query_blocks = int(max(1, np.ceil(queries.count() * probes / max(1, lists) / QUERIES)))
-    probing = probing.withColumn("qblock", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "qblock", "q", "v")
+    probing = probing.withColumn("qblock", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "qblock", "q", "v", "turn")
     candidates = candidates.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -148,11 +150,13 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
                 q_raw = np.stack(own["v"].to_list())
                 q = q_raw @ turn
                 head = min(len(raw), 8 * (k + 1))
-                bounds = np.full(len(q), -np.inf)
+                bounds = own["bound"].to_numpy(float)
                 if head > k:
-                    bounds = np.partition(q @ turned[:head].T, head - k - 1, axis=1)[:, head - k - 1]
-                for name, vector, alive in zip(own["q"], q_raw, scan_list(q, turned, bounds, k), strict=True):
+                    here = np.partition(q @ turned[:head].T, head - k - 1, axis=1)[:, head - k - 1]
+                    bounds = np.maximum(bounds, here - 1e-9 * (1 + np.abs(here)))
+                for name, vector, bound, alive in zip(own["q"], q_raw, own["bound"], scan_list(q, turned, bounds, k), strict=True):
                     exact = (raw[alive] * vector).sum(1)
+                    alive, exact = alive[exact >= bound], exact[exact >= bound]
                     best = np.argsort(-exact, kind="stable")[: k + 1]
                     edge = exact[best[-1]] if len(best) else 0.0
                     for at in np.flatnonzero(exact >= edge) if len(best) else ():
@@ -162,9 +166,18 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
         return found.astype({"q": "int64", "id": "int64", "score": "float64"})
 
     keys = ["list", "block", "qblock"]
-    found = probing.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(scan, "q long, id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = stage(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("q", "id", "score"))
+
+    def searched(asking: DataFrame) -> DataFrame:
+        found = asking.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(scan, "q long, id long, score double")
+        return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+
+    early = stage(searched(probing.where(F.col("turn") < FIRST).withColumn("bound", F.lit(float("-inf")))))
+    # what the first lists give k + 1 of is a bound for the others
+    bounds = early.where(F.col("n") == k + 1).select("q", F.col("score").alias("bound"))
+    later = probing.where(F.col("turn") >= FIRST).join(bounds, "q", "left").fillna(float("-inf"), "bound")
+    both = early.unionByName(searched(later)).select("q", "id", "score")
+    top = both.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     named = asked.join(queries, "v").select(F.col("id").alias("query_id"), "q")
     answers = named.join(top, "q").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
