@@ -1,4 +1,227 @@
 """The registered queries and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isospark.functions.schemas import NAMED, SINGLE
+from isospark.functions.staging import new_path, stage
+from isospark.operators import cluster, isotherms, materials, profile
+from isospark.plans import adapter
+from isospark.plans.adapter import table
+from isospark.sources import ingest, sinks
+
+def _single(spark: SparkSession, sf: str) -> DataFrame:
+    return isotherms.single_component(adapter.experiments(spark, sf))
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.select(*[F.array_join(c, ",").alias(c) if c == "adsorbates_name" else c for c in df.columns])
+
+
+def single_component(spark, sf):
+    return _joined(_single(spark, sf))
+
+
+def binary_mixture(spark, sf):
+    return isotherms.binary_mixture(adapter.experiments(spark, sf))
+
+
+def guest_cardinality(spark, sf):
+    return isotherms.guest_cardinality(adapter.experiments(spark, sf))
+
+
+def species_ids(spark, sf):
+    df = isotherms.with_species(adapter.experiments(spark, sf))
+    return df.select("filename", "adsorbent_id", "adsorbent_name", *[F.array_join(c, ",").alias(c) for c in ("adsorbates_id", "adsorbates_name")])
+
+
+def index_head_fraction(spark, sf):
+    """An index file of the orders, written and read as a landed one; each order's place in it is its ordinal."""
+    path = new_path(spark)
+    entries = F.sort_array(F.collect_list(F.struct("o_orderkey", F.concat(F.lit("order-"), "o_orderkey").alias("filename"))))
+    table(spark, sf, "orders").agg(F.to_json(entries).alias("value")).write.text(path)
+    index = ingest.read_index(spark, path, "filename STRING")
+    return ingest.head_fraction(index, 0.1)
+
+
+def detail_urls(spark, sf):
+    return ingest.detail_urls(table(spark, sf, "orders").selectExpr("concat('order-', o_orderkey) AS filename"), "filename", "https://example.org/isotherm/%s.json")
+
+
+def responses_parsed(spark, sf):
+    parsed, _ = ingest.parse_responses(adapter.responses(spark, sf), "k STRING")
+    return ingest.experiments_from_docs(parsed.select("doc")).groupBy("k").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def responses_rejected(spark, sf):
+    return ingest.parse_responses(adapter.responses(spark, sf), "k STRING")[1].select("ordinal", "status", "content_type", "reason")
+
+
+def host_names(spark, sf):
+    return ingest.host_names(ingest.parse_responses(adapter.named_documents(spark, sf), NAMED)[0])
+
+
+def guest_names(spark, sf):
+    return ingest.guest_names(ingest.parse_responses(adapter.named_documents(spark, sf), NAMED)[0])
+
+
+def guest_properties(spark, sf):
+    return materials.enrich_guests(table(spark, sf, "part").select(F.upper("p_name").alias("name")), adapter.registry(spark, sf))
+
+
+def csv_round_trip(spark, sf):
+    path = new_path(spark)
+    sinks.write_dataset(_single(spark, sf), path, "csv")
+    return _joined(ingest.read_dataset_csv(spark, path, SINGLE))
+
+
+def measurement_profile(spark, sf):
+    return profile.measurement_profile(_single(spark, sf))
+
+
+def null_counts(spark, sf):
+    return profile.null_counts(isotherms.exploded_single(adapter.experiments(spark, sf)))
+
+
+def distinct_units(spark, sf):
+    return profile.distinct_values(_single(spark, sf), "adsorptionUnits")
+
+
+def unit_report(spark, sf):
+    return profile.unit_report(_single(spark, sf))
+
+
+def valid_units(spark, sf):
+    return profile.filter_valid_units(_single(spark, sf)).select("filename", "point_idx", "adsorptionUnits", "adsorbed_amount")
+
+
+def invalid_measurements(spark, sf):
+    return profile.flag_invalid(_single(spark, sf)).where("neg_pressure or neg_uptake or bad_temperature").select("filename", "point_idx", "neg_pressure", "neg_uptake", "bad_temperature")
+
+
+def class_distribution_events(spark, sf):
+    return profile.class_distribution(table(spark, sf, "events"), "event_type")
+
+
+def class_distribution_langs(spark, sf):
+    return profile.class_distribution(table(spark, sf, "documents"), "lang")
+
+
+def box_stats(spark, sf):
+    return profile.box_stats(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"]).unionByName(profile.box_stats(table(spark, sf, "events"), ["value"]))
+
+
+def scatter_frame(spark, sf):
+    return profile.scatter_frame(table(spark, sf, "part"), "p_size", "p_retailprice")
+
+
+def scatter_bins(spark, sf):
+    return profile.scatter_frame(table(spark, sf, "part"), "p_size", "p_retailprice", (5.0, 100.0))
+
+
+def standardize(spark, sf):
+    scaled = cluster.standardize(adapter.user_features(spark, sf), ["n", "mean"])
+    return scaled.select("user_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("n", "mean")])
+
+
+def dbscan_labels(spark, sf):
+    scaled = stage(cluster.standardize(adapter.user_features(spark, sf), ["n", "mean"]))
+    return cluster.dbscan(scaled, "user_id", ["n", "mean"], 0.4, 4).select("user_id", "cluster")
+
+
+def dbscan_summary(spark, sf):
+    scaled = stage(cluster.standardize(adapter.user_features(spark, sf), ["n", "mean"]))
+    return cluster.cluster_summary(cluster.dbscan(scaled, "user_id", ["n", "mean"], 0.75, 5)).select("cluster", "rows")
+
+
+def description_prompts(spark, sf):
+    return materials.description_prompts(table(spark, sf, "part").select(F.col("p_name").alias("name")))
+
+
+_FUNCTIONS = (
+    single_component, binary_mixture, guest_cardinality, species_ids, index_head_fraction, detail_urls, responses_parsed, responses_rejected, host_names, guest_names,
+    guest_properties, csv_round_trip, measurement_profile, null_counts, distinct_units, unit_report, valid_units, invalid_measurements, class_distribution_events,
+    class_distribution_langs, box_stats, scatter_frame, scatter_bins, standardize, dbscan_labels, dbscan_summary, description_prompts,
+)
+QUERIES = {f.__name__: f for f in _FUNCTIONS}
+
+_UNITS = "['" + "', '".join(adapter.UNITS) + "']"
+_VALID = "('" + "', '".join(adapter.UNITS[:11]) + "')"
+_ORDERS = f"""flags AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS g, min(l_returnflag) AS f1, max(l_returnflag) AS f2 FROM lineitem GROUP BY 1),
+    experiments AS (SELECT o_orderkey, 'order-' || o_orderkey AS filename, (o_orderkey % 101)::DOUBLE - 1 AS temperature,
+        CASE WHEN o_custkey % 2 = 0 THEN 'bar' ELSE 'Pa' END AS "pressureUnits", ({_UNITS})[(o_custkey % 13 + 1)::INT] AS "adsorptionUnits",
+        coalesce(g, 0)::INT AS "numGuests", o_custkey::VARCHAR AS adsorbent_id, o_orderpriority AS adsorbent_name, f1, f2
+        FROM orders LEFT JOIN flags ON l_orderkey = o_orderkey),
+    points AS (SELECT e.*, (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS point_idx,
+        l_extendedprice / 1000 - 5 AS p, l_quantity AS q, l_tax, l_discount AS d, l_linenumber AS ln FROM experiments e JOIN lineitem ON l_orderkey = o_orderkey)"""
+_SINGLE = f"""{_ORDERS}, exploded AS (SELECT filename, temperature, "pressureUnits", "adsorptionUnits", "numGuests", adsorbent_name, 'gas ' || f1 AS adsorbates_name,
+        point_idx, p::FLOAT AS pressure, CASE WHEN l_tax <> 0 THEN q END::FLOAT AS adsorbed_amount, 1.0::DOUBLE AS composition FROM points WHERE "numGuests" = 1),
+    single AS (SELECT * FROM exploded WHERE adsorbed_amount IS NOT NULL)"""
+_FEATURES = """f AS (SELECT user_id, count(*)::DOUBLE AS n, avg(value) AS mean FROM events GROUP BY 1),
+    z AS (SELECT user_id, (n - (SELECT avg(n) FROM f)) / (SELECT stddev_pop(n) FROM f) AS x, (mean - (SELECT avg(mean) FROM f)) / (SELECT stddev_pop(mean) FROM f) AS y FROM f)"""
+
+
+def _dbscan(eps: float, least: int) -> str:
+    return f"""{_FEATURES}, near AS (SELECT a.user_id AS a, b.user_id AS b FROM z a, z b WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {eps}::DOUBLE ** 2),
+    core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= {least}),
+    linked AS (SELECT near.a, near.b FROM near JOIN core c ON c.a = near.a JOIN core d ON d.a = near.b),
+    reach AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b),
+    roots AS (SELECT a, min(b) AS root FROM reach GROUP BY 1),
+    numbered AS (SELECT a, dense_rank() OVER (ORDER BY root) - 1 AS k FROM roots),
+    labels AS (SELECT user_id, coalesce((SELECT min(k) FROM near JOIN numbered ON numbered.a = near.b WHERE near.a = user_id), -1)::INT AS cluster FROM z)"""
+
+
+def _box(name: str, source: str) -> str:
+    return f"""SELECT '{name}' AS "column", q1, median, q3, min(v) FILTER (ok) AS whisker_low, max(v) FILTER (ok) AS whisker_high, count(*) FILTER (NOT ok) AS outliers
+    FROM (SELECT {name} AS v, q[1] AS q1, q[2] AS median, q[3] AS q3, {name} BETWEEN q[1] - 1.5 * (q[3] - q[1]) AND q[3] + 1.5 * (q[3] - q[1]) AS ok
+          FROM {source}, (SELECT quantile_cont({name}, [0.25, 0.5, 0.75]) AS q FROM {source})) GROUP BY q1, median, q3"""
+
+
+_JSON = "status = 200 AND content_type LIKE 'application/json%'"
+_RESPONSES = """r AS (SELECT event_id AS ordinal, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END::INT AS status,
+    CASE WHEN event_id % 10 = 5 THEN 'text/html' ELSE 'application/json; charset=utf-8' END AS content_type, CASE WHEN event_id % 10 = 0 THEN substr(props, 1, 4) ELSE props END AS body FROM events)"""
+SQL = {
+    "single_component": f"WITH {_SINGLE} SELECT * FROM single",
+    "csv_round_trip": f"WITH {_SINGLE} SELECT * FROM single",
+    "binary_mixture": f"""WITH {_ORDERS} SELECT filename, temperature, "pressureUnits", "adsorptionUnits", "numGuests", adsorbent_name, 'gas ' || f1 AS compound_1, 'gas ' || f2 AS compound_2, point_idx,
+        (1 - d)::FLOAT AS compound_1_composition, CASE WHEN ln % 5 = 0 THEN 1.0 ELSE d + 0.0 END::FLOAT AS compound_2_composition, ((1 - d) * p)::FLOAT AS compound_1_pressure,
+        (CASE WHEN ln % 5 = 0 THEN 1.0 ELSE d + 0.0 END * p)::FLOAT AS compound_2_pressure, (q * (1 - d))::FLOAT AS compound_1_adsorption,
+        CASE WHEN ln % 5 = 0 THEN 1.0 ELSE q * d + 0.0 END::FLOAT AS compound_2_adsorption, ln % 5 = 0 AS compound_2_filled FROM points WHERE "numGuests" = 2""",
+    "guest_cardinality": f'WITH {_ORDERS} SELECT "numGuests", count(*) AS experiments FROM experiments GROUP BY 1',
+    "species_ids": f"""WITH {_ORDERS} SELECT filename, any_value(adsorbent_id) AS adsorbent_id, any_value(adsorbent_name) AS adsorbent_name,
+        coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS adsorbates_id, coalesce(string_agg(DISTINCT 'gas ' || l_returnflag, ',' ORDER BY 'gas ' || l_returnflag), '') AS adsorbates_name
+        FROM experiments LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY filename""",
+    "index_head_fraction": """SELECT ordinal, filename FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, 'order-' || o_orderkey AS filename FROM orders)
+        WHERE ordinal < ceil(0.1::DOUBLE * (SELECT count(*) FROM orders))""",
+    "detail_urls": "SELECT 'order-' || o_orderkey AS filename, 'https://example.org/isotherm/order-' || o_orderkey || '.json' AS url FROM orders",
+    "responses_parsed": f"WITH {_RESPONSES} SELECT k, count(*) AS documents FROM (SELECT json_extract_string(body, '$.k') AS k FROM r WHERE {_JSON} AND json_valid(body)) GROUP BY 1",
+    "responses_rejected": f"""WITH {_RESPONSES} SELECT ordinal, status, content_type, CASE WHEN status <> 200 THEN 'status' WHEN content_type NOT LIKE 'application/json%' THEN 'content_type' ELSE 'body' END AS reason
+        FROM r WHERE NOT ({_JSON} AND json_valid(body))""",
+    "host_names": "SELECT CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS name FROM supplier",
+    "guest_names": "SELECT CASE WHEN s_suppkey % 7 <> 0 THEN s_name ELSE '' END AS name FROM supplier",
+    "guest_properties": """WITH best AS (SELECT * FROM part WHERE p_name NOT LIKE '% ring' QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1)
+        SELECT upper(p.p_name) AS name, b.p_brand AS atoms, b.p_size AS heavy_atoms, b.p_type AS bonds, b.p_name AS elements, b.p_retailprice AS molecular_weight, b.p_brand AS molecular_formula,
+        b.p_type AS "SMILE", b.p_size AS "H_acceptors", b.p_size AS "H_donors" FROM part p LEFT JOIN best b ON lower(p.p_name) = lower(b.p_name)""",
+    "measurement_profile": f"""WITH {_SINGLE}, c AS (SELECT count(*) AS n, count(DISTINCT filename) AS e, count(*) FILTER (pressure < 0) AS a, count(*) FILTER (adsorbed_amount < 0) AS b, count(*) FILTER (temperature <= 0) AS t FROM single)
+        SELECT n AS measurements, e AS experiments, n // nullif(e, 0) AS avg_per_experiment, a AS neg_pressure, round(100.0::DOUBLE * a / nullif(n, 0), 2) AS neg_pressure_pct,
+        b AS neg_uptake, round(100.0::DOUBLE * b / nullif(n, 0), 2) AS neg_uptake_pct, t AS bad_temperature, round(100.0::DOUBLE * t / nullif(n, 0), 2) AS bad_temperature_pct FROM c""",
+    "null_counts": f"WITH {_SINGLE} "
+    + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) - count("{c}") AS nulls FROM exploded""" for c in ("filename", "temperature", "pressureUnits", "adsorptionUnits", "numGuests", "adsorbent_name", "adsorbates_name", "point_idx", "pressure", "adsorbed_amount", "composition")),
+    "distinct_units": f'WITH {_SINGLE} SELECT DISTINCT "adsorptionUnits" FROM single',
+    "unit_report": f"""WITH {_SINGLE} SELECT 11::INT AS valid_units, count(DISTINCT "adsorptionUnits") AS units_present, count(DISTINCT "adsorptionUnits") FILTER ("adsorptionUnits" NOT IN {_VALID}) AS invalid_units_present,
+        count(DISTINCT "adsorptionUnits") - 11 AS invalid_units_reported, count(*) FILTER ("adsorptionUnits" NOT IN {_VALID}) AS rows_removed, count(*) FILTER ("adsorptionUnits" IN {_VALID}) AS rows_kept FROM single""",
+    "valid_units": f'WITH {_SINGLE} SELECT filename, point_idx, "adsorptionUnits", adsorbed_amount FROM single WHERE "adsorptionUnits" IN {_VALID}',
+    "invalid_measurements": f"""WITH {_SINGLE} SELECT filename, point_idx, pressure < 0 AS neg_pressure, adsorbed_amount < 0 AS neg_uptake, temperature <= 0 AS bad_temperature FROM single
+        WHERE pressure < 0 OR adsorbed_amount < 0 OR temperature <= 0""",
+    "class_distribution_events": 'SELECT event_type AS "Class", count(*) AS "Counts" FROM events GROUP BY 1',
+    "class_distribution_langs": 'SELECT lang AS "Class", count(*) AS "Counts" FROM documents GROUP BY 1',
+    "box_stats": " UNION ALL ".join((_box("l_quantity", "lineitem"), _box("l_extendedprice", "lineitem"), _box("value", "events"))),
+    "scatter_frame": "SELECT p_size, p_retailprice FROM part",
+    "scatter_bins": "SELECT floor(p_size / 5.0::DOUBLE)::BIGINT AS x_bin, floor(p_retailprice / 100.0::DOUBLE)::BIGINT AS y_bin, count(*) AS n FROM part GROUP BY 1, 2",
+    "standardize": f"WITH {_FEATURES} SELECT user_id, round(x, 6) + 0.0 AS n, round(y, 6) + 0.0 AS mean FROM z",
+    "dbscan_labels": f"WITH RECURSIVE {_dbscan(0.4, 4)} SELECT user_id, cluster FROM labels",
+    "dbscan_summary": f"WITH RECURSIVE {_dbscan(0.75, 5)} SELECT cluster, count(*) AS rows FROM labels GROUP BY 1",
+    "description_prompts": "SELECT DISTINCT p_name AS name, 'Provide a brief description of ' || p_name || '.' AS prompt FROM part",
+}
