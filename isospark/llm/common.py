@@ -2,39 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="isospark-")
-    return _own_folders[app]
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
-
-    Cuts lineage: a lost executor costs no recomputation of what is before, and a table
-    that is used twice is made once.
-    """
-    path = f"{shared_folder(df.sparkSession)}/isospark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from isospark.functions.staging import stage  # noqa: F401  (used by the operators)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
