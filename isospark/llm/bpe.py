@@ -19,7 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from isospark.llm.common import bounded_batches
+from isospark.llm.common import bounded_batches, held
 from isospark.llm.pretokens import PATTERN, BoundedCache, chunk_text, pattern_chunks, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -128,14 +128,9 @@ class TreeBpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_loaded: dict[str, TreeBpe] = {}
-
-
 def _bpe(path: str) -> TreeBpe:
-    """One per Python worker, with what it has kept."""
-    if path not in _loaded:
-        _loaded[path] = TreeBpe(read_ranks(path))
-    return _loaded[path]
+    """One for each Python worker, with what it has kept."""
+    return held(("bpe", path), lambda: TreeBpe(read_ranks(path)))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 
 from isospark.functions.staging import stage  # noqa: F401  (used by the operators)
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What `make` gives, kept in a Python worker for its next tasks, alone: another key's goes, as workers outlive stages."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """For tasks that keep nothing: what an earlier stage kept goes."""
+    _held.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isospark.functions.graph import components
-from isospark.llm.common import bounded_batches, raw_texts, stage, texts_of
+from isospark.llm.common import bounded_batches, let_go, raw_texts, stage, texts_of
 
 SLOTS, BANDS, SHINGLE, LIKENESS = 64, 16, 5, 0.8
 _rng = np.random.default_rng(20_240_601)
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fingerprint) of each row of `docs`: 4 hex digits a slot. Null, empty and blank texts have no shingles and one fingerprint, all f."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([written(signature(shingle_hashes(t))) for t in raw_texts(batch.column(1))], pa.string())], names=["id", "fingerprint"])
 
@@ -102,6 +103,7 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, id_col: str =
     right = texts.select(F.col("id").alias("center"), F.col("text").alias("b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             keep = []
             for a, b in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3)), strict=True):
@@ -141,6 +143,7 @@ def compared_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         part, last, first = TaskContext.get().partitionId(), None, None
         for batch in batches:
             ids, out = batch.column(0), []
@@ -173,6 +176,7 @@ def compared_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = [x.split()[0] for x in _RESULT.split(", ")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             out = []
             for text, after in zip(texts_of(batch.column(1)), texts_of(batch.column(2)), strict=True):

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isospark.llm.common import bounded_batches, ranked, stage
+from isospark.llm.common import bounded_batches, held, ranked, stage
 from isospark.llm.pretokens import utf8, white_chunks
 
 VOCABULARY = "word_bpe_49k.json"
@@ -34,7 +34,7 @@ class WordIds:
     first, as the tokenizer does. Texts that may hold a special string are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,13 +60,9 @@ class WordIds:
             out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32).tobytes()
         return out
 
-_loaded: dict[str, WordIds] = {}
-
-
 def _ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    """One for each Python worker, with what it has kept."""
+    return held(("packing", path), lambda: WordIds(path))
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = 4096, end: int = END, vocabulary: str | None = None) -> DataFrame:

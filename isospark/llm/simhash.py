@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isospark.functions.graph import components
-from isospark.llm.common import bounded_batches, raw_texts, stage
+from isospark.llm.common import bounded_batches, let_go, raw_texts, stage
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 TILE = 2048
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) of each row of `docs`. Null, empty and blank texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found = np.array([fingerprint(t) for t in raw_texts(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
@@ -168,6 +169,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for same, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):

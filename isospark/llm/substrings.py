@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isospark.llm.common import bounded_batches, raw_texts, stage
+from isospark.llm.common import bounded_batches, let_go, raw_texts, stage
 
 WINDOW = 50
 #: A perfect difference set: each remainder modulo 31 but 0 is the difference of just one pair.
@@ -36,6 +36,7 @@ def words_table(rows: DataFrame, window: int) -> DataFrame:
     """(id, key, whole, n_words, sha) of each row (id, key, text); `whole` is 128 bits of the word sequence, null below `window` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             whole, n, sha = [], [], []
             for text in raw_texts(batch.column(2)):
@@ -58,6 +59,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     size = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             hashes, places, rows = [], [], []
             for i, text in enumerate(raw_texts(batch.column(1))):
@@ -81,6 +83,7 @@ def windows(found: DataFrame, window: int) -> DataFrame:
     size = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             data, rows, places = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, (text, ats) in enumerate(zip(raw_texts(batch.column(2)), batch.column(3), strict=True)):
@@ -110,6 +113,7 @@ def trimmed(found: DataFrame, window: int) -> DataFrame:
     """(id, key, n_removed, kept) of `found` (id, key, text, ats): windows that begin at `ats` go, `kept` are the other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             removed, kept = [], []
             for text, ats in zip(raw_texts(batch.column(2)), batch.column(3), strict=True):

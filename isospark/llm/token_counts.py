@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isospark.llm.common import bounded_batches
+from isospark.llm.common import bounded_batches, held
 from isospark.llm.pretokens import PATTERN, chunk_text, pattern_chunks, utf8
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -130,13 +130,9 @@ class RankMerger:
         return out
 
 
-_loaded: dict[str, RankMerger] = {}
-
-
 def _merger(path: str) -> RankMerger:
-    if path not in _loaded:
-        _loaded[path] = RankMerger(path)
-    return _loaded[path]
+    """One for each Python worker, with what it has kept."""
+    return held(("token_counts", path), lambda: RankMerger(path))
 
 
 def token_counts(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isospark.llm.common import bounded_batches, stage
+from isospark.llm.common import bounded_batches, let_go, stage
 from isospark.llm.pretokens import utf8
 
 BITS = 20
@@ -48,7 +48,7 @@ class Features:
         skips = w[:-2] * _C[2] + w[2:] * _C[1]
         mixed = np.concatenate([w, pairs, skips])
         mixed = (mixed ^ (mixed >> np.uint64(32))) * _C[0]
-        return np.unique((mixed >> np.uint64(64 - BITS)).astype(np.int64))
+        return np.unique((mixed >> np.uint64(64 - BITS)).astype(np.int32))
 
 
 def ftrl(rows: list[tuple[np.ndarray, float]], start: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
@@ -79,6 +79,7 @@ def learner(held, turn: int):
     """What a share does in a round: one pass over its rows, in an order drawn for the round, from the held weights."""
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         at, values, bias = held.value
         start = np.zeros(1 << BITS)
         start[at] = values
@@ -132,6 +133,7 @@ def scores(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc
     held = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights[at], bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         at, values, bias = held.value
         dense = np.zeros(1 << BITS)
         dense[at] = values
