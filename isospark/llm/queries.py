@@ -62,17 +62,17 @@ QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_nea
 SQL = {
     "op4_substring_dedup": r"""
         WITH words AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
         ), spots AS (
-            SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS at FROM words
+            SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS pos FROM words
         ), spans AS (
-            SELECT doc_id, at, array_to_string(w[at : at + 49], ' ') AS span FROM spots
+            SELECT doc_id, pos, array_to_string(w[pos : pos + 49], ' ') AS span FROM spots
         ), owned AS (
             SELECT span, min(doc_id) AS owner FROM spans GROUP BY span HAVING min(doc_id) < max(doc_id)
         ), gone AS (
-            SELECT doc_id, list(at) AS ats FROM spans JOIN owned USING (span) WHERE owner < doc_id GROUP BY doc_id
+            SELECT doc_id, list(pos) AS ats FROM spans JOIN owned USING (span) WHERE owner < doc_id GROUP BY doc_id
         ), covered AS (
-            SELECT DISTINCT doc_id, unnest(flatten(list_transform(ats, a -> range(a, a + 50)))) AS k FROM gone
+            SELECT DISTINCT doc_id, unnest(flatten(list_transform(ats, lambda a: range(a, a + 50)))) AS k FROM gone
         ), removed AS (
             SELECT doc_id, count(*) AS n, list(k) AS ks FROM covered GROUP BY doc_id
         ), left_over AS (
