@@ -130,6 +130,16 @@ def trimmed(found: DataFrame, window: int) -> DataFrame:
     return bounded_batches(found).mapInArrow(run, f"id {_kind(found)}, key long, n_removed long, kept string")
 
 
+def _owners(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, owner) of the keys that several ids of `rows` have, owner being the smallest.
+
+    A written table: joined back by a shuffle of its own, a key that very many rows have is
+    split by the skew join, which it isn't where the aggregation's shuffle serves the join too.
+    """
+    ids = rows.groupBy(*keys).agg(F.min("id").alias("owner"), F.max("id").alias("last"))
+    return stage(ids.where("owner < last").drop("last"))
+
+
 def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """What goes from `docs`, as two tables.
 
@@ -144,20 +154,20 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     base = stage(words_table(rows, window))
-    owners = base.where("whole is not null and id is not null").groupBy("whole").agg(F.min("id").alias("owner"))
-    marked = stage(base.join(owners, "whole", "left").select("id", "key", "n_words", "sha", F.coalesce(F.col("id") > F.col("owner"), F.lit(False)).alias("copy")))
+    owners = _owners(base.where("whole is not null and id is not null"), ["whole"])
+    marked = stage(base.hint("merge").join(owners, "whole", "left").select("id", "key", "n_words", "sha", F.coalesce(F.col("id") > F.col("owner"), F.lit(False)).alias("copy")))
 
     texts = rows.where("id is not null")
     places = anchors(texts.select("id", "text"), window)
-    shared = places.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    ats = places.join(shared, "anchor").groupBy("id").agg(F.collect_set("at").alias("ats"))
+    shared = _owners(places, ["anchor"]).select("anchor")
+    ats = places.hint("merge").join(shared, "anchor").groupBy("id").agg(F.collect_set("at").alias("ats"))
     # a copy adds no window that its owner, which is smaller, doesn't have
     only_copies = marked.groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id")
     found = stage(texts.join(ats.join(only_copies, "id", "left_anti"), "id"))
 
     spans = windows(found, window)
-    owned = spans.groupBy("w1", "w2").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").drop("last")
-    gone = spans.join(owned, ["w1", "w2"]).where("owner < id").groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+    owned = _owners(spans, ["w1", "w2"])
+    gone = spans.hint("merge").join(owned, ["w1", "w2"]).where("owner < id").groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
     lost = trimmed(found.drop("ats").join(gone, ["id", "key"]).select("id", "key", "text", "ats"), window)
     return marked, lost
 
