@@ -28,11 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Keep Arrow batches of long texts small: `rows` rows, or 32 MB if that is less."""
+def bounded_batches(df: DataFrame, rows: int = 512, megabytes: int = 32) -> DataFrame:
+    """Keep Arrow batches of long texts small: `rows` rows, or `megabytes` MB if that is less."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
     return df
 
 

@@ -87,7 +87,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 4096, end: int = END, voca
             lengths = pa.array([len(p) // 4 for p in pieces], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()), lengths, pa.array(totals, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    docs = bounded_batches(docs.select("doc_id", "text"), 2048)
+    docs = bounded_batches(docs.select("doc_id", "text"), 512, 8)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary")
 
 
