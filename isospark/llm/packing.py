@@ -23,7 +23,8 @@ from isospark.llm.pretokens import utf8, white_chunks
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-PER_BUCKET = 250_000
+#: Pieces of one length are dealt to this many buckets at least, to more where a bucket would have over so many pieces.
+LEAST_BUCKETS, PER_BUCKET = 64, 250_000
 
 
 class WordIds:
@@ -160,7 +161,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     rows = placements(plan_patterns(histogram, capacity), capacity)
     plan = spark.createDataFrame(rows, "_length long, _first long, _last long, _base long, offset long, padded_length long")
-    buckets = max(4, -(-sum(histogram.values()) // PER_BUCKET))
+    buckets = max(LEAST_BUCKETS, -(-sum(histogram.values()) // PER_BUCKET))
     placed = ranked(pieces, ["length"], buckets, "_rank").join(F.broadcast(plan), (F.col("length") == F.col("_length")) & F.col("_rank").between(F.col("_first"), F.col("_last")))
     sequence = (F.col("_base") + F.col("_rank") - F.col("_first")).alias("sequence_id")
     return placed.select(*pieces.columns, sequence, "offset", "padded_length")
