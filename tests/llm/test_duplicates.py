@@ -161,3 +161,22 @@ def test_minhash_near_duplicates(spark):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {10: 10, 11: 10, 12: 10, 3: 3, 4: 4, 5: 4}
     assert minhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_minhash_links_past_the_smallest(spark):
+    """A chain of texts, each near the next ones only, in random order of ids, beside texts that share bands but are not near."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(260)]
+    texts = [" ".join(words[4 * i : 4 * i + 160]) for i in range(25)] + [" ".join(words[:100] + [f"x{k}_{j}" for j in range(40)]) for k in range(12)] + [None, "", " "]
+    ids = rnd.sample(range(100, 1000), len(texts))
+    sets = [set(minhash.shingle_hashes((t or "").encode()).tolist()) for t in texts]
+    sigs = [minhash.signature(minhash.shingle_hashes((t or "").encode())).reshape(minhash.BANDS, -1) for t in texts]
+    near = [
+        (ids[i], ids[j]) for i in range(len(ids)) for j in range(i)
+        if (sigs[i] == sigs[j]).all(axis=1).any() and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    ]
+    want = plain_components(ids, near)
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()}
+    assert got == want
+    assert len(set(want.values())) < len(ids) - 15
