@@ -1,5 +1,8 @@
+from collections import Counter, defaultdict
+from itertools import combinations
+
 import corpus_pipeline
-from isospark.llm import packing, simhash, substrings, toxicity
+from isospark.llm import minhash, packing, simhash, substrings, toxicity
 from isospark.llm.common import table
 from tests.llm.helpers import edges
 
@@ -28,3 +31,25 @@ def test_each_stage_keeps_columns_and_survives_edges(spark, sf):
             assert out.schema.names == docs.schema.names
             assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         assert function(spark, docs.limit(0), sf).count() == 0
+
+
+def test_near_copies_have_recall(spark):
+    """All pairs of different texts of sf0.1 with a five-word Jaccard likeness of 0.8 or more, by brute force over shingles that fewer than 200 texts have."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    texts = list(dict.fromkeys(r["text"] or "" for r in docs.select("text").collect()))
+    sets = [set(minhash.shingle_hashes(t.encode()).tolist()) for t in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for h in s:
+            holders[h].append(i)
+    shared = Counter(pair for own in holders.values() if 1 < len(own) < 200 for pair in combinations(own, 2))
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    numbered = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    component = {r["doc_id"]: r["component"] for r in corpus_pipeline.near_copies(numbered).collect()}
+    assert len(pairs) >= 40
+    assert sum(component[a] == component[b] for a, b in pairs) >= 0.99 * len(pairs)
+    groups = defaultdict(list)
+    for i, c in component.items():
+        groups[c].append(i)
+    for own in groups.values():  # each one of a group is near another one, or all are blank
+        assert all(any(i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in own) for i in own if len(own) > 1)
