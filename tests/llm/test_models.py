@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from isospark.llm import ann, licenses, toxicity
 from isospark.llm.common import table
@@ -55,6 +56,20 @@ def test_neighbours_have_recall(spark):
     assert sum(got.values()) / (20 * len(want)) >= 0.9
 
 
+def test_neighbours_have_recall_where_lists_are_skipped(spark):
+    """Random unit vectors, the hardest for lists: 20,000 have 50 lists, far more than PROBE_LEAST."""
+    v = np.random.default_rng(1).standard_normal((20_000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    asked = np.arange(0, len(v), 20)
+    scores = v[asked] @ v.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = dict(zip(asked.tolist(), map(set, np.argpartition(-scores, 20, axis=1)[:, :20].tolist()), strict=True))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    rows = ann.search(frame).collect()
+    assert len(rows) == 20 * len(want)
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in rows) / len(rows) >= 0.9
+
+
 def test_neighbours_edges(spark):
     v = [1.0, 2.0, 0.5]
     data = [(i, v) for i in range(60)] + [(60, [1.0, 2.0, 0.4]), (61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 1.0]), (64, [1.0, float("nan"), 1.0]), (65, [float("inf"), 1.0, 1.0]), (66, [1.0]), (67, []), (None, v), (40, v)]
