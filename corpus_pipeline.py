@@ -31,12 +31,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id; of several rows with that id, the first by text. Null ids stay."""
+    """One document of each component of near copies: the one with the smallest id, and of that id's texts the one with the least hash. Null ids stay."""
     known = near_copies(docs).where("doc_id is not null")
-    least = known.groupBy("component").agg(F.min("doc_id").alias("_least"))
-    first = known.join(least, "component").groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("_least")).alias("_first")).where("_first")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    first = known.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(first.withColumnRenamed("key", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

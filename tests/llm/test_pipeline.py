@@ -4,7 +4,7 @@ from itertools import combinations
 import corpus_pipeline
 from isospark.llm import minhash, packing, simhash, substrings, toxicity
 from isospark.llm.common import table
-from tests.llm.helpers import edges
+from tests.llm.helpers import SCHEMA, edges
 
 
 def test_stages_on_documents(spark, sf):
@@ -53,3 +53,12 @@ def test_near_copies_have_recall(spark):
         groups[c].append(i)
     for own in groups.values():  # each one of a group is near another one, or all are blank
         assert all(any(i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in own) for i in own if len(own) > 1)
+
+
+def test_each_group_of_near_copies_keeps_one_document(spark, sf):
+    """Rows with one id and different texts are judged by their texts, not by the id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, c), (2, c + " end"), (3, None), (2, a), (None, b), (4, ""), (1, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
+    assert got == sorted([(False, 0, a), (False, 1, b), (False, 1, c + " more"), (False, 3, None), (True, None, b)])
