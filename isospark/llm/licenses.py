@@ -1,7 +1,7 @@
-"""Licence scans: ordered signature rules behind a keyword prefilter.
+"""Licence scans: ordered signature rules behind a prefilter of literals.
 
 Texts are brought to lower-case words with single spaces. A rule runs only on texts that hold
-its keyword. Where detections overlap, rules of a lower priority whose words lie within those
+a literal that each of its matches must hold. Where detections overlap, rules of a lower priority whose words lie within those
 of a higher one are suppressed, so "gnu lesser general public license" is not a plain GPL too.
 """
 
@@ -11,6 +11,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _constants, _parser
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 
 _LICENCE = r"licen[cs]e"
 _VERSION = r"(?: version)?"
-#: Fixed values: (label, keyword, patterns) of the signatures, the more special ones of a family first.
+#: Fixed values: (label, family, patterns) of the signatures, the more special ones of a family first.
 SIGNATURES = (
     ("agpl-3", "affero", (rf"gnu affero general public {_LICENCE}{_VERSION} 3(?: 0)?(?: or (?:any )?later)?", rf"affero general public {_LICENCE}", r"gnu agpl ?v?3?", r"agpl 3 0(?: only| or later)?")),
     ("agpl-1", "affero", (rf"affero general public {_LICENCE}{_VERSION} 1(?: 0)?",)),
@@ -158,16 +159,38 @@ SIGNATURES = (
 VAGUE = {"unknown", "copyright", "cc", "gpl", "lgpl", "apache", "bsd", "mpl", "epl"}
 
 
+def literals(pattern: str) -> tuple[str, ...]:
+    """Literals of which each match of `pattern`, with the spaces around it, holds one at least: the longest run, or one of each alternative."""
+
+    def needed(tree) -> tuple[str, ...]:
+        found, run = [], ""
+        for kind, value in [*tree, (None, None)]:
+            if kind is _constants.LITERAL:
+                run += chr(value)
+                continue
+            found.append((run,))
+            run = ""
+            if kind is _constants.SUBPATTERN:
+                found.append(needed(value[-1]))
+            elif kind is _constants.MAX_REPEAT and value[0] > 0:
+                found.append(needed(value[2]))
+            elif kind is _constants.BRANCH:
+                found.append(tuple(x for way in value[1] for x in needed(way)))
+        return max(found, key=lambda ways: min(map(len, ways)))
+
+    return needed(_parser.parse(f" {pattern} "))
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    gates: tuple[str, ...]
     pattern: re.Pattern
     priority: int
 
 
 #: One rule for each pattern; the first has the highest priority.
-RULES = [Rule(label, keyword, re.compile(f"(?<= ){p}(?= )"), -n) for n, (label, keyword, p) in enumerate((label, keyword, p) for label, keyword, ps in SIGNATURES for p in ps)]
+RULES = [Rule(label, literals(p), re.compile(f"(?<= ){p}(?= )"), -n) for n, (label, p) in enumerate((label, p) for label, _, ps in SIGNATURES for p in ps)]
 
 #: More characters than any pattern can match.
 REACH = 512
@@ -179,18 +202,20 @@ class Scanner:
 
     def __init__(self, rules: list[Rule] = RULES, base=BASE):
         self.base = [(f" {phrase} ".encode(), label) for phrase, label in base]
-        self.keywords = ahocorasick.Automaton()
-        by_keyword: dict[str, list[Rule]] = {}
+        self.gates = ahocorasick.Automaton()
+        by_gate: dict[str, list[Rule]] = {}
         for rule in rules:
-            by_keyword.setdefault(rule.keyword, []).append(rule)
-        for keyword, gated in by_keyword.items():
-            self.keywords.add_word(f" {keyword} ", gated)
-        self.keywords.make_automaton()
+            for gate in rule.gates:
+                by_gate.setdefault(gate, []).append(rule)
+        for gate, gated in by_gate.items():
+            self.gates.add_word(gate, gated)
+        self.gates.make_automaton()
 
     def detections(self, text: str) -> list[tuple[int, int, Rule]]:
         """(begin, end, rule) of what is left after suppression, of lower-case words with a space on each side."""
-        gated = {id(rules): rules for _, rules in self.keywords.iter(text)}
-        found = [(m.start(), m.end(), r) for rules in gated.values() for r in rules for m in r.pattern.finditer(text)]
+        gated = {id(rules): rules for _, rules in self.gates.iter(text)}
+        open_ = {r.priority: r for rules in gated.values() for r in rules}
+        found = [(m.start(), m.end(), r) for r in open_.values() for m in r.pattern.finditer(text)]
         found.sort(key=lambda d: (-d[2].priority, d[0], -d[1]))
         near: dict[int, list[tuple[int, int, Rule]]] = defaultdict(list)  # by begin // REACH; no detection is longer than REACH
         for begin, end, rule in found:

@@ -1,5 +1,8 @@
+import random
 import re
 from collections import Counter
+from dataclasses import replace
+from re import _parser
 
 import numpy as np
 import pandas as pd
@@ -107,3 +110,42 @@ def test_license_rules():
     assert labels("SPDX-License-Identifier: BSD-3-Clause") == {"bsd-3-clause"}
     assert labels("a permit for limited nothing") == set()
     assert scan("é under the MIT license".encode())[1] == [(1, "mit")]
+
+
+def example(tree, rnd):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            which, at = rnd.choice(value)
+            out += chr(at if str(which) == "LITERAL" else rnd.randint(*at))
+        elif name == "MAX_REPEAT":
+            out += "".join(example(value[2], rnd) for _ in range(rnd.randint(value[0], min(int(value[1]), value[0] + 2))))
+        elif name == "BRANCH":
+            out += example(rnd.choice(value[1]), rnd)
+        else:
+            assert name == "SUBPATTERN"
+            out += example(value[-1], rnd)
+    return out
+
+
+def test_license_gate_loses_no_match():
+    gated, ungated = licenses.Scanner(), licenses.Scanner([replace(r, gates=(" ",)) for r in licenses.RULES])
+    rnd = random.Random(4)
+    for _, _, patterns in licenses.SIGNATURES:
+        for p in patterns:
+            for _ in range(20):
+                text = example(_parser.parse(p), rnd)
+                assert re.fullmatch(p, text)
+                found = gated.scan(f"See: {text}.".encode())
+                assert found[2] and found == ungated.scan(f"See: {text}.".encode())
+    labels = lambda text: {m[2] for m in gated.scan(text.encode())[2]}
+    wanted = {
+        "GPLv2": "gpl-2", "gplv3": "gpl-3", "gpl3": "gpl-3", "AGPLv3": "agpl-3", "creativecommons.org/licenses/by-sa/4.0": "cc-by-sa", "FreeBSD license": "bsd-2-clause", "MS-PL": "ms-pl",
+        "SSPL-1.0": "sspl-1", "BUSL-1.1": "busl-1.1", "GFDL-1.3": "gfdl-1.3", "GNU FDL": "gfdl", "PSF license": "python-2", "Internet Systems Consortium license": "isc", "see the licence": "unknown",
+    }
+    for text, label in wanted.items():
+        assert labels(f"licensed under {text} here") - {"unknown"} == {label} - {"unknown"} and labels(text) == {label}
