@@ -38,11 +38,11 @@ def species_ids(spark, sf):
 
 
 def index_head_fraction(spark, sf):
-    """An index file of the orders, written and read as a landed one; each order's place in it is its ordinal."""
+    """An index of the orders, written and read as a landed one in JSON lines; each order's place by its key is its ordinal."""
     path = new_path(spark)
-    entries = F.sort_array(F.collect_list(F.struct("o_orderkey", F.concat(F.lit("order-"), "o_orderkey").alias("filename"))))
-    table(spark, sf, "orders").agg(F.to_json(entries).alias("value")).write.text(path)
-    index = ingest.read_index(spark, path, "filename STRING")
+    entries = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("order-"), "o_orderkey").alias("filename"))
+    ingest.numbered(entries, "o_orderkey").select("ordinal", "filename").write.json(path)
+    index = ingest.read_index_lines(spark, path, "filename STRING")
     return ingest.head_fraction(index, 0.1)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
 from isospark.functions.schemas import NULL_TEXTS
+from isospark.functions.staging import stage
 
 
 def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -16,6 +17,22 @@ def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.posexplode(F.from_json("value", kind))).select(F.col("pos").cast("long").alias("ordinal"), "col.*")
 
 
+def numbered(df: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
+    """`df` with a dense ordinal from 0 by `key`: ranges of keys are ranked each for itself, after the sizes of those before."""
+    dealt = stage(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    # one row for each range
+    before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_least"))
+    first = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return dealt.join(F.broadcast(first), "_part").select((F.col("_first") + rank).alias(ordinal), *df.columns)
+
+
+def read_index_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An index of any length, written as JSON lines with the `ordinal` of each record."""
+    return spark.read.schema(f"ordinal LONG, {schema}").json(path)
+
+
 def head_fraction(df: DataFrame, fraction: float, ordinal: str = "ordinal") -> DataFrame:
     """The first ceil(fraction * n) rows by a dense ordinal from 0: a pushed filter, no sort."""
     n = df.count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isospark.functions.schemas import EXPERIMENT, REGISTRY, RESPONSE, SINGLE
 from isospark.operators import cluster, isotherms, materials, profile
+from isospark.plans import registry
 from isospark.sources import ingest, sinks
 from isospark.streaming import ingest as streaming
 
@@ -99,3 +100,12 @@ def test_stream_gives_what_a_batch_gives(spark, golden, tmp_path):
     single, _ = streaming.measurements(streaming.response_stream(spark, src), EXPERIMENT)
     streaming.write_stream(single, out, mark).awaitTermination()
     assert spark.read.parquet(out).count() == isotherms.single_component(golden).count()
+
+
+def test_index_of_many_rows_is_numbered_by_ranges(spark):
+    df = spark.range(0, 3000, 3).withColumn("name", F.concat(F.lit("n"), "id")).repartition(5)
+    rows = ingest.numbered(df, "id").orderBy("id").collect()
+    assert [(r.ordinal, r.id, r.name) for r in rows] == [(i, 3 * i, f"n{3 * i}") for i in range(1000)]
+    assert ingest.numbered(df.limit(0), "id").count() == 0
+    plan = registry.index_head_fraction(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "FileScan json" in plan
