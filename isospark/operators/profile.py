@@ -1,13 +1,14 @@
-"""Data-quality reports; each is one scan."""
+"""Data-quality reports; each is one scan, but for exact quartiles."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isospark.functions.schemas import VALID_UPTAKE_UNITS
+from isospark.functions.staging import stage
 
 _BAD = {"neg_pressure": "pressure < 0", "neg_uptake": "adsorbed_amount < 0", "bad_temperature": "temperature <= 0"}
 
@@ -54,13 +55,35 @@ def class_distribution(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("Class")).agg(F.count(F.lit(1)).alias("Counts")).orderBy(F.desc("Counts"), "Class")
 
 
+def quantiles(df: DataFrame, col: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """One row, an array `q` of exact quantiles by linear interpolation; nulls don't count, NaN is largest. Null without values.
+
+    Equal values are counted, ranges of values are summed up each for itself, and the values at
+    the wanted ranks are picked: no task holds a column.
+    """
+    counted = df.select(F.col(col).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    dealt = stage(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("m"), F.min("v").alias("least"))
+    # one row for each range
+    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = dealt.join(F.broadcast(first), "part").select(F.col("v").cast("double").alias("v"), (F.col("first") + F.sum("n").over(own)).alias("end"), "n")
+    at = parts.agg(F.sum("m").alias("total")).select(F.posexplode(F.array(*map(F.lit, shares))).alias("i", "share"), "total").select("i", (F.col("share") * (F.col("total") - 1)).alias("at"))
+    holds = lambda rank: (rank < F.col("end")) & (rank >= F.col("end") - F.col("n"))
+    low, high = F.floor("at"), F.ceil("at")
+    found = ranks.join(F.broadcast(at), holds(low) | holds(high)).groupBy("i", "at").agg(F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
+    # one row for each share
+    return found.agg(F.sort_array(F.collect_list(F.struct("i", value.alias("x")))).alias("x")).select(F.when(F.size("x") > 0, F.col("x.x")).alias("q"))
+
+
 def box_stats(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:
     """Quartiles, whiskers (the last values within 1.5 interquartile ranges) and number of outliers of each column."""
-    quartiles = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)) if approximate else (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    q = df.agg(*[quartiles(F.col(c)).alias(c) for c in cols])
 
     def stats(c: str) -> DataFrame:
-        edges = q.select(F.col(c)[0].alias("q1"), F.col(c)[1].alias("median"), F.col(c)[2].alias("q3"))
+        q = df.agg(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias("q")) if approximate else quantiles(df, c)
+        edges = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
         step = (F.col("q3") - F.col("q1")) * 1.5
         inside = F.col(c).between(F.col("q1") - step, F.col("q3") + step)
         rows = df.select(c).where(F.col(c).isNotNull()).join(F.broadcast(edges))  # one row
