@@ -21,7 +21,7 @@ from isospark.llm.pretokens import utf8
 
 BITS = 20
 THRESHOLD = 0.3
-#: Labelled rows that a round learns from at most; more are sampled by a hash of their text.
+#: Labelled rows that a round learns from at most; more are sampled by a hash of their text, of equal rows as many as their part of all.
 MOST_ROWS = 32_000
 #: Rows of a share, about; rounds.
 PER_SHARE, ROUNDS = 8_000, 3
@@ -97,20 +97,35 @@ def learner(held, turn: int):
     return learn
 
 
+def sampled(labelled: DataFrame, part: float, shares: int) -> DataFrame:
+    """(text, label, share): a part of `labelled` (text, label), dealt to shares.
+
+    Equal rows are counted first: of n, n * part are kept, and a hash of the text decides on the
+    rest below one. The kept ones go to the shares in turn, so a text that very many rows have
+    is in its part of the sample, and in no share alone.
+    """
+    hashed = labelled.withColumn("h", F.xxhash64("text", F.lit(1)))
+    many = F.col("n") * F.lit(part)
+    lucky = (F.pmod(F.col("h"), F.lit(1 << 30)) < F.floor((many - F.floor(many)) * (1 << 30))).cast("long")
+    drawn = hashed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).select("h", "label", (F.floor(many) + lucky).alias("kept")).where("kept > 0")
+    # at most about as many rows as the sample
+    texts = hashed.join(F.broadcast(drawn), ["h", "label"]).groupBy("h", "label", "kept").agg(F.min("text").alias("text"))
+    copies = texts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kept") - 1)))
+    return copies.select("text", "label", F.pmod(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(shares)) + F.col("i"), F.lit(shares)).cast("int").alias("share"))
+
+
 def train(labelled: DataFrame, most_rows: int = MOST_ROWS, per_share: int = PER_SHARE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and bias from `labelled` (text, label 0 or 1); rows with a null label are left out.
 
-    Up to about `most_rows` rows are learned from, sampled by a hash of the text. They are dealt
-    to shares of about `per_share` rows, whose size and number are bounded however large the table
-    is. Without any rows
-    the weights are zero, so each score is 0.5.
+    Up to about `most_rows` rows are learned from, as `sampled` draws them. They are dealt to
+    shares of about `per_share` rows, whose size and number are bounded however large the table
+    is. Without any rows the weights are zero, so each score is 0.5.
     """
     spark = labelled.sparkSession
     labelled = labelled.where("label is not null").select("text", F.col("label").cast("double").alias("label"))
     known = labelled.count()
     part, shares = min(1.0, most_rows / max(1, known)), max(1, round(min(known, most_rows) / per_share))
-    sample = labelled.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < int(part * (1 << 30)))
-    sample = stage(sample.withColumn("share", F.pmod(F.xxhash64("text", F.lit(2)), F.lit(shares)).cast("int")))
+    sample = stage(sampled(labelled, part, shares))
     weights, bias = np.zeros(1 << BITS), 0.0
 
     for turn in range(rounds):

@@ -40,6 +40,17 @@ def test_toxicity_edges(spark):
     assert {r["score"] for r in rows_of(toxicity.toxicity(edges(spark), labels.limit(0)))} == {0.5}
 
 
+def test_toxicity_sample_is_bounded_with_copies(spark):
+    rows = [("the same text", 1.0)] * 1000 + [(f"text {i}", float(i % 2)) for i in range(2000)]
+    sample = rows_of(toxicity.sampled(spark.createDataFrame(rows, "text string, label double"), 0.1, 4))
+    assert 250 <= len(sample) <= 350 and sum(r["text"] == "the same text" for r in sample) in (100, 101)
+    assert max(Counter(r["share"] for r in sample).values()) <= 110
+    whole = rows_of(toxicity.sampled(spark.createDataFrame(rows, "text string, label double"), 1.0, 4))
+    assert Counter((r["text"], r["label"]) for r in whole) == Counter(rows)
+    nulls = spark.createDataFrame([(None, 1.0), (None, 1.0), ("", 0.0)], "text string, label double")
+    assert toxicity.sampled(nulls, 1.0, 1).count() == 3
+
+
 def brute(rows, k, every):
     out = {}
     for q, v in rows.items():
