@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -12,12 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isospark.llm.common import bounded_batches, held
+from isospark.llm.common import held, map_slices
 from isospark.llm.pretokens import PATTERN, chunk_text, pattern_chunks, utf8
 
 VOCABULARY = "byte_bpe_50k.json"
-NONE = np.iinfo(np.int64).max
-KEEP = 800_000  # chunks and matches kept between batches
+NONE = np.iinfo(np.int32).max
+#: Chunks and matches kept between batches, and how long they may be; bytes that are merged at a time, unless one match is longer.
+KEEP, LONGEST, MERGED = 600_000, 48, 1 << 19
 SLOTS = 20  # bits of the pair table, a few hundredths full
 
 
@@ -38,10 +40,10 @@ class RankMerger:
         pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in merges]
         self.size = len(vocab)
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.made = made
         self.slots = np.full(1 << SLOTS, -1, np.int64)
-        self.slot_rank = np.full(1 << SLOTS, NONE, np.int64)
+        self.slot_rank = np.full(1 << SLOTS, NONE, np.int32)
         for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
             while self.slots[slot] >= 0:
                 slot = (slot + 1) & ((1 << SLOTS) - 1)
@@ -50,7 +52,7 @@ class RankMerger:
         late = [r for r, (a, b) in enumerate(pairs) if max(born.get(vocab[a], -1), born.get(vocab[b], -1)) >= r]
         if late:
             raise ValueError("a merge comes before the merges of its parts; all places of a pair cannot be merged at once")
-        self.of_byte = np.array([vocab[c] for c in byte_letters()], np.int64)
+        self.of_byte = np.array([vocab[c] for c in byte_letters()], np.int32)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.matches: dict[str, int] = {}
         self.chunks: dict[str, int] = {}
@@ -61,7 +63,7 @@ class RankMerger:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where it has none, from an open-addressed table."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         slot = self._slot(keys)
         out = self.slot_rank[slot]
         open_ = np.flatnonzero(self.slots[slot] != keys)
@@ -83,16 +85,16 @@ class RankMerger:
         lengths = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         out = lengths.copy()
         symbols = self.of_byte[np.frombuffer(b"".join(pretokens), np.uint8)]
-        owner = np.repeat(np.arange(len(pretokens)), lengths)
+        owner = np.repeat(np.arange(len(pretokens), dtype=np.int32), lengths)
         while len(symbols) > 1:
-            ranks = np.append(np.where(owner[1:] == owner[:-1], self._ranks(symbols[:-1], symbols[1:]), NONE), NONE)
+            ranks = np.append(np.where(owner[1:] == owner[:-1], self._ranks(symbols[:-1], symbols[1:]), np.int32(NONE)), np.int32(NONE))
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             sizes = np.diff(np.append(starts, len(owner)))
             lowest = np.minimum.reduceat(ranks, starts)
             best = np.repeat(lowest, sizes)
             hit = (ranks == best) & (best != NONE)
             # of neighbouring hits (a pair of equal symbols that overlaps itself) every second one counts
-            index = np.arange(len(hit))
+            index = np.arange(len(hit), dtype=np.int32)
             run_start = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), index, 0))
             hit &= (index - run_start) % 2 == 0
             symbols = np.where(hit, self.made[np.where(hit, ranks, 0)], symbols)
@@ -103,30 +105,68 @@ class RankMerger:
             symbols, owner = symbols[going], owner[going]
         return out
 
-    def _match_counts(self, texts: list[str]) -> list[int]:
-        """Tokens of texts without special strings; the matches in them that are not known are counted all at once."""
-        found = [PATTERN.findall(t) for t in texts]
-        unseen = list({m for ms in found for m in ms if m not in self.matches})
-        self.matches.update(zip(unseen, self.count([m.encode() for m in unseen]).tolist(), strict=True))
-        return [sum(map(self.matches.__getitem__, ms)) for ms in found]
+    def _known(self, matches: list[str]) -> dict[str, int]:
+        """The counts of `matches`; those not seen before are merged in slices of at most MERGED bytes, or of one match."""
+        unseen = list({m for m in matches if m not in self.matches})
+        if not unseen:
+            return self.matches
+        counts: list[int] = []
+        part, size = [], 0
+        for data in map(str.encode, unseen):
+            if part and size + len(data) > MERGED:
+                counts += self.count(part).tolist()
+                part, size = [], 0
+            part.append(data)
+            size += len(data)
+        counts += self.count(part).tolist()
+        known = {m: self.matches[m] for m in matches if m in self.matches} | dict(zip(unseen, counts, strict=True))
+        if len(self.matches) > KEEP:
+            self.matches.clear()
+        self.matches.update((m, n) for m, n in zip(unseen, counts, strict=True) if len(m) <= LONGEST)
+        return known
+
+    def _text_counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text, which has no special strings. Texts are taken together up to a size, long ones in parts of their matches."""
+        out, waiting, size = [0] * len(texts), [], 0
+
+        def settle() -> None:
+            known = self._known([m for _, ms in waiting for m in ms])
+            for i, ms in waiting:
+                out[i] += sum(map(known.__getitem__, ms))
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            if len(text) > MERGED:
+                found = PATTERN.finditer(text)
+                while part := [m.group() for m in islice(found, 1 << 16)]:
+                    waiting.append((i, part))
+                    settle()
+                continue
+            waiting.append((i, PATTERN.findall(text)))
+            size += len(text)
+            if size > MERGED:
+                settle()
+                size = 0
+        settle()
+        return out
 
     def count_texts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; special strings inside a text are one token each."""
-        for known in (self.matches, self.chunks):
-            if len(known) > KEEP:
-                known.clear()
         texts = utf8(texts)
         chunks, uncut = pattern_chunks(texts)
+        if len(self.chunks) > KEEP:
+            self.chunks.clear()
         new = [c for c in chunks.unique if c not in self.chunks]
-        self.chunks.update(zip(new, self._match_counts(list(map(chunk_text, new))), strict=True))
-        out = chunks.sums(list(map(self.chunks.__getitem__, chunks.unique)))
+        own = dict(zip(new, self._text_counts(list(map(chunk_text, new))), strict=True))
+        self.chunks.update((c, n) for c, n in own.items() if len(c) <= LONGEST)
+        out = chunks.sums([own[c] if c in own else self.chunks[c] for c in chunks.unique])
         for s in self.special:
             uncut |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(uncut):
             parts = [texts[i].as_py()]
             for s in self.special:
                 parts = [y for x in parts for y in x.split(s)]
-            out[i] = len(parts) - 1 + sum(self._match_counts(parts))
+            out[i] = len(parts) - 1 + sum(self._text_counts(parts))
         return out
 
 
@@ -138,7 +178,10 @@ def _merger(path: str) -> RankMerger:
 def token_counts(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of each row of `docs`.
 
-    Null and empty texts have 0 bytes and tokens. Repeated rows and null ids stay as they are.
+    Null and empty texts have 0 bytes and tokens. Repeated rows and null ids stay as they are;
+    other columns are not read. An empty table gives an empty one. Texts of any length are
+    counted whole, in slices of MERGED bytes; only a single match (a run of letters, say) that
+    is longer is held at once.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
@@ -149,5 +192,5 @@ def token_counts(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    counted = bounded_batches(rows, 2048).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    counted = map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long", 2048, 16)
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
