@@ -17,13 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from isospark.llm.common import bounded_batches, held
+from isospark.llm.common import held, map_slices
 from isospark.llm.pretokens import PATTERN, BoundedCache, chunk_text, pattern_chunks, utf8
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-LEAF_BYTES, LEAF_TOKENS, SMALL = 12, 4096, 48
+#: Bytes of a leaf of the encoding tree, ids of a leaf of the decoding tree, bytes of an inner node that is kept.
+LEAF_BYTES, LEAF_IDS, KEPT_BYTES = 2, 1 << 16, 8
+SMALL = 48
 NONE = 1 << 62
 
 
@@ -39,10 +42,15 @@ class TreeBpe:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.reached = BoundedCache(lambda token: self.merge(token) == [self.ranks[token]], limit=1 << 17)
-        self.pairs = BoundedCache(lambda pair: self.merge(self.token[pair[0]] + self.token[pair[1]]), limit=1 << 19)
-        self.parts = BoundedCache(self._reduce, longest=LEAF_BYTES * 4)
-        self.matches = BoundedCache(lambda match: array("i", self.encode_match(match)).tobytes())
-        self.chunks = BoundedCache(lambda chunk: self.encode(chunk_text(chunk)), limit=600_000)
+        self.pairs: dict[tuple[int, int], list[int] | None] = {}
+        self.nodes: dict[bytes, list[int]] = {}
+        self.matches = BoundedCache(lambda match: array("i", self.encode_match(match)).tobytes(), limit=200_000)
+        self.chunks = BoundedCache(self._chunk, limit=600_000)
+        self.lengths = np.zeros(max(self.token, default=-1) + 1, np.int64)
+        for rank, token in self.token.items():
+            self.lengths[rank] = len(token)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.store = np.frombuffer(b"".join(self.token[r] for r in sorted(self.token)), np.uint8)
 
     def merge(self, data: bytes) -> list[int]:
         """The plain rule: merge the neighbours of the lowest rank, the first of equals, until none has a rank."""
@@ -80,37 +88,61 @@ class TreeBpe:
                 ranks[i] = get(parts[i] + parts[i + 1], NONE)
         return [self.ranks[p] for p in parts]
 
+    def pair(self, a: int, b: int) -> list[int] | None:
+        """The encoding of two tokens' joint bytes, None if that is the two."""
+        try:
+            return self.pairs[a, b]
+        except KeyError:
+            merged = self.merge(self.token[a] + self.token[b])
+            found = None if merged == [a, b] else merged
+            if len(self.pairs) >= 1 << 19:
+                self.pairs.clear()
+            self.pairs[a, b] = found
+            return found
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of the bytes of both."""
-        size = 1
+        """The encoding of the bytes of both: a window around the boundary is encoded anew and grows until its edges are stable."""
+        window, size = self.pair(left[-1], right[0]), 1
+        if window is None:
+            return left + right
         while True:
-            inside = left[-size:] + right[:size]
-            window = self.pairs[tuple(inside)] if len(inside) == 2 else self.merge(b"".join(map(self.token.__getitem__, inside)))
-            if (size >= len(left) or self.fits(left[-size - 1], window[0])) and (size >= len(right) or self.fits(window[-1], right[size])):
+            if (size >= len(left) or self.pair(left[-size - 1], window[0]) is None) and (size >= len(right) or self.pair(window[-1], right[size]) is None):
                 return left[:-size] + window + right[size:]
             size *= 2
-
-    def fits(self, a: int, b: int) -> bool:
-        """Whether two tokens are the encoding of their joint bytes."""
-        return self.pairs[a, b] == [a, b]
-
-    def _reduce(self, data: bytes) -> list[int]:
-        if data in self.ranks and self.reached[data]:
-            return [self.ranks[data]]
-        if len(data) <= LEAF_BYTES:
+            window = self.merge(b"".join(map(self.token.__getitem__, left[-size:] + right[:size])))
+
+    def reduce(self, data: bytes) -> list[int]:
+        """The encoding of `data`, up a tree of halves. A node that is a token ends its branch; short nodes are kept, as words share them."""
+        rank = self.ranks.get(data)
+        if rank is not None and self.reached[data]:
+            return [rank]
+        size = len(data)
+        if size <= LEAF_BYTES:
             return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.parts[data[:half]], self.parts[data[half:]])
+        found = self.nodes.get(data) if size <= KEPT_BYTES else None
+        if found is None:
+            half = size >> 1
+            found = self.join(self.reduce(data[:half]), self.reduce(data[half:]))
+            if size <= KEPT_BYTES:
+                if len(self.nodes) >= 400_000:
+                    self.nodes.clear()
+                self.nodes[data] = found
+        return found
 
     def encode_match(self, match: str) -> list[int]:
         """One match of the pattern; a match that is a token itself is that token."""
         data = match.encode()
-        return [self.ranks[data]] if data in self.ranks else self.parts[data]
+        rank = self.ranks.get(data)
+        return self.reduce(data) if rank is None else [rank]
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers."""
         return b"".join(map(self.matches.__getitem__, PATTERN.findall(text)))
 
+    def _chunk(self, chunk: str) -> bytes:
+        found = PATTERN.findall(chunk_text(chunk))
+        return array("i", self.encode_match(found[0])).tobytes() if len(found) == 1 else b"".join(map(self.matches.__getitem__, found))
+
     def encode_batch(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text."""
         texts = utf8(texts)
@@ -121,12 +153,24 @@ class TreeBpe:
             ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
 
-    def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= LEAF_TOKENS:
-            return b"".join(map(self.token.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of `ids`: leaves are gathered from the tokens' store, neighbours are concatenated up the tree."""
+        if len(ids) <= LEAF_IDS:
+            each = self.lengths[ids]
+            ends = np.cumsum(each)
+            return self.store[np.repeat(self.starts[ids] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
+    def decode_batch(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; a null list has none. KeyError for an id without token."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise KeyError("an id without token")
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        places = np.append(0, np.cumsum(self.lengths[ids]))[ends]
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(self.decode(ids))]).cast(pa.binary())
+
 
 def _bpe(path: str) -> TreeBpe:
     """One for each Python worker, with what it has kept."""
@@ -147,8 +191,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             ids = bpe.encode_batch(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
-    docs = bounded_batches(docs.select(id_col, text_col), 2048)
-    return docs.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    docs = docs.select(id_col, text_col)
+    return map_slices(docs, run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>", 2048, 16)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -158,8 +202,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for batch in batches:
-            data = [bpe.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=[id_col, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bpe.decode_batch(batch.column(1))], names=[id_col, "ids", "decoded"])
 
-    encoded = bounded_batches(encoded.select(id_col, ids_col))
-    return encoded.mapInArrow(run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary")
+    encoded = encoded.select(id_col, ids_col)
+    return map_slices(encoded, run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary", 2048, 16)

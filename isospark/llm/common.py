@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isospark.functions.staging import stage  # noqa: F401  (used by the operators)
 
 _held: dict = {}
+#: Ranks that one row gives at a time.
+RUN = 100_000
 
 
 def held(key, make):
@@ -28,12 +34,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(df: DataFrame, rows: int = 512, megabytes: int = 32) -> DataFrame:
-    """Keep Arrow batches of long texts small: `rows` rows, or `megabytes` MB if that is less."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
-    return df
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """About how many bytes of texts, binaries and lists each row has."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_list(column.type):
+            total += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        elif pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return total
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, megabytes: int = 32) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of at most `rows` rows and `megabytes` MB; a row that is larger is a slice of its own."""
+    for batch in batches:
+        ends, start = np.cumsum(_row_bytes(batch)), 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            fit = int(np.searchsorted(ends, before + (megabytes << 20), "right"))
+            end = min(start + rows, max(start + 1, fit))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def map_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 512, megabytes: int = 32) -> DataFrame:
+    """`df.mapInArrow(run, schema)` on bounded slices of batches; the session's settings are neither needed nor changed."""
+    return df.mapInArrow(lambda batches: run(slices(batches, rows, megabytes)), schema)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -48,11 +74,12 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def ranked(df: DataFrame, group: list[str], buckets: int, rank: str = "rank") -> DataFrame:
-    """Each row with a gapless rank from 0 in its group, without one task for a group.
+    """Each row with a gapless rank from 0 in its group, without one task for a group. `group` holds no nulls.
 
     Equal rows are counted first (a key that fills a third of the table is one row then) and
-    come back at the end. A group is dealt to `buckets` hash buckets; the buckets' sizes, a
-    table of at most groups x buckets rows, give where each one's ranks begin.
+    come back at the end, in runs of at most RUN ranks that are dealt out. A group is dealt to
+    `buckets` hash buckets; the buckets' sizes, a table of at most groups x buckets rows, give
+    where each one's ranks begin.
     """
     cols = df.columns
     counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int"))
@@ -62,4 +89,7 @@ def ranked(df: DataFrame, group: list[str], buckets: int, rank: str = "rank") ->
     inner = Window.partitionBy(*group, "_b").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_first") + F.coalesce(F.sum("_n").over(inner), F.lit(0))
     placed = counted.join(first, [*group, "_b"]).withColumn("_start", start)
-    return placed.select(*cols, F.explode(F.sequence("_start", F.col("_start") + F.col("_n") - 1)).alias(rank))
+    runs = placed.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {RUN}"))))
+    dealt = runs.repartition("_run", *cols)
+    low, high = F.col("_run") * RUN, F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1
+    return dealt.select(*cols, F.explode(F.sequence(F.col("_start") + low, F.col("_start") + high)).alias(rank))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isospark.llm.common import bounded_batches, raw_texts
+from isospark.llm.common import map_slices, raw_texts
 
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -275,7 +275,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, base array<struct<word:long,label:string>>, marks array<struct<first:long,last:long,label:string>>, score double"
-    return bounded_batches(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_slices(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def license_labels(docs: DataFrame) -> DataFrame:

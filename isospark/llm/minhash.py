@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isospark.functions.graph import components
-from isospark.llm.common import bounded_batches, let_go, ranked, raw_texts, stage, texts_of
+from isospark.llm.common import let_go, map_slices, ranked, raw_texts, stage, texts_of
 
 SLOTS, BANDS, SHINGLE, LIKENESS = 64, 16, 5, 0.8
 #: Parts that a band's bucket is dealt to when its classes are ranked.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([written(signature(shingle_hashes(t))) for t in raw_texts(batch.column(1))], pa.string())], names=["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return bounded_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
+    return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -101,7 +101,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], names=["a", "b"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return bounded_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), 256).mapInArrow(run, f"a {kind}, b {kind}")
+    return map_slices(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), run, f"a {kind}, b {kind}", 256)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +189,8 @@ def compared_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "last_text", "first_text"]
         return pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", *names])
 
-    ranged = bounded_batches(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text"), 256)
-    made = stage(ranged.mapInArrow(run, f"id {kind}, {_RESULT}, part int, last_text string, first_text string"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    made = stage(map_slices(ranged, run, f"id {kind}, {_RESULT}, part int, last_text string, first_text string", 256))
     ends = made.where("part is not null").select("id", "part", "last_text", "first_text")
     # one row for each partition of the range shuffle, not for each document
     chain = Window.orderBy("part")
@@ -209,5 +209,5 @@ def compared_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if out:
                 yield _batch(batch.column(0), out).select(["id", *names])
 
-    joints = bounded_batches(linked, 64).mapInArrow(finish, f"id {kind}, {_RESULT}")
+    joints = map_slices(linked, finish, f"id {kind}, {_RESULT}", 64)
     return made.where("part is null").select("id", *names).unionByName(joints).select(F.col("id").alias(id_col), *names)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isospark.functions.graph import components
-from isospark.llm.common import bounded_batches, let_go, raw_texts, stage
+from isospark.llm.common import let_go, map_slices, raw_texts, stage
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 TILE = 2048
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return bounded_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 class BitPlanes:
@@ -179,7 +179,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return bounded_batches(grouped.select((F.col("low") == F.col("high")).alias("same"), "left", "right"), 4096).mapInArrow(run, "a long, b long").distinct()
+    return map_slices(grouped.select((F.col("low") == F.col("high")).alias("same"), "left", "right"), run, "a long, b long", 4096).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isospark.llm.common import bounded_batches, let_go, stage
+from isospark.llm.common import let_go, map_slices, stage
 from isospark.llm.pretokens import utf8
 
 BITS = 20
@@ -158,7 +158,7 @@ def scores(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margins, -35, 35))), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return bounded_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):

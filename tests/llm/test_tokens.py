@@ -1,17 +1,21 @@
 import base64
 import hashlib
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as vocabularies
 import pyarrow as pa
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from isospark.llm import bpe, packing, sharding, token_counts
+from isospark.llm import bpe, common, packing, sharding, token_counts
 from isospark.llm.queries import op6_byte_bpe
 from tests.llm.helpers import documents, edges, empty, rows_of
 
@@ -29,7 +33,7 @@ def test_tokenizers_agree_with_their_libraries(texts):
     column = pa.array(texts, pa.string())
     encoded = TREE.encode_batch(column).to_pylist()
     assert encoded == [LIBRARY.encode_ordinary(t) for t in texts]
-    assert [TREE.decode(i) for i in encoded] == [t.encode() for t in texts]
+    assert TREE.decode_batch(pa.array(encoded, pa.list_(pa.int32()))).to_pylist() == [t.encode() for t in texts]
     assert MERGER.count_texts(column).tolist() == [len(COUNTS.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [np.frombuffer(i, np.int32).tolist() for i in IDS.encode(column)] == [WORDS.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -43,6 +47,60 @@ def test_tree_on_long_matches():
         assert TREE.encode(text) == np.array(LIBRARY.encode_ordinary(text), np.int32).tobytes()
 
 
+def test_words_go_up_the_tree(spark, sf):
+    """Of the matches that are no tokens, all over a leaf's size are joined from halves; the plain rule sees windows only."""
+    tree = bpe.TreeBpe(RANKS)
+    joins, merged = [], []
+    join, merge = tree.join, tree.merge
+    tree.join = lambda a, b: (joins.append(1), join(a, b))[1]
+    tree.merge = lambda data: (merged.append(len(data)), merge(data))[1]
+    words = {m for r in documents(spark, sf).select("text").collect() for m in bpe.PATTERN.findall(r["text"])}
+    long = [w.encode() for w in words if w.encode() not in RANKS and len(w.encode()) > bpe.LEAF_BYTES]
+    assert len(long) > 5000
+    assert all(tree.reduce(w) == merge(w) for w in long)
+    assert len(joins) >= len(long)
+    assert sum(merged) / len(merged) < 10
+
+
+def test_decoding_goes_up_the_tree():
+    ids = np.array(LIBRARY.encode_ordinary("of many words, " * 50_000), np.int32)
+    assert len(ids) > 2 * bpe.LEAF_IDS
+    assert TREE.decode(ids) == b"of many words, " * 50_000
+
+
+def test_long_texts_are_whole():
+    """Several MB, with and without white space."""
+    rnd = np.random.default_rng(1)
+    letters = "".join(np.array(list("abcdefghij0123456789+/"))[rnd.integers(0, 22, 3_000_000)])
+    for text in (letters, " ".join(letters[i : i + 9] for i in range(0, 2_000_000, 9))):
+        column = pa.array([text, "a b", text[:100_000]])
+        assert [np.frombuffer(i, np.int32).tolist() for i in IDS.encode(column)] == [WORDS.encode(t, add_special_tokens=False).ids for t in column.to_pylist()]
+        assert MERGER.count_texts(column).tolist() == [len(COUNTS.encode(t, add_special_tokens=False).ids) for t in column.to_pylist()]
+        ids = TREE.encode_batch(column)
+        assert ids.to_pylist()[2] == LIBRARY.encode_ordinary(text[:100_000])
+        assert TREE.decode_batch(ids).to_pylist() == [t.encode() for t in column.to_pylist()]
+
+
+MEMORY = """
+import base64, os, resource, sys
+import public_tokenizers, pyarrow as pa
+from isospark.llm import packing, token_counts
+made = token_counts.RankMerger(public_tokenizers.path(token_counts.VOCABULARY)).count_texts if sys.argv[1] == "counts" else packing.WordIds(public_tokenizers.path(packing.VOCABULARY)).encode
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1e3
+made(pa.array(["warm up"]))
+before = peak()
+made(pa.array([base64.b64encode(os.urandom(24_000_000)).decode()]))
+print(peak() - before)
+"""
+
+
+@pytest.mark.parametrize("what", ["counts", "ids"])
+def test_memory_is_bounded(what):
+    """32 MB of base64 in one text without white space."""
+    done = subprocess.run([sys.executable, "-c", MEMORY, what], capture_output=True, text=True, check=True, timeout=300, cwd=str(Path(__file__).resolve().parents[2]))
+    assert float(done.stdout.split()[-1]) < 600
+
+
 def test_bpe_query(spark, sf):
     want = Counter()
     for r in rows_of(documents(spark, sf).select("doc_id", "text")):
@@ -69,33 +127,66 @@ def test_token_counts(spark, sf):
     assert token_counts.token_counts(empty(spark)).count() == 0
 
 
+def check_packing(df, capacity):
+    rows = rows_of(packing.packed_documents(df, capacity))
+    ids = [(r["doc_id"], [*WORDS.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in df.select("doc_id", "text").collect()]
+    texts, copies = {}, Counter()
+    for d, x in ids:
+        texts.setdefault((d, len(x)), []).append(np.array(x, "<u4"))
+        copies[d, len(x)] += 1
+    covered = {k: np.zeros(k[1], int) for k in copies}
+    for r in rows:
+        k, span = (r["doc_id"], r["doc_tokens"]), slice(r["start"], r["start"] + r["length"])
+        assert r["length"] > 0 and any(zlib.crc32(x[span].tobytes()) == r["ids_crc32"] for x in texts[k])
+        covered[k][span] += 1
+    assert all((covered[k] == n).all() for k, n in copies.items())
+    places = defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"], r["padded_length"]))
+    used = 0
+    for spans in places.values():
+        at = 0
+        for offset, length, _ in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity and {p for _, _, p in spans} == {at if at & (at - 1) == 0 else capacity}
+        used += at
+    assert sorted(places) == list(range(len(places)))
+    assert len(places) <= -(-used // int(capacity * 0.985)) + 1
+
+
 def test_packing(spark, sf):
-    for df, capacity in ((documents(spark, sf), 4096), (edges(spark), 64)):
-        rows = rows_of(packing.packed_documents(df, capacity))
-        want = Counter()
-        for r in rows_of(df.select("doc_id", "text")):
-            ids = [*WORDS.encode(r["text"] or "", add_special_tokens=False).ids, 2]
-            for s in range(0, len(ids), capacity):
-                piece = ids[s : s + capacity]
-                want[r["doc_id"], s, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids)] += 1
-        assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == want
-        places = defaultdict(list)
-        for r in rows:
-            places[r["sequence_id"]].append((r["offset"], r["length"]))
-        used = 0
-        for spans in places.values():
-            at = 0
-            for offset, length in sorted(spans):
-                assert offset == at
-                at += length
-            assert at <= capacity
-            used += at
-        assert sorted(places) == list(range(len(places)))
-        if capacity == 4096:
-            assert used >= 0.97 * capacity * len(places)
+    check_packing(documents(spark, sf), 4096)
+    check_packing(edges(spark), 64)
+    check_packing(spark.createDataFrame([(i, "word " * 32) for i in range(200)], "doc_id long, text string"), 64)
     assert packing.packed_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [{100: 100_000}, {7: 10**6}, {2049: 1000}, {1366: 999}, {4096: 5}, 60, 150, 300, 3000])
+def test_packing_plan_has_little_padding(lengths):
+    if isinstance(lengths, int):
+        drawn = np.random.default_rng(0).lognormal(np.log(lengths), 1, 300_000).astype(int).clip(1, 4096)
+        lengths = dict(Counter(drawn.tolist()))
+    rows = packing.placements(packing.plan_patterns(lengths, 4096), 4096)
+    used = Counter()
+    for length, first, last, *_ in rows:
+        assert first == used[length]
+        used[length] = last + 1
+    assert used == Counter(lengths)
+    whole = max((base + (last - first) // each for _, first, last, each, base, _, stream, _ in rows if stream < 0), default=-1) + 1
+    loose = sum(n * (last - first + 1) for n, first, last, _, _, _, stream, _ in rows if stream >= 0)
+    assert sum(n * k for n, k in lengths.items()) >= 0.99 * 4096 * (whole + -(-loose // 4096) - 1)
+    assert len(rows) < 20_000
+
+
+def test_ranks_of_a_hot_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "RUN", 10)
+    df = spark.createDataFrame([(1, "a")] * 95 + [(1, "b")] * 2 + [(1, None)], "g int, x string")
+    rows = common.ranked(df, ["g"], 4).collect()
+    assert Counter((r["g"], r["x"]) for r in rows) == {(1, "a"): 95, (1, "b"): 2, (1, None): 1}
+    assert sorted(r["rank"] for r in rows) == list(range(98))
+
+
 def test_sharding(spark, sf):
     for df in (documents(spark, sf), edges(spark), edges(spark).union(edges(spark))):
         rows = rows_of(sharding.assign_shards(df))
