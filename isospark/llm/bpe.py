@@ -25,7 +25,7 @@ from isospark.llm.pretokens import PATTERN, BoundedCache, chunk_text, pattern_ch
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a leaf of the encoding tree, ids of a leaf of the decoding tree, bytes of an inner node that is kept.
-LEAF_BYTES, LEAF_IDS, KEPT_BYTES = 2, 1 << 16, 8
+LEAF_BYTES, LEAF_IDS, KEPT_BYTES = 2, 1 << 16, 6
 SMALL = 48
 NONE = 1 << 62
 
@@ -42,7 +42,7 @@ class TreeBpe:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.reached = BoundedCache(lambda token: self.merge(token) == [self.ranks[token]], limit=1 << 17)
-        self.pairs: dict[tuple[int, int], list[int] | None] = {}
+        self.pairs: dict[int, list[int] | None] = {}  # by first id * size + second id
         self.nodes: dict[bytes, list[int]] = {}
         self.matches = BoundedCache(lambda match: array("i", self.encode_match(match)).tobytes(), limit=200_000)
         self.chunks = BoundedCache(self._chunk, limit=600_000)
@@ -90,14 +90,15 @@ class TreeBpe:
 
     def pair(self, a: int, b: int) -> list[int] | None:
         """The encoding of two tokens' joint bytes, None if that is the two."""
+        key = a * len(self.lengths) + b
         try:
-            return self.pairs[a, b]
+            return self.pairs[key]
         except KeyError:
             merged = self.merge(self.token[a] + self.token[b])
             found = None if merged == [a, b] else merged
-            if len(self.pairs) >= 1 << 19:
+            if len(self.pairs) >= 400_000:
                 self.pairs.clear()
-            self.pairs[a, b] = found
+            self.pairs[key] = found
             return found
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -124,7 +125,7 @@ class TreeBpe:
             half = size >> 1
             found = self.join(self.reduce(data[:half]), self.reduce(data[half:]))
             if size <= KEPT_BYTES:
-                if len(self.nodes) >= 400_000:
+                if len(self.nodes) >= 200_000:
                     self.nodes.clear()
                 self.nodes[data] = found
         return found
@@ -206,3 +207,17 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
 
     encoded = encoded.select(id_col, ids_col)
     return map_slices(encoded, run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary", 2048, 16)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(id, ids, decoded) of each row of `docs`: `encode` and then `decode`, in one pass of one Python worker."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _bpe(path)
+        for batch in batches:
+            ids = bpe.encode_batch(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, bpe.decode_batch(ids)], names=[id_col, "ids", "decoded"])
+
+    docs = docs.select(id_col, text_col)
+    return map_slices(docs, run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary", 2048, 16)

@@ -30,7 +30,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"))
     written = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
