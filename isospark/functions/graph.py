@@ -21,7 +21,12 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         return both.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
 
+    def fingerprint(table: DataFrame) -> tuple:
+        """Number and two hashes of the links: equal for equal tables, without a shuffle."""
+        return tuple(table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+
     edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    last = fingerprint(edges)
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both).where("a > b")
@@ -31,9 +36,9 @@ def components(links: DataFrame) -> DataFrame:
         down = joined.select(F.col("a").alias("u"), F.col("b").alias("v"))
         small = star(down.unionByName(down.select("u", F.col("u").alias("v")))).where("a > b")
         after = stage(small.distinct())
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        edges, print_ = after, fingerprint(after)
+        if print_ == last:
             break
+        last = print_
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
