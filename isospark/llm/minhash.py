@@ -11,44 +11,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isospark.functions.graph import components
-from isospark.llm.common import let_go, map_slices, ranked, raw_texts, stage, texts_of
+from isospark.llm.common import let_go, map_slices, raw_texts, stage, texts_of
+from isospark.llm.groups import TILE, smallest_ids, verified_components
+from isospark.llm.shingles import LIKENESS, shingle_hashes
 
-SLOTS, BANDS, SHINGLE, LIKENESS = 64, 16, 5, 0.8
-#: Parts that a band's bucket is dealt to when its classes are ranked.
-BUCKETS = 64
+SLOTS, BANDS = 64, 16
 _rng = np.random.default_rng(20_240_601)
 _A = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
-_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _SHIFT = np.uint64(32)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word, from its first 8 bytes on."""
-    return pd.util.hash_array(np.array(words, object), categorize=len(words) > 200)
-
-
-def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the runs of `size` words, lower-cased A-Z; of all words where there are fewer; none where there are none."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = _word_hashes([x.decode("utf-8", "replace") for x in words])
-    size = min(size, len(w))
-    h = np.zeros(len(w) - size + 1, np.uint64)
-    for k in range(size):
-        h = h * _MIX[0] + w[k : len(w) - size + 1 + k]
-    h = (h ^ (h >> np.uint64(30))) * _MIX[1]
-    return h ^ (h >> np.uint64(27))
-
-
 def signature(hashes: np.ndarray) -> np.ndarray:
     """SLOTS minima, 16 bits of each; all ones for no shingles."""
     low = np.full(SLOTS, np.iinfo(np.uint32).max, np.uint64)
@@ -83,65 +61,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts in `rows` (id, text) have shingle sets of Jaccard likeness `threshold` or more."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+def _sharing_bands(marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs that have a band in common; a row of `marks` is a signature, a band a word."""
+    for s in range(0, len(left), 64):
+        some = left[s : s + 64]
+        x, y = np.nonzero((marks[some][:, None, :] == marks[right][None, :, :]).any(axis=2))
+        yield from zip(some[x].tolist(), right[y].tolist(), strict=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for batch in batches:
-            keep = []
-            for one, other in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3)), strict=True):
-                x, y = np.unique(shingle_hashes(one)), np.unique(shingle_hashes(other))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
-            found = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], names=["a", "b"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return map_slices(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), run, f"a {kind}, b {kind}", 256)
+def near_texts(texts: DataFrame, prints: DataFrame, threshold: float = LIKENESS, tile: int = TILE) -> DataFrame:
+    """(node, component) of the texts that verified links connect to another one.
+
+    `texts` (node long, text) has each node once, `prints` (node, mark binary) its signature.
+    Texts that share a band of their signatures are candidates, each linked to the smallest one
+    of the band's bucket; links are verified on the shingle sets. With 16 bands, two texts of
+    likeness 0.8 miss all buckets once in 5,000.
+    """
+    width = 2 * SLOTS // BANDS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.expr("mark").substr(b * width + 1, F.lit(width))))
+    banded = prints.select("node", F.explode(keys).alias("key"))
+    # a written table, joined by a shuffle of its own, so that the skew join can split a bucket
+    least = stage(banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a"))
+    near = banded.hint("merge").join(least, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    return verified_components(prints, texts, near, _sharing_bands, threshold, tile=tile)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """(id, component_id) of each row: the smallest id that verified links reach.
 
-    Rows with one fingerprint are one class. Classes that share a band are candidates; a link is
-    verified on the shingle sets. In each round, a band's bucket has some centers, and its other
-    classes are held against those that no link reaches yet; after it, the centers are through.
-    There is one center at first, then four times as many in each round, and a bucket leaves when
-    links connect all its classes. So a bucket of n near copies gives about n pairs, and no
-    candidate is left out. With 16 bands, two texts of likeness 0.8 miss all buckets once in
-    5,000. Null, empty and blank texts are one class; a class without an id links to none. Of
-    several texts with one id, the one with the least hash is verified.
+    A link is a pair of texts that share a band and whose sets of five-word shingles have a
+    Jaccard likeness of `threshold` or more. Equal texts are one. Null texts are empty ones, and
+    texts without words are like each other. Rows with a null id have their component's smallest
+    id, null where it has none. Texts of any length are read whole; an empty table gives an
+    empty one; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = stage(fingerprints(rows, "id").select("id", "fingerprint"))
-    classes = known.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    width = 4 * SLOTS // BANDS
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.substring("fingerprint", 1 + b * width, width).alias("part")) for b in range(BANDS)])
-    banded = classes.where("first is not null").select("first", F.inline(bands))
-    shared = banded.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    placed = stage(ranked(banded.join(shared, ["band", "part"]), ["band", "part"], BUCKETS))
-
-    waiting, links, begin, end = placed.withColumn("component", F.col("first")), None, 0, 1
-    while not waiting.isEmpty():
-        centers = waiting.where(F.col("rank").between(begin, end - 1)).select("band", "part", F.col("first").alias("center"), F.col("rank").alias("at"), F.col("component").alias("reached"))
-        met = waiting.join(centers, ["band", "part"]).where("rank > at and component != reached")
-        pairs = stage(met.select(F.greatest("first", "center").alias("a"), F.least("first", "center").alias("b")).distinct())
-        found = stage(_verified(pairs, rows, threshold))
-        links = found if links is None else links.unionByName(found)
-        roots = stage(components(links))
-        now = placed.join(roots, F.col("first") == F.col("node"), "left").select(*placed.columns, F.coalesce("component", "first").alias("component"))
-        left = now.groupBy("band", "part").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("rank").alias("last"))
-        left = left.where((F.col("least") < F.col("most")) & (F.col("last") > end)).select("band", "part")
-        waiting = stage(now.join(left, ["band", "part"], "left_semi"))
-        begin, end = end, 4 * end
-    if links is None:
-        return known.join(classes, "fingerprint").select(F.col("id").alias(id_col), F.col("first").alias("component_id"))
-    named = classes.join(roots, F.col("first") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "first").alias("component_id"))
-    return known.join(named, "fingerprint").select(F.col("id").alias(id_col), "component_id")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("node"))
+    texts = stage(rows.groupBy("node").agg(F.first("text").alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(shingle_hashes(t)).tobytes() for t in raw_texts(batch.column(1))], pa.binary())], names=["node", "mark"])
+
+    prints = stage(map_slices(texts, run, "node long, mark binary"))
+    known = rows.select("id", "node")
+    return known.join(smallest_ids(known, near_texts(texts, prints, threshold, tile)), "node").select(F.col("id").alias(id_col), "component_id")
 
 
 _RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -19,9 +19,16 @@ from pyspark.sql import functions as F
 
 from isospark.functions.graph import components
 from isospark.llm.common import let_go, map_slices, raw_texts, stage
+from isospark.llm.groups import TILE as TEXT_TILE
+from isospark.llm.groups import Forest, runs, smallest_ids, verified_components
+from isospark.llm.shingles import LIKENESS, mixed, shingle_hashes
+from isospark.llm.shingles import SHINGLE as SHINGLE_WORDS
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 TILE = 2048
+#: For likeness: 64-bit words of a fingerprint, standard deviations that a distance may be off, fingerprints of a bucket, chance that no bucket has a pair at the threshold.
+WORDS, WIDTH, BUCKET, MISSED = 4, 4.5, 512, 0.003
+_FACTORS = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB, 0xA0761D6478BD642F))
 _ONE = np.uint64(1)
 
 
@@ -56,33 +63,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BitPlanes:
-    """Fingerprints stored vertically, compared 64 at a time."""
+    """Fingerprints (n x words of 64 bits) stored vertically, compared 64 at a time."""
 
     def __init__(self, fps: np.ndarray):
-        self.n = len(fps)
+        self.n, self.bits = len(fps), 64 * fps.shape[1]
         words = -(-self.n // 64)
-        bits = np.zeros((words * 64, BITS), np.uint8)
-        bits[: self.n] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        lanes = np.packbits(bits.reshape(words, 64, BITS).transpose(2, 0, 1), axis=2, bitorder="little")
-        self.planes = np.ascontiguousarray(lanes).view(np.uint64).reshape(BITS, words)
+        bits = np.zeros((words * 64, self.bits), np.uint8)
+        bits[: self.n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, self.bits // 8), axis=1, bitorder="little")
+        lanes = np.packbits(bits.reshape(words, 64, self.bits).transpose(2, 0, 1), axis=2, bitorder="little")
+        self.planes = np.ascontiguousarray(lanes).view(np.uint64).reshape(self.bits, words)
         self.valid = np.full(words, ~np.uint64(0))
         if self.n % 64:
             self.valid[-1] = (_ONE << np.uint64(self.n % 64)) - _ONE
 
-    def within(self, queries: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-        """(query, word index) pairs' lanes as (index of query, index of fingerprint) within `radius`."""
+    def within(self, queries: np.ndarray, limits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (index of query, index of fingerprint) whose distance over the first p planes is at most r for each p: r of `limits`."""
         words = self.planes.shape[1]
         query, word = np.repeat(np.arange(len(queries)), words), np.tile(np.arange(words), len(queries))
-        width = int(radius).bit_length()
-        counters = np.zeros((width, len(query)), np.uint64)
+        counters = np.zeros((max(limits.values()).bit_length(), len(query)), np.uint64)
         over = ~self.valid[word]
-        for p in range(BITS):
-            carry = self.planes[p][word] ^ (np.uint64(0) - ((queries[query] >> np.uint64(p)) & _ONE))
+        for p in range(self.bits):
+            carry = self.planes[p][word] ^ (np.uint64(0) - ((queries[query, p >> 6] >> np.uint64(p & 63)) & _ONE))
             for c in counters:
                 carry, c[:] = carry & c, carry ^ c
             over |= carry
-            if p % 4 == 3:
-                over |= self._above(counters, radius)
+            if p + 1 in limits:
+                over |= self._above(counters, limits[p + 1])
                 alive = over != ~np.uint64(0)
                 if not alive.all():
                     query, word, over, counters = query[alive], word[alive], over[alive], counters[:, alive]
@@ -104,40 +110,35 @@ class BitPlanes:
                 equal = equal & ~counters[bit]
         return above
 
+    def pairs(self, queries: np.ndarray, limits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`within` for blocks of `queries`, so that memory is bounded."""
+        step = max(1, (1 << 16) // self.planes.shape[1])
+        for s in range(0, len(queries), step):
+            q, f = self.within(queries[s : s + step], limits)
+            yield q + s, f
 
-def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is within `radius`: of `left` alone, or from `left` to `right`.
 
-    At most one link for each fingerprint but one, instead of all pairs: a search from a
-    fingerprint takes those it has not reached yet.
+def exact_limits(radius: int = RADIUS, bits: int = BITS) -> dict[int, int]:
+    """A block is abandoned when all its distances exceed `radius`, looked at after every four planes."""
+    return dict.fromkeys(range(4, bits + 1, 4), radius)
+
+
+def spanning_links(left: np.ndarray, right: np.ndarray | None, limits: dict[int, int]) -> list[tuple[int, int]]:
+    """Links that connect what is within `limits`: of `left` alone, or from `left` to `right`, as indices of both one after the other.
+
+    At most one link for each fingerprint but one, instead of all pairs.
     """
-    both = left if right is None else np.concatenate([left, right])
-    planes = BitPlanes(both)
-    root = np.arange(len(both))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out: tuple[list, list] = ([], [])
-    sources = np.arange(len(left))
-    step = max(1, (1 << 16) // planes.planes.shape[1])
-    for s in range(0, len(sources), step):
-        q, f = planes.within(both[sources[s : s + step]], radius)
-        q = q + s
-        keep = f > q if right is None else f >= len(left)
-        for a, b in zip(q[keep].tolist(), f[keep].tolist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out[0].append(a)
-                out[1].append(b)
-    return both[out[0]], both[out[1]]
-
-
-def block_masks(n: int, radius: int = RADIUS) -> list[int]:
+    planes, forest = BitPlanes(left if right is None else right), Forest(len(left) + (0 if right is None else len(right)))
+    out = []
+    for q, f in planes.pairs(left, limits):
+        keep = f > q if right is None else slice(None)
+        for a, b in zip(q[keep].tolist(), (f[keep] + (0 if right is None else len(left))).tolist(), strict=True):
+            if forest.join(a, b):
+                out.append((a, b))
+    return out
+
+
+def block_masks(n: int, radius: int = RADIUS) -> list[list[int]]:
     """Bit masks of which two fingerprints within `radius` agree in at least one.
 
     The bits are cut into radius + k blocks; k of them are untouched by `radius` differences.
@@ -146,40 +147,45 @@ def block_masks(n: int, radius: int = RADIUS) -> list[int]:
     k = 1 if n < 1 << 20 else 2 if n < 1 << 27 else 3
     edges = [BITS * i // (radius + k) for i in range(radius + k + 1)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(x) for x in combinations(blocks, k)]
+    return [[sum(x)] for x in combinations(blocks, k)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b) of fingerprints that connect all those of `fps` (fp long, distinct) within `radius`.
+def links(nodes: DataFrame, masks: list[list[int]], limits: dict[int, int], tile: int = TILE) -> DataFrame:
+    """(a, b) that connect all of `nodes` (node long, fp array<long>) whose distance is within `limits` and that agree in one of `masks`.
 
     Buckets over `tile` are cut into tiles, and each pair of tiles is a task's own work: a tile
     goes to as many pairs as its bucket has tiles, so no task holds more than two tiles.
     """
-    masks = block_masks(fps.count(), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    keyed = fps.select("fp", F.inline(keys))
-    sizes = keyed.groupBy("m", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    placed = keyed.join(sizes, ["m", "key"]).select("m", "key", "fp", tiles.alias("t"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("i"))
+    signed = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in masks]
+    words = len(signed[0])
+    table = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(m).alias(f"m{w}") for w, m in enumerate(mask)]) for i, mask in enumerate(signed)])
+    keys = F.transform(table, lambda m: F.xxhash64(m["i"], *[F.get("fp", F.lit(w)).bitwiseAND(m[f"m{w}"]) for w in range(words)]))
+    keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
+    # buckets over a tile: at most a row for each `tile` rows of the buckets
+    large = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("t")))
+    placed = keyed.join(large, "key", "left").withColumn("t", F.coalesce("t", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
     paired = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    low, high = F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high")
-    grouped = paired.groupBy("m", "key", low, high).agg(
-        F.collect_list(F.when(F.col("i") <= F.col("j"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("i") > F.col("j"), F.col("fp"))).alias("right"), F.first("t").alias("t")
-    )
+    sorted_ = paired.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") > F.col("j")).cast("int").alias("side"), "node", "fp").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batches:
-            a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for same, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                left, right = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (left, right))
-                x, y = spanning_links(left, None if same else right, radius)
-                a.append(x)
-                b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
-
-    return map_slices(grouped.select((F.col("low") == F.col("high")).alias("same"), "left", "right"), run, "a long, b long", 4096).distinct()
+        for rows, cuts in runs(batches, 3):
+            side, node, low, high = (rows[c].to_numpy() for c in ("side", "node", "low", "high"))
+            fps = rows["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(node), words)
+            found: list[tuple[int, int]] = []
+            for start, end in cuts:
+                at = np.arange(start, end)
+                if low[start] == high[start]:
+                    left, right = at, at[:0]
+                else:
+                    left, right = at[side[at] == 0], at[side[at] == 1]
+                if len(at) > 1 and len(left) and (len(right) or low[start] == high[start]):
+                    order = np.concatenate([left, right])
+                    found += [(order[x], order[y]) for x, y in spanning_links(fps[left], fps[right] if len(right) else None, limits)]
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[ends[:, k]]) for k in (0, 1)], names=["a", "b"])
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -188,12 +194,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that links of at most `radius` differing bits reach, itself
     included. Copies share a fingerprint and are one node, whatever their number. Blank and null
     texts have fingerprint zero, which links like any other. Rows with a null id keep their
-    place and have their component's smallest id, which is null where all its ids are.
+    place and have their component's smallest id, which is null where all its ids are. Repeated
+    rows and rows of one id stay each for itself; texts of any length are read whole; an empty
+    table gives an empty one; other columns are not read.
+    """
+    known = stage(fingerprints(docs, id_col, text_col)).withColumnRenamed("fp", "node")
+    nodes = stage(known.select("node").distinct())
+    found = components(links(nodes.withColumn("fp", F.array("node")), block_masks(nodes.count(), radius), exact_limits(radius)))
+    labels = smallest_ids(known, found)
+    return known.join(labels, "node").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS x 64 bits of a set of shingle hashes: each is 1 where it is set in over half of them. Zero for none."""
+    out = np.zeros(WORDS, np.uint64)
+    hashes = np.unique(hashes)
+    for w, factor in enumerate(_FACTORS):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            part = mixed(hashes[i : i + (1 << 16)] + factor, factor)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def flip_chance(threshold: float) -> float:
+    """The chance that a bit differs for sets of equal size and Jaccard likeness `threshold`: their angle by a half turn."""
+    return float(np.arccos(2 * threshold / (1 + threshold)) / np.pi)
+
+
+def likeness_limits(threshold: float, width: float = WIDTH) -> dict[int, int]:
+    """How far two fingerprints may differ after so many planes: what likeness `threshold` gives, and `width` standard deviations more."""
+    q = flip_chance(threshold)
+    return {p: int(q * p + width * np.sqrt(q * (1 - q) * p)) for p in range(32, 64 * WORDS + 1, 16)}
+
+
+def drawn_masks(n: int, threshold: float, bucket: int = BUCKET, missed: float = MISSED) -> list[list[int]]:
+    """Masks of as many random bits as give `n` unlike fingerprints buckets of about `bucket`, and so many masks that texts of likeness `threshold` agree in none with a chance of about `missed`."""
+    k = max(6, int(np.ceil(np.log2(max(1, n / bucket)))))
+    count = int(np.ceil(np.log(missed) / np.log(1 - (1 - flip_chance(threshold)) ** k)))
+    rng = np.random.default_rng(11)
+    out = []
+    for _ in range(count):
+        mask = [0] * WORDS
+        for bit in rng.choice(64 * WORDS, k, replace=False).tolist():
+            mask[bit >> 6] |= 1 << (bit & 63)
+        out.append(mask)
+    return out
+
+
+def near_texts(texts: DataFrame, threshold: float = LIKENESS, size: int = SHINGLE_WORDS, tile: int = TEXT_TILE) -> DataFrame:
+    """(node, component) of each row of `texts` (node long, each once, text): texts whose sets of `size`-word shingles have a Jaccard likeness of `threshold` or more are linked.
+
+    A fingerprint of WORDS x 64 bits, as many SimHashes with own seeds, gives the candidates: by
+    bucket of random bits, with bit planes, abandoned where a distance is beyond what the
+    likeness explains. Candidates are verified on the shingle sets, so no unlike texts are
+    linked; a pair at the threshold itself is missed with a chance of about a hundredth. Null,
+    empty and blank texts have no shingles and are like each other. Any length is read whole.
     """
-    known = stage(fingerprints(docs, id_col, text_col))
-    nodes = known.groupBy("fp").agg(F.min("id").alias("first"))
-    found = stage(components(links(nodes.select("fp"), radius)))
-    roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = roots.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = stage(roots.join(least, "component").select("fp", "component_id"))
-    return known.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            found = np.array([wide_fingerprint(shingle_hashes(t, size)) for t in raw_texts(batch.column(1))], np.uint64).reshape(-1, WORDS)
+            ends = pa.array(np.arange(len(found) + 1) * WORDS, pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(found.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "fp", "mark"])
+
+    limits = likeness_limits(threshold)
+
+    def candidates(marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        planes = BitPlanes(marks[right])
+        for q, f in planes.pairs(marks[left], limits):
+            yield from zip(left[q].tolist(), right[f].tolist(), strict=True)
+
+    prints = stage(map_slices(texts.select("node", "text"), run, "node long, fp array<long>, mark binary"))
+    near = stage(links(prints.select("node", "fp"), drawn_masks(prints.count(), threshold), limits))
+    found = verified_components(prints.select("node", "mark"), texts, near, candidates, threshold, size, tile)
+    return prints.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -9,6 +9,7 @@ import xxhash
 
 from isospark.functions.graph import components
 from isospark.llm import minhash, simhash, substrings
+from isospark.llm.shingles import shingle_hashes
 from tests.llm.helpers import documents, edges, empty, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,13 +64,14 @@ def test_bit_planes_and_tiles(spark):
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base] + [base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (5, 40), dtype=np.uint64)) for _ in range(4)]))
     wanted = {(i, j) for i, a in enumerate(fps.tolist()) for j, b in enumerate(fps.tolist()) if (a ^ b).bit_count() <= 4}
-    q, f = simhash.BitPlanes(fps).within(fps)
+    limits = simhash.exact_limits()
+    q, f = simhash.BitPlanes(fps[:, None]).within(fps[:, None], limits)
     assert set(zip(q.tolist(), f.tolist(), strict=True)) == wanted
-    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    table = spark.createDataFrame([(int(x), [int(x)]) for x in fps.view(np.int64)], "node long, fp array<long>")
     signed = fps.view(np.int64).tolist()
     want = plain_components(signed, [(signed[i], signed[j]) for i, j in wanted])
     for tile in (2048, 3):
-        got = {r["node"]: r["component"] for r in components(simhash.links(table, tile=tile)).collect()}
+        got = {r["node"]: r["component"] for r in components(simhash.links(table, simhash.block_masks(len(fps)), limits, tile)).collect()}
         assert {n: got.get(n, n) for n in signed} == want
 
 
@@ -78,7 +80,7 @@ def test_masks_cover_all_small_differences(n):
     masks, rnd = simhash.block_masks(n), random.Random(3)
     for _ in range(2000):
         difference = sum(1 << b for b in rnd.sample(range(64), 4))
-        assert any(not m & difference for m in masks)
+        assert any(not m & difference for m, in masks)
 
 
 def test_components(spark):
@@ -139,7 +141,7 @@ def test_minhash_rows(spark, sf):
         for r, after in zip(order, order[1:] + order[:1], strict=True):
             n = len(r["text"])
             new = r["text"][: n - n // 3] + after["text"][: n // 3]
-            own, other, nxt = (minhash.signature(minhash.shingle_hashes(t.encode())) for t in (r["text"], new, after["text"]))
+            own, other, nxt = (minhash.signature(shingle_hashes(t.encode())) for t in (r["text"], new, after["text"]))
             want[r["doc_id"], n, hashlib.sha256(new.encode()).hexdigest(), minhash.written(own), minhash.written(other), float((own == other).mean()), float((own == nxt).mean())] += 1
         assert Counter(tuple(r) for r in minhash.compared_to_next(df).collect()) == want
     assert minhash.compared_to_next(empty(spark)).count() == 0
@@ -150,7 +152,7 @@ def test_minhash_estimates_jaccard():
     for share in (0.2, 0.5, 0.8):
         a = [f"w{rnd.random()}" for _ in range(2000)]
         b = a[: int(2000 * share)] + [f"v{rnd.random()}" for _ in range(2000 - int(2000 * share))]
-        x, y = (minhash.shingle_hashes(" ".join(t).encode()) for t in (a, b))
+        x, y = (shingle_hashes(" ".join(t).encode()) for t in (a, b))
         true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
         assert abs(minhash.likeness(minhash.signature(x), minhash.signature(y)) - true) < 0.2
 
@@ -163,20 +165,66 @@ def test_minhash_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_minhash_links_past_the_smallest(spark):
-    """A chain of texts, each near the next ones only, in random order of ids, beside texts that share bands but are not near."""
-    rnd = random.Random(5)
-    words = [f"w{i}" for i in range(260)]
-    texts = [" ".join(words[4 * i : 4 * i + 160]) for i in range(25)] + [" ".join(words[:100] + [f"x{k}_{j}" for j in range(40)]) for k in range(12)] + [None, "", " "]
-    ids = rnd.sample(range(100, 1000), len(texts))
-    sets = [set(minhash.shingle_hashes((t or "").encode()).tolist()) for t in texts]
-    sigs = [minhash.signature(minhash.shingle_hashes((t or "").encode())).reshape(minhash.BANDS, -1) for t in texts]
-    near = [
-        (ids[i], ids[j]) for i in range(len(ids)) for j in range(i)
-        if (sigs[i] == sigs[j]).all(axis=1).any() and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    ]
-    want = plain_components(ids, near)
+def chains(rnd):
+    """Texts in a chain, each near the next ones only, beside texts that share bands but are not near, copies and texts without words."""
+    words = [f"w{i}" for i in range(460)]
+    texts = [" ".join(words[4 * i : 4 * i + 160]) for i in range(60)] + [" ".join(words[:100] + [f"x{k}_{j}" for j in range(40)]) for k in range(12)] + [None, "", " "]
+    base = [f"b{i}" for i in range(300)]
+    texts += [" ".join(w if rnd.random() > 0.01 else f"e{k}_{i}" for i, w in enumerate(base)) for k in range(60)]
+    return texts, rnd.sample(range(100, 1000), len(texts))
+
+
+def plain_near(texts, ids, candidate=lambda i, j: True):
+    sets = [set(shingle_hashes((t or "").encode()).tolist()) for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    return plain_components(ids, [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if near(i, j) and candidate(i, j)])
+
+
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_minhash_links_past_the_smallest(spark, tile):
+    texts, ids = chains(random.Random(5))
+    sigs = [minhash.signature(shingle_hashes((t or "").encode())).reshape(minhash.BANDS, -1) for t in texts]
+    want = plain_near(texts, ids, lambda i, j: (sigs[i] == sigs[j]).all(axis=1).any())
     frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, tile=tile).collect()}
+    assert got == want
+    assert len(set(want.values())) < len(ids) - 60
+
+
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_simhash_by_likeness_links_past_the_smallest(spark, tile):
+    texts, ids = chains(random.Random(6))
+    want = plain_near([t or "" for t in texts], ids)
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "node long, text string")
+    got = {r["node"]: r["component"] for r in simhash.near_texts(frame, tile=tile).collect()}
     assert got == want
-    assert len(set(want.values())) < len(ids) - 15
+    assert simhash.near_texts(frame.limit(0)).count() == 0
+
+
+def test_likeness_finds_what_the_threshold_has():
+    """Pairs of sets of likeness 0.8, or just above, of all sizes: their fingerprints share a mask and stay within the limits."""
+    rng, limits = np.random.default_rng(0), simhash.likeness_limits(0.8)
+    for n in (20_000, 1_000_000):
+        masks = np.array(simhash.drawn_masks(n, 0.8), np.uint64)
+        for size in (10, 40, 300):
+            found = 0
+            for _ in range(200):
+                union = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+                both = int(np.ceil(0.8 * size))
+                cut = both + (size - both) // 2
+                a, b = simhash.wide_fingerprint(union[:cut]), simhash.wide_fingerprint(np.concatenate([union[:both], union[cut:]]))
+                steps = np.cumsum(np.unpackbits((a ^ b).view(np.uint8), bitorder="little"))
+                found += all(steps[p - 1] <= r for p, r in limits.items()) and (((a ^ b) & masks) == 0).all(axis=1).any()
+            assert found >= 0.97 * 200
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """A text of 3 MB with and one without white space, beside a near copy."""
+    words = [f"w{i}" for i in range(450_000)]
+    rows = [(3, " ".join(words)), (2, " ".join(words[:-5])), (1, "x" * 3_000_000), (0, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS fp", "3 AS mark", "4 AS key", "5 AS component", "6 AS id")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {3: 2, 2: 2, 1: 1, 0: 0}
+    check_simhash(df)
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.digests(df).collect()}
+    assert removed == {3: (450_000, 449_995), 2: (449_995, 0), 1: (1, 0), 0: (1, 0)}
+    assert {r["doc_id"]: r["n_chars"] for r in minhash.compared_to_next(df).collect()} == {i: len(t) for i, t in rows}

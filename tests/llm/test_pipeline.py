@@ -1,34 +1,75 @@
+import math
+import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from isospark.llm import minhash, packing, simhash, substrings, toxicity
+from isospark.llm import packing, toxicity
 from isospark.llm.common import table
+from isospark.llm.shingles import shingle_hashes
 from tests.llm.helpers import SCHEMA, edges
 
 
-def test_stages_on_documents(spark, sf):
+def plain_trim(rows, window=50):
+    """Of (id, text), the words left: those that no window covers which a smaller id has too."""
+    words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    owner = {}
+    for d, w in words:
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            owner[key] = min(owner.get(key, d), d)
+    for (d, t), (_, w) in zip(rows, words, strict=True):
+        gone = {k for i in range(len(w) - window + 1) if owner[tuple(w[i : i + window])] < d for k in range(i, i + window)}
+        yield d, " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t
+
+
+def test_run_is_brute_force(spark, sf):
+    """All but the model's weights anew: plain near copies, windows and the library's ids."""
     docs = table(spark, sf, "documents")
-    labels = table(spark, sf, "labels")
-    scored = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
-    kept = [r for r in docs.collect() if not scored[r["doc_id"]]]
-    clean = spark.createDataFrame(kept, docs.schema)
-    first = {r["doc_id"] for r in simhash.near_duplicates(clean).collect() if r["doc_id"] == r["component_id"]}
-    single = clean.where(clean.doc_id.isin(*first))
-    trimmed = {r["doc_id"]: r for r in substrings.digests(single).collect()}
-    tokens = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in packing.packed_documents(substrings.without_repeats(single)).collect()}
-    result = corpus_pipeline.run(spark, sf).collect()
-    assert {(r["doc_id"], r["start"]): r["ids_crc32"] for r in result} == tokens
-    assert {r["doc_id"] for r in result} == set(trimmed) == first
+    weights, bias = toxicity.train_on(docs, table(spark, sf, "labels"))
+    kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    margins = {t: sum(weights[f] for f in toxicity.Features(pa.array([t])).of(0)) + bias for _, t in kept}
+    kept = [(d, t) for d, t in kept if 1 / (1 + math.exp(-margins[t])) < 0.3]
+    sets = [set(zip(*[re.findall(r"[^\x20\x09-\x0D]+", t.lower())[k:] for k in range(5)], strict=False)) or {t.lower()} for _, t in kept]
+    first = {}
+    for i in range(len(kept)):
+        near = [j for j in range(len(kept)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        first[i] = near
+    component = list(range(len(kept)))
+    for _ in range(len(kept)):
+        after = [min(component[j] for j in first[i]) for i in range(len(kept))]
+        if after == component:
+            break
+        component = after
+    least = {}
+    for i, c in enumerate(component):
+        least[c] = min(least.get(c, kept[i]), kept[i])
+    trimmed = dict(plain_trim(sorted(least.values())))
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    ids = {d: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for d, t in trimmed.items()}
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert {r["doc_id"] for r in rows} == set(ids)
+    tokens = Counter()
+    for r in rows:
+        assert r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        tokens[r["doc_id"]] += r["length"]
+    assert all(tokens[d] == len(x) for d, x in ids.items())
 
 
 def test_each_stage_keeps_columns_and_survives_edges(spark, sf):
-    docs = edges(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = edges(spark)
     for name, function in corpus_pipeline.STAGES:
         out = function(spark, docs, sf)
         assert out.count() > 0
         if name != "packing":
-            assert out.schema.names == docs.schema.names
+            assert out.schema.names == docs.schema.names  # clashing extra columns as well
             assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         assert function(spark, docs.limit(0), sf).count() == 0
 
@@ -37,7 +78,7 @@ def test_near_copies_have_recall(spark):
     """All pairs of different texts of sf0.1 with a five-word Jaccard likeness of 0.8 or more, by brute force over shingles that fewer than 200 texts have."""
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     texts = list(dict.fromkeys(r["text"] or "" for r in docs.select("text").collect()))
-    sets = [set(minhash.shingle_hashes(t.encode()).tolist()) for t in texts]
+    sets = [set(shingle_hashes(t.encode()).tolist()) for t in texts]
     holders = defaultdict(list)
     for i, s in enumerate(sets):
         for h in s:
@@ -56,9 +97,10 @@ def test_near_copies_have_recall(spark):
 
 
 def test_each_group_of_near_copies_keeps_one_document(spark, sf):
-    """Rows with one id and different texts are judged by their texts, not by the id."""
+    """Rows with one id and different texts are judged by their texts, not by the id, in whatever order they come."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(0, a), (1, a), (1, b), (1, b), (2, c), (2, c + " end"), (3, None), (2, a), (None, b), (4, ""), (1, c + " more")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
-    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
-    assert got == sorted([(False, 0, a), (False, 1, b), (False, 1, c + " more"), (False, 3, None), (True, None, b)])
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in order], SCHEMA)
+        got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
+        assert got == sorted([(False, 0, a), (False, 1, b), (False, 1, c + " more"), (False, 3, None), (True, None, b)])
