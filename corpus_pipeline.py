@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isospark.llm import minhash, packing, substrings, toxicity
+from isospark.llm import packing, simhash, substrings, toxicity
 from isospark.llm.common import stage, table
 
 
@@ -22,16 +22,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, key, component) of each row: a hash of its text, and the component of that text.
 
     Links are pairs of different texts whose sets of five-word shingles have a Jaccard likeness of
-    0.8 or more, verified exactly. SimHash at op1's radius finds a twentieth of them, and at a
-    radius that finds them no bucket is small, so MinHash bands give the candidates.
+    0.8 or more: SimHash fingerprints give the candidates, the shingle sets verify them. Null
+    texts are empty ones; texts without words are like each other.
     """
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    found = stage(minhash.near_duplicates(keyed, id_col="key").distinct())
-    return keyed.select("doc_id", "key").join(found.withColumnRenamed("component_id", "component"), "key").select("doc_id", "key", "component")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
+    texts = stage(keyed.groupBy("key").agg(F.first("text").alias("text")).withColumnRenamed("key", "node"))
+    found = stage(simhash.near_texts(texts))
+    return keyed.select("doc_id", "key").join(found.withColumnRenamed("node", "key"), "key")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest id, and of that id's texts the one with the least hash. Null ids stay."""
+    """One document of each component of near copies: the one with the smallest id, and of that id's texts the one with the least hash. Rows with a null id stay; of rows that are the same in id and text one stays."""
     known = near_copies(docs).where("doc_id is not null")
     first = known.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -49,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("substring_dedup", drop_repeats), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("substring_dedup", drop_repeats), ("packing", pack)]
 #: The model and the tokenizer are out of SQL's reach; tests compare with a brute-force version.
 ORACLE_SQL = None
 
