@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from isospark.functions.staging import stage
 
 
+#: Links up to which a node that all of them meet at is little work for one task.
+FEW = 10_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each node of `links` (a, b): component is the smallest node reachable.
 
@@ -16,10 +20,14 @@ def components(links: DataFrame) -> DataFrame:
     before they are joined, so no group is gathered in a task.
     """
 
-    def star(both: DataFrame) -> DataFrame:
-        """Links (u, v) become (v, m): m is the smallest of u and its neighbours."""
+    def star(both: DataFrame, many: bool) -> DataFrame:
+        """Links (u, v) become (v, m): m is the smallest of u and its neighbours.
+
+        Of many links, the minima are a written table, joined by a shuffle of its own, so that
+        the skew join can split a node that very many others link to.
+        """
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
+        return (both.hint("merge").join(stage(low), "u") if many else both.join(low, "u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
 
     def fingerprint(table: DataFrame) -> tuple:
         """Number and two hashes of the links: equal for equal tables, without a shuffle."""
@@ -29,12 +37,12 @@ def components(links: DataFrame) -> DataFrame:
     last = fingerprint(edges)
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both).where("a > b")
+        large = star(both, last[0] > FEW).where("a > b")
         # large-star keeps a node's link to the minimum only for larger neighbours; the node's own link comes with it
         own = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").select(F.col("u").alias("a"), F.col("m").alias("b"))
         joined = stage(large.unionByName(own).distinct())
         down = joined.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = star(down.unionByName(down.select("u", F.col("u").alias("v")))).where("a > b")
+        small = star(down.unionByName(down.select("u", F.col("u").alias("v"))), last[0] > FEW).where("a > b")
         after = stage(small.distinct())
         edges, print_ = after, fingerprint(after)
         if print_ == last:
