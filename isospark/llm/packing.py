@@ -249,7 +249,8 @@ def packed_documents(docs: DataFrame, capacity: int = 4096, least_fill: float =
     whole = placed.where("cut_length = length").select(*names)
     cut = placed.where("cut_length < length")
     keys = ["start", "length", "ids_crc32", "_key"]
-    wanted = cut.select(*keys).distinct()
-    ids = made.join(wanted, keys, "left_semi").select(*keys, "ids").dropDuplicates(keys)
+    # at most `capacity` lengths; the ids of others are not shuffled
+    lengths = [r["length"] for r in cut.select("length").distinct().collect()]
+    ids = made.where(F.col("length").isin(lengths)).join(cut.select(*keys).distinct(), keys, "left_semi").select(*keys, "ids").dropDuplicates(keys)
     parts = cut.join(ids, keys).select("doc_id", (F.col("start") + F.col("cut_from")).alias("start"), F.col("cut_length").alias("length"), F.crc32(F.expr("substring(ids, cast(4 * cut_from + 1 as int), cast(4 * cut_length as int))")).alias("ids_crc32"), *names[4:])
     return whole.unionByName(parts)
