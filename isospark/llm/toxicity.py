@@ -83,12 +83,8 @@ def learner(held, turn: int):
         at, values, bias = held.value
         start = np.zeros(1 << BITS)
         start[at] = values
-        group = group.sort_values(["text", "label"], kind="stable")
-        rows = []
-        for i in range(0, len(group), 512):
-            texts = pa.array(group["text"].iloc[i : i + 512], pa.string())
-            features = Features(texts)
-            rows += [features.of(k) for k in range(len(texts))]
+        group = group.sort_values(["h", "label", "i"], kind="stable")
+        rows = [np.frombuffer(f, np.int32) for f in group["features"]]
         labels, order = group["label"].to_numpy(), np.random.default_rng(turn).permutation(len(group))
         w, b = ftrl([(rows[k], labels[k]) for k in order], start, bias)
         kept = np.flatnonzero(w)
@@ -97,35 +93,50 @@ def learner(held, turn: int):
     return learn
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    """`rows` with `features` (the text's different features as 32-bit integers) in place of `text`, which is the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            features = Features(batch.column(batch.num_columns - 1))
+            made = pa.array([features.of(i).tobytes() for i in range(batch.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "features"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return map_slices(rows, run, f"{schema}, features binary")
+
+
 def sampled(labelled: DataFrame, part: float, shares: int) -> DataFrame:
-    """(text, label, share): a part of `labelled` (text, label), dealt to shares.
+    """(h, label, i, share, text): a part of `labelled` (text, label), dealt to shares; h is a hash of the text, i counts its copies.
 
     Equal rows are counted first: of n, n * part are kept, and a hash of the text decides on the
     rest below one. The kept ones go to the shares in turn, so a text that very many rows have
     is in its part of the sample, and in no share alone.
     """
-    hashed = labelled.withColumn("h", F.xxhash64("text", F.lit(1)))
+    keyed = labelled.withColumn("h", F.xxhash64("text", F.lit(1)))
     many = F.col("n") * F.lit(part)
     lucky = (F.pmod(F.col("h"), F.lit(1 << 30)) < F.floor((many - F.floor(many)) * (1 << 30))).cast("long")
-    drawn = hashed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).select("h", "label", (F.floor(many) + lucky).alias("kept")).where("kept > 0")
+    drawn = keyed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).select("h", "label", (F.floor(many) + lucky).alias("kept")).where("kept > 0")
     # at most about as many rows as the sample
-    texts = hashed.join(F.broadcast(drawn), ["h", "label"]).groupBy("h", "label", "kept").agg(F.min("text").alias("text"))
+    texts = keyed.join(F.broadcast(drawn), ["h", "label"]).groupBy("h", "label", "kept").agg(F.min("text").alias("text"))
     copies = texts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kept") - 1)))
-    return copies.select("text", "label", F.pmod(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(shares)) + F.col("i"), F.lit(shares)).cast("int").alias("share"))
+    share = F.pmod(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(shares)) + F.col("i"), F.lit(shares)).cast("int").alias("share")
+    return copies.select("h", "label", "i", share, "text")
 
 
 def train(labelled: DataFrame, most_rows: int = MOST_ROWS, per_share: int = PER_SHARE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and bias from `labelled` (text, label 0 or 1); rows with a null label are left out.
 
-    Up to about `most_rows` rows are learned from, as `sampled` draws them. They are dealt to
-    shares of about `per_share` rows, whose size and number are bounded however large the table
-    is. Without any rows the weights are zero, so each score is 0.5.
+    Up to about `most_rows` rows are learned from, as `sampled` draws them. They are dealt to shares of about
+    `per_share` rows, whose size and number are bounded however large the table is. Without any
+    rows the weights are zero, so each score is 0.5.
     """
     spark = labelled.sparkSession
     labelled = labelled.where("label is not null").select("text", F.col("label").cast("double").alias("label"))
     known = labelled.count()
     part, shares = min(1.0, most_rows / max(1, known)), max(1, round(min(known, most_rows) / per_share))
-    sample = stage(sampled(labelled, part, shares))
+    sample = stage(hashed(sampled(labelled, part, shares)))  # features are made once, not in each round
     weights, bias = np.zeros(1 << BITS), 0.0
 
     for turn in range(rounds):
@@ -173,6 +184,12 @@ def train_on(docs: DataFrame, labels: DataFrame, **options) -> tuple[np.ndarray,
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of `docs`, learned from `labels` (doc_id, toxic)."""
+    """(doc_id, held_out, score, predicted) of each row of `docs`, learned from `labels` (doc_id, toxic).
+
+    Null and empty texts have the bias's score; without labelled rows each score is 0.5. Repeated
+    rows and null ids stay each for itself; an empty table gives an empty one; texts of any
+    length are scored whole; other columns are not read. Rows with a null label are not learned
+    from, and of several labels of an id the largest counts.
+    """
     scored = scores(docs, *train_on(docs, labels, **options))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

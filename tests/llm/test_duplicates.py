@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from isospark.functions import graph
 from isospark.functions.graph import components
 from isospark.llm import minhash, simhash, substrings
 from isospark.llm.shingles import shingle_hashes
@@ -83,7 +84,9 @@ def test_masks_cover_all_small_differences(n):
         assert any(not m & difference for m, in masks)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -6,6 +7,8 @@ from re import _parser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from isospark.llm import ann, licenses, toxicity
 from isospark.llm.common import table
@@ -40,13 +43,66 @@ def test_toxicity_edges(spark):
     assert {r["score"] for r in rows_of(toxicity.toxicity(edges(spark), labels.limit(0)))} == {0.5}
 
 
+def scalar_ftrl(rows, start, bias):
+    """One coordinate at a time, as McMahan et al. (2013) write it."""
+    size = len(start)
+    w0, l1 = [*start, bias], [toxicity.L1] * size + [0.0]
+    z = [-(w * (toxicity.BETA / toxicity.ALPHA + toxicity.L2)) - math.copysign(k, w) * (w != 0) for w, k in zip(w0, l1, strict=True)]
+    n = [0.0] * (size + 1)
+
+    def weight(i):
+        if abs(z[i]) <= l1[i]:
+            return 0.0
+        return -(z[i] - math.copysign(l1[i], z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for features, label in rows:
+        at = [*features, size]
+        w = {i: weight(i) for i in at}
+        p = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values())))))
+        for i in at:
+            g = p - label
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    return [weight(i) for i in range(size)], weight(size)
+
+
+def test_ftrl_is_the_scalar_one():
+    rng = np.random.default_rng(3)
+    start = rng.normal(size=60) * (rng.random(60) < 0.3)
+    rows = [(np.unique(rng.integers(0, 60, 8)), float(rng.random() < 0.4)) for _ in range(500)]
+    w, b = toxicity.ftrl(rows, start, -0.7)
+    want, bias = scalar_ftrl([(f.tolist(), y) for f, y in rows], start.tolist(), -0.7)
+    assert np.allclose(w, want, rtol=0, atol=1e-12) and abs(b - bias) < 1e-12
+    assert 0 < np.count_nonzero(w) < 60
+
+
+def test_features_are_words_runs_and_skips():
+    one, other = (set(toxicity.Features(pa.array([t])).of(0).tolist()) for t in ("The cat, sat", "THE cat sat"))
+    assert one == other and len(one) == 3 + 2 + 1
+    assert set(toxicity.Features(pa.array(["the x sat"])).of(0).tolist()) & one >= set(toxicity.Features(pa.array(["the"])).of(0).tolist())
+    assert len(set(toxicity.Features(pa.array(["the x sat"])).of(0).tolist()) & one) == 3  # the, sat and the skip over what is between
+
+
+def test_toxicity_with_a_hot_text(spark):
+    """Half of the labelled rows are one text: shares stay bounded, and both labels of it count."""
+    rows = [(i, "the same line" if i % 2 else f"text number {i} {'awful vile' if i % 10 == 0 else 'kind'}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(8000)], "doc_id long, toxic int")
+    sample = toxicity.sampled(docs.join(labels, "doc_id").select("text", F.col("toxic").cast("double").alias("label")), 0.25, 4)
+    sizes = Counter(r["share"] for r in sample.select("share").collect())
+    assert len(sizes) == 4 and max(sizes.values()) < 1.3 * 500
+    scored = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, most_rows=2000, per_share=500).collect()}
+    assert all(s > 0.5 for i, s in scored.items() if i % 10 == 0) and all(s < 0.3 for i, s in scored.items() if i % 2)
+
+
 def test_toxicity_sample_is_bounded_with_copies(spark):
     rows = [("the same text", 1.0)] * 1000 + [(f"text {i}", float(i % 2)) for i in range(2000)]
     sample = rows_of(toxicity.sampled(spark.createDataFrame(rows, "text string, label double"), 0.1, 4))
     assert 250 <= len(sample) <= 350 and sum(r["text"] == "the same text" for r in sample) in (100, 101)
     assert max(Counter(r["share"] for r in sample).values()) <= 110
     whole = rows_of(toxicity.sampled(spark.createDataFrame(rows, "text string, label double"), 1.0, 4))
-    assert Counter((r["text"], r["label"]) for r in whole) == Counter(rows)
+    assert Counter((r["text"], r["label"]) for r in whole) == Counter(rows) and len({(r["h"], r["label"], r["i"]) for r in whole}) == len(rows)
     nulls = spark.createDataFrame([(None, 1.0), (None, 1.0), ("", 0.0)], "text string, label double")
     assert toxicity.sampled(nulls, 1.0, 1).count() == 3
 
