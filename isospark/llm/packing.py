@@ -34,9 +34,8 @@ class WordIds:
     """Ids by the tokenizers library, kept by chunk.
 
     The tokenizer drops white space and looks at nothing across it, and parts letters from
-    marks, so text is cut there and each chunk is encoded once. Chunks that are all ASCII are
-    lower-cased first, as the tokenizer does; in others a capital letter may compose with a mark.
-    Long chunks are cut before digits, of which each is a word of its own. Texts that may hold a
+    marks, so text is cut there and each chunk is encoded once. ASCII letters are lower-cased
+    first, as the tokenizer does, unless a capital one may compose with what follows it. Long chunks are cut before digits, of which each is a word of its own. Texts that may hold a
     special string are encoded whole.
     """
 
@@ -63,32 +62,35 @@ class WordIds:
         return b"".join(x for p in parts for x in self._library([p]))
 
     def _all(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each of `chunks`, by the library for those that are not kept."""
+        """Ids of each of `chunks`, which differ, by the library for those that are not kept."""
         if len(self.known) > self.KEEP:
             self.known.clear()
-        own: dict[str, bytes] = {}
-        part, size = [], 0
-        new = list({c for c in chunks if c not in self.known})
-        for c in [*new, None]:
-            if part and (c is None or size + len(c) > self.GIVEN):
-                own.update(zip(part, self._library(part), strict=True))
-                part, size = [], 0
-            if c is None:
-                break
+        known, part, size = self.known, [], 0
+        long = {c for c in chunks if c not in known and len(c) > self.LONGEST}
+        for c in chunks:
+            if c in known:
+                continue
             if len(c) > self.CUT:
-                own[c] = self._long(c)
-            else:
-                part.append(c)
-                size += len(c) + 64
-        self.known.update((c, ids) for c, ids in own.items() if len(c) <= self.LONGEST)
-        return [own[c] if c in own else self.known[c] for c in chunks]
+                known[c] = self._long(c)
+                continue
+            part.append(c)
+            size += len(c) + 64
+            if size > self.GIVEN:
+                known.update(zip(part, self._library(part), strict=True))
+                part, size = [], 0
+        known.update(zip(part, self._library(part), strict=True))
+        out = list(map(known.__getitem__, chunks))
+        for c in long:
+            del known[c]
+        return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
         texts = utf8(texts)
         special = pc.match_substring(texts, "<|")
-        chunks = white_chunks(pc.if_else(special, pa.scalar("", texts.type), texts))
-        ids, ends = chunks.joined(self._all([c.lower() if c.isascii() else c for c in chunks.unique]))
+        lower = pc.if_else(pc.match_substring_regex(texts, r"[A-Z]\p{M}"), texts, pc.ascii_lower(texts))
+        chunks = white_chunks(pc.if_else(special, pa.scalar("", texts.type), lower))
+        ids, ends = chunks.joined(self._all(chunks.unique))
         data, cuts = ids.tobytes(), np.append(0, 4 * ends).tolist()
         out = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
