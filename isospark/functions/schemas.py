@@ -19,9 +19,17 @@ SINGLE = """
     filename STRING, temperature DOUBLE, pressureUnits STRING, adsorptionUnits STRING, numGuests INT, adsorbent_name STRING,
     adsorbates_name ARRAY<STRING>, point_idx INT, pressure FLOAT, adsorbed_amount FLOAT, composition DOUBLE
 """
+BINARY = """
+    filename STRING, temperature DOUBLE, pressureUnits STRING, adsorptionUnits STRING, numGuests INT, adsorbent_name STRING, compound_1 STRING, compound_2 STRING, point_idx INT,
+    compound_1_composition FLOAT, compound_2_composition FLOAT, compound_1_pressure FLOAT, compound_2_pressure FLOAT, compound_1_adsorption FLOAT, compound_2_adsorption FLOAT,
+    compound_2_filled BOOLEAN, total_pressure ARRAY<DOUBLE>
+"""
+GUEST_PROPERTIES = """
+    name STRING, atoms STRING, heavy_atoms INT, bonds STRING, elements STRING, molecular_weight DOUBLE, molecular_formula STRING, SMILE STRING, H_acceptors INT, H_donors INT
+"""
 #: Columns that the datasets leave out.
 METADATA_COLS = ("DOI", "category", "tabular_data", "isotherm_type", "digitizer", "articleSource", "concentrationUnits")
 #: Units of uptake that count as valid.
 VALID_UPTAKE_UNITS = ("mmol/g", "mol/kg", "mol/g", "mmol/kg", "mg/g", "g/g", "cm3(STP)/g", "wt%", "g Adsorbate / 100g Adsorbent", "g/100g", "ml(STP)/g")
 #: Texts that a dataset file holds for a missing value.
-NULL_TEXTS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>", "#N/A", "-nan", "-NaN")
+NULL_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isospark.functions.graph import components
 from isospark.functions.staging import stage
+from isospark.sources.ingest import numbered
 
 
 def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -20,33 +22,61 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     return joined.withColumns(scaled).select(*df.columns)
 
 
-def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.75, min_samples: int = 5) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, cols: list[str], eps: float = 0.75, min_samples: int = 5, dense: bool = True) -> DataFrame:
     """`df` with `cluster`: DBSCAN by Euclidean distance, -1 for noise.
 
     Clusters are numbered by their first core row; a border row takes the lowest number among
-    its core neighbours. Equal points are one weighted point. Neighbours are found by an
-    equi-join on grid cells of width `eps` over the first three columns. Rows with a null in
-    `cols` are noise.
+    its core neighbours. Equal points are one weighted point, and rows find their label by
+    their point, so repeated ids are as good as others. Rows with a null or NaN in `cols` are
+    noise. Of rows with one id, the one with the smaller values comes first. An empty table gives an empty one.
+
+    Points are joined by grid cells over up to three columns. Over all columns, cells are so
+    small that points of one are neighbours: a cell of `min_samples` rows is then all core and
+    one cluster without a pair of its points, and two such cells are linked by their bounds
+    where those decide it. `dense` off counts all neighbours, with the same result.
     """
-    point = F.array(*[F.col(c).cast("double") for c in cols])
-    known = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])).select(F.col(id_col).alias("id"), point.alias("z"))
-    points = stage(known.groupBy("z").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+    rows = df.withColumn("_z", F.when(known, F.array(*[F.col(c).cast("double") for c in cols])))
     k = min(3, len(cols))
-    cell = lambda shift: F.array(*[F.floor(F.element_at("z", i + 1) / eps) + s for i, s in enumerate(shift)])
-    left = points.select("p", "z", F.explode(F.array(*[cell(s) for s in product((-1, 0, 1), repeat=k)])).alias("cell"))
-    right = points.select(F.col("p").alias("o"), F.col("z").alias("oz"), F.col("n").alias("on"), cell((0,) * k).alias("cell"))
-    apart = sum(((F.element_at("z", i + 1) - F.element_at("oz", i + 1)) ** 2 for i in range(1, len(cols))), (F.element_at("z", 1) - F.element_at("oz", 1)) ** 2)
-    near = left.join(right, "cell").where(apart <= eps * eps).select("p", "o", "on")
-    core = stage(near.groupBy("p").agg(F.sum("on").alias("degree")).where(F.col("degree") >= min_samples).select("p"))
-    reach = stage(near.select("p", "o").join(core.select(F.col("p").alias("o")), "o"))  # of each point, its core neighbours
-    found = components(reach.join(core, "p").select(F.col("p").alias("a"), F.col("o").alias("b")))
-    roots = core.join(found, F.col("p") == F.col("node"), "left").select("p", F.coalesce("component", "p").alias("root"))
-    numbers = roots.select("root").distinct().withColumn("number", F.dense_rank().over(Window.orderBy("root")) - 1)  # one row for each cluster
-    numbered = stage(roots.join(numbers, "root").select(F.col("p").alias("o"), "number"))
-    # a core point's core neighbours are all of its own cluster, so the minimum is right for core and border points alike
-    labels = reach.join(numbered, "o").groupBy("p").agg(F.min("number").alias("number"))
-    by_id = known.join(points, "z").join(labels, "p", "left").select(F.col("id").alias("_id"), F.coalesce("number", F.lit(-1)).cast("int").alias("_cluster"))
-    return df.join(by_id, df[id_col] == F.col("_id"), "left").withColumn("cluster", F.coalesce("_cluster", F.lit(-1))).select(*df.columns, "cluster")
+    small = dense and len(cols) <= 3
+    # a little less than eps by the diagonal, so that rounding leaves no two points of a cell apart
+    width, far = (eps / len(cols) ** 0.5 * (1 - 1e-9), math.ceil(len(cols) ** 0.5)) if small else (eps, 1)
+    shifts = [s for s in product(range(-far, far + 1), repeat=k) if sum(max(abs(x) - 1, 0) ** 2 for x in s) * width**2 <= eps**2]
+    place = F.array(*[F.floor(F.element_at("z", i + 1) / width) for i in range(k)])
+    near_cells = F.array(*[F.array(*[F.get("cell", F.lit(i)) + x for i, x in enumerate(s)]) for s in shifts])
+    different = rows.where("_z is not null").groupBy(F.col("_z").alias("z")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    # p numbers the points by their smallest ids, and by themselves where those are equal
+    points = numbered(different.select(F.struct("id", "z").alias("key"), "z", "n"), "key", "p").drop("key").withColumn("cell", place)
+    bounds = [x for i in range(1, k + 1) for x in (F.min(F.element_at("z", i)).alias(f"lo{i}"), F.max(F.element_at("z", i)).alias(f"hi{i}"))]
+    cells = stage(points.groupBy("cell").agg(F.sum("n").alias("m"), F.min("p").alias("rep"), *bounds).withColumn("full", (F.col("m") >= min_samples) & F.lit(small)))
+    points = stage(points.join(cells.select("cell", "rep", "full"), "cell"))
+    squared = lambda x, y: sum(((F.element_at(x, i + 1) - F.element_at(y, i + 1)) ** 2 for i in range(1, len(cols))), (F.element_at(x, 1) - F.element_at(y, 1)) ** 2)
+
+    others = points.select(F.col("p").alias("o"), F.col("z").alias("oz"), F.col("n").alias("on"), F.col("full").alias("ofull"), F.col("cell").alias("at"))
+    near = stage(points.where("not full").select("p", "z", F.explode(near_cells).alias("at")).join(others, "at").where(squared("z", "oz") <= eps * eps).select("p", "o", "on", "ofull"))
+    counted = near.groupBy("p").agg(F.sum("on").alias("degree")).where(F.col("degree") >= min_samples).select("p")
+    core = stage(counted.unionByName(points.where("full").select("p")))
+    reach = stage(near.join(core.select(F.col("p").alias("o")), "o").select("p", "o"))  # core neighbours of points outside full cells
+
+    full = cells.where("full")
+    pairs = full.select("cell", "rep", *[f"{x}{i}" for i in range(1, k + 1) for x in ("lo", "hi")], F.explode(near_cells).alias("at")).alias("x")
+    pairs = pairs.join(full.alias("y"), F.expr("x.at = y.cell and x.rep < y.rep"))
+    gap = sum((F.greatest(F.expr(f"x.lo{i} - y.hi{i}"), F.expr(f"y.lo{i} - x.hi{i}"), F.lit(0.0)) ** 2 for i in range(1, k + 1)), F.lit(0.0))
+    span = sum((F.greatest(F.expr(f"x.hi{i} - y.lo{i}"), F.expr(f"y.hi{i} - x.lo{i}")) ** 2 for i in range(1, k + 1)), F.lit(0.0))
+    pairs = stage(pairs.select(F.col("x.cell").alias("c1"), F.col("y.cell").alias("c2"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), gap.alias("gap"), span.alias("span")).where(F.col("gap") <= eps * eps * (1 + 1e-9)))
+    sure = pairs.where(F.col("span") <= eps * eps * (1 - 1e-9)).select("a", "b")
+    left, right = (points.where("full").select(F.col("cell").alias(c), F.col("z").alias(z)) for c, z in (("c1", "z1"), ("c2", "z2")))
+    open_ = pairs.where(F.col("span") > eps * eps * (1 - 1e-9)).join(left, "c1").join(right, "c2").where(squared("z1", "z2") <= eps * eps).select("a", "b").distinct()
+    own = points.where("full").select(F.col("p").alias("a"), F.col("rep").alias("b"))
+    found = components(reach.join(core, "p").select(F.col("p").alias("a"), F.col("o").alias("b")).unionByName(own).unionByName(sure).unionByName(open_))
+
+    roots = stage(core.join(found, F.col("p") == F.col("node"), "left").select("p", F.coalesce("component", "p").alias("root")))
+    numbered_roots = numbered(roots.select("root").distinct(), "root", "number")
+    labelled = stage(roots.join(numbered_roots, "root").select(F.col("p").alias("o"), "number"))
+    # the core neighbours of a core point are all of its own cluster, so the minimum is right for core and border points alike
+    border = reach.join(labelled, "o").select("p", "number").unionByName(labelled.select(F.col("o").alias("p"), "number"))
+    labels = points.select(F.col("z").alias("_z"), "p").join(border.groupBy("p").agg(F.min("number").alias("_number")), "p").drop("p")
+    return rows.join(labels, "_z", "left").select(*df.columns, F.coalesce("_number", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def cluster_summary(df: DataFrame) -> DataFrame:
@@ -56,4 +86,5 @@ def cluster_summary(df: DataFrame) -> DataFrame:
 
 
 def cluster_rows(df: DataFrame, cluster: int) -> DataFrame:
+    """The rows of one cluster, -1 being noise; none for a number that no cluster has."""
     return df.where(F.col("cluster") == cluster)

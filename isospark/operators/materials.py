@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a registry is broadcast; beyond, the join is by shuffle.
-BROADCAST_ROWS = 100_000
-
 
 def enrich_guests(names: DataFrame, registry: DataFrame, na_text: str | None = None) -> DataFrame:
     """Each row of `names` (name) with the properties of the best hit for its lower-cased name, null where there is none.
 
-    `na_text` stands for null in text columns, for files that want it.
+    `na_text` stands for null in text columns, for files that want it. Of hits of equal rank, the
+    one whose other columns come first counts. Spark broadcasts the hits where their size allows.
     """
-    best = Window.partitionBy("_key").orderBy("hit_rank")
-    hits = registry.withColumn("_key", F.lower("lookup_name")).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "lookup_name", "hit_rank")
-    if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
+    others = [c for c in registry.columns if c not in ("lookup_name", "hit_rank")]
+    best = registry.groupBy(F.lower("lookup_name").alias("_key")).agg(F.min(F.struct("hit_rank", *others)).alias("_best"))
+    hits = best.select("_key", *[f"_best.{c}" for c in others])
     found = names.withColumn("_lower", F.lower("name")).join(hits, F.col("_lower") == F.col("_key"), "left")
     text = lambda c: F.coalesce(c, F.lit(na_text)) if na_text else c
     return found.select(

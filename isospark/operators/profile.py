@@ -79,19 +79,24 @@ def quantiles(df: DataFrame, col: str, shares: tuple[float, ...] = (0.25, 0.5, 0
 
 
 def box_stats(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:
-    """Quartiles, whiskers (the last values within 1.5 interquartile ranges) and number of outliers of each column."""
-
-    def stats(c: str) -> DataFrame:
-        q = df.agg(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias("q")) if approximate else quantiles(df, c)
-        edges = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-        step = (F.col("q3") - F.col("q1")) * 1.5
-        inside = F.col(c).between(F.col("q1") - step, F.col("q3") + step)
-        rows = df.select(c).where(F.col(c).isNotNull()).join(F.broadcast(edges))  # one row
-        return rows.groupBy("q1", "median", "q3").agg(
-            F.min(F.when(inside, F.col(c))).alias("whisker_low"), F.max(F.when(inside, F.col(c))).alias("whisker_high"), F.count_if(~inside).alias("outliers")
-        ).select(F.lit(c).alias("column"), "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
-
-    return reduce(DataFrame.unionByName, map(stats, cols))
+    """Quartiles, whiskers (the last values within 1.5 interquartile ranges) and number of outliers of each column; whiskers and outliers of all columns in one scan."""
+    edges = [
+        (df.agg(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias("q")) if approximate else quantiles(df, c)).select(F.col("q").alias(f"_q{i}"))
+        for i, c in enumerate(cols)
+    ]
+    known = reduce(lambda a, b: a.join(F.broadcast(b)), edges)  # one row
+    rows = df.select(*cols).join(F.broadcast(known))
+
+    def stats(i: int, c: str):
+        q = F.col(f"_q{i}")
+        step = (q[2] - q[0]) * 1.5
+        inside = F.col(c).between(q[0] - step, q[2] + step)
+        edge = [F.first(q[k]).alias(name) for k, name in enumerate(("q1", "median", "q3"))]
+        return F.struct(*edge, F.min(F.when(inside, F.col(c))).alias("whisker_low"), F.max(F.when(inside, F.col(c))).alias("whisker_high"), F.count_if(~inside).alias("outliers"), F.count(c).alias("n"))
+
+    found = rows.agg(*[stats(i, c).alias(f"_s{i}") for i, c in enumerate(cols)])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"_s{i}.{x}").alias(x) for x in ("q1", "median", "q3", "whisker_low", "whisker_high", "outliers", "n")]) for i, c in enumerate(cols)])
+    return found.select(F.inline(each)).where("n > 0").drop("n")
 
 
 def scatter_frame(df: DataFrame, x: str, y: str, bins: tuple[float, float] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isospark.functions.schemas import NAMED, SINGLE
+from isospark.functions.schemas import BINARY, GUEST_INDEX, GUEST_PROPERTIES, HOST_INDEX, NAMED, SINGLE
 from isospark.functions.staging import new_path, stage
 from isospark.operators import cluster, isotherms, materials, profile
 from isospark.plans import adapter
@@ -77,6 +77,38 @@ def csv_round_trip(spark, sf):
     return _joined(ingest.read_dataset_csv(spark, path, SINGLE))
 
 
+def binary_round_trip(spark, sf):
+    """Mixtures with their lists of total pressures, written and read; of each list its size and the point's own value."""
+    path = new_path(spark)
+    sinks.write_dataset(isotherms.binary_mixture(adapter.experiments(spark, sf), keep_total_pressure=True), path, "csv")
+    back = ingest.read_dataset_csv(spark, path, BINARY)
+    return back.withColumn("pressures", F.size("total_pressure")).withColumn("own_pressure", F.get("total_pressure", F.col("point_idx"))).drop("total_pressure")
+
+
+def guest_properties_round_trip(spark, sf):
+    path = new_path(spark)
+    sinks.write_dataset(materials.enrich_guests(table(spark, sf, "part").select(F.upper("p_name").alias("name")), adapter.registry(spark, sf), "NA"), path, "csv")
+    return ingest.read_dataset_csv(spark, path, GUEST_PROPERTIES)
+
+
+def host_round_trip(spark, sf):
+    path = new_path(spark)
+    sinks.write_dataset(ingest.host_names(ingest.parse_responses(adapter.named_documents(spark, sf), NAMED)[0]).where("name is not null"), path, "csv")
+    return ingest.read_dataset_csv(spark, path, NAMED)
+
+
+def guest_host_index(spark, sf):
+    """Indexes of parts as guests and of customers as hosts, landed as JSON lines; a fifth of each, with the addresses of their documents."""
+    found = []
+    for name, key, field, schema in (("part", "p_partkey", "InChIKey", GUEST_INDEX), ("customer", "c_custkey", "hashkey", HOST_INDEX)):
+        path = new_path(spark)
+        entries = table(spark, sf, name).select(key, F.concat(F.lit(f"{name}-"), key).alias(field))
+        ingest.numbered(entries, key).select("ordinal", field).write.json(path)
+        head = ingest.head_fraction(ingest.read_index_lines(spark, path, schema), 0.2)
+        found.append(ingest.detail_urls(head, field, f"https://example.org/{name}/%s.json").withColumnRenamed(field, "key"))
+    return found[0].unionByName(found[1])
+
+
 def measurement_profile(spark, sf):
     return profile.measurement_profile(_single(spark, sf))
 
@@ -136,14 +168,25 @@ def dbscan_summary(spark, sf):
     return cluster.cluster_summary(cluster.dbscan(scaled, "user_id", ["n", "mean"], 0.75, 5)).select("cluster", "rows")
 
 
+def cluster_shares(spark, sf):
+    scaled = stage(cluster.standardize(adapter.user_features(spark, sf), ["n", "mean"]))
+    return cluster.cluster_summary(cluster.dbscan(scaled, "user_id", ["n", "mean"], 0.4, 4))
+
+
+def cluster_rows(spark, sf):
+    """The rows of the first cluster."""
+    scaled = stage(cluster.standardize(adapter.user_features(spark, sf), ["n", "mean"]))
+    return cluster.cluster_rows(cluster.dbscan(scaled, "user_id", ["n", "mean"], 0.4, 4), 0).select("user_id", "cluster")
+
+
 def description_prompts(spark, sf):
     return materials.description_prompts(table(spark, sf, "part").select(F.col("p_name").alias("name")))
 
 
 _FUNCTIONS = (
     single_component, binary_mixture, guest_cardinality, species_ids, index_head_fraction, detail_urls, responses_parsed, responses_rejected, host_names, guest_names,
-    guest_properties, csv_round_trip, measurement_profile, null_counts, distinct_units, unit_report, valid_units, invalid_measurements, class_distribution_events,
-    class_distribution_langs, box_stats, scatter_frame, scatter_bins, standardize, dbscan_labels, dbscan_summary, description_prompts,
+    guest_properties, csv_round_trip, binary_round_trip, guest_properties_round_trip, host_round_trip, guest_host_index, measurement_profile, null_counts, distinct_units, unit_report, valid_units, invalid_measurements, class_distribution_events,
+    class_distribution_langs, box_stats, scatter_frame, scatter_bins, standardize, dbscan_labels, dbscan_summary, cluster_shares, cluster_rows, description_prompts,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -182,13 +225,18 @@ def _box(name: str, source: str) -> str:
 _JSON = "status = 200 AND content_type LIKE 'application/json%'"
 _RESPONSES = """r AS (SELECT event_id AS ordinal, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END::INT AS status,
     CASE WHEN event_id % 10 = 5 THEN 'text/html' ELSE 'application/json; charset=utf-8' END AS content_type, CASE WHEN event_id % 10 = 0 THEN substr(props, 1, 4) ELSE props END AS body FROM events)"""
+_PROPERTIES = """WITH best AS (SELECT * FROM part WHERE p_name NOT LIKE '% ring' QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1)
+        SELECT upper(p.p_name) AS name, b.p_brand AS atoms, b.p_size AS heavy_atoms, b.p_type AS bonds, b.p_name AS elements, b.p_retailprice AS molecular_weight, b.p_brand AS molecular_formula,
+        b.p_type AS "SMILE", b.p_size AS "H_acceptors", b.p_size AS "H_donors" FROM part p LEFT JOIN best b ON lower(p.p_name) = lower(b.p_name)"""
+_MIXED = """SELECT filename, temperature, "pressureUnits", "adsorptionUnits", "numGuests", adsorbent_name, 'gas ' || f1 AS compound_1, 'gas ' || f2 AS compound_2, point_idx,
+        (1 - d)::FLOAT AS compound_1_composition, CASE WHEN ln % 5 = 0 THEN 1.0 ELSE d + 0.0 END::FLOAT AS compound_2_composition, ((1 - d) * p)::FLOAT AS compound_1_pressure,
+        (CASE WHEN ln % 5 = 0 THEN 1.0 ELSE d + 0.0 END * p)::FLOAT AS compound_2_pressure, (q * (1 - d))::FLOAT AS compound_1_adsorption,
+        CASE WHEN ln % 5 = 0 THEN 1.0 ELSE q * d + 0.0 END::FLOAT AS compound_2_adsorption, ln % 5 = 0 AS compound_2_filled"""
 SQL = {
     "single_component": f"WITH {_SINGLE} SELECT * FROM single",
     "csv_round_trip": f"WITH {_SINGLE} SELECT * FROM single",
-    "binary_mixture": f"""WITH {_ORDERS} SELECT filename, temperature, "pressureUnits", "adsorptionUnits", "numGuests", adsorbent_name, 'gas ' || f1 AS compound_1, 'gas ' || f2 AS compound_2, point_idx,
-        (1 - d)::FLOAT AS compound_1_composition, CASE WHEN ln % 5 = 0 THEN 1.0 ELSE d + 0.0 END::FLOAT AS compound_2_composition, ((1 - d) * p)::FLOAT AS compound_1_pressure,
-        (CASE WHEN ln % 5 = 0 THEN 1.0 ELSE d + 0.0 END * p)::FLOAT AS compound_2_pressure, (q * (1 - d))::FLOAT AS compound_1_adsorption,
-        CASE WHEN ln % 5 = 0 THEN 1.0 ELSE q * d + 0.0 END::FLOAT AS compound_2_adsorption, ln % 5 = 0 AS compound_2_filled FROM points WHERE "numGuests" = 2""",
+    "binary_mixture": f"""WITH {_ORDERS} {_MIXED} FROM points WHERE "numGuests" = 2""",
+    "binary_round_trip": f"""WITH {_ORDERS} {_MIXED}, count(*) OVER (PARTITION BY filename)::INT AS pressures, p::DOUBLE AS own_pressure FROM points WHERE "numGuests" = 2""",
     "guest_cardinality": f'WITH {_ORDERS} SELECT "numGuests", count(*) AS experiments FROM experiments GROUP BY 1',
     "species_ids": f"""WITH {_ORDERS} SELECT filename, any_value(adsorbent_id) AS adsorbent_id, any_value(adsorbent_name) AS adsorbent_name,
         coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS adsorbates_id, coalesce(string_agg(DISTINCT 'gas ' || l_returnflag, ',' ORDER BY 'gas ' || l_returnflag), '') AS adsorbates_name
@@ -201,9 +249,13 @@ SQL = {
         FROM r WHERE NOT ({_JSON} AND json_valid(body))""",
     "host_names": "SELECT CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS name FROM supplier",
     "guest_names": "SELECT CASE WHEN s_suppkey % 7 <> 0 THEN s_name ELSE '' END AS name FROM supplier",
-    "guest_properties": """WITH best AS (SELECT * FROM part WHERE p_name NOT LIKE '% ring' QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1)
-        SELECT upper(p.p_name) AS name, b.p_brand AS atoms, b.p_size AS heavy_atoms, b.p_type AS bonds, b.p_name AS elements, b.p_retailprice AS molecular_weight, b.p_brand AS molecular_formula,
-        b.p_type AS "SMILE", b.p_size AS "H_acceptors", b.p_size AS "H_donors" FROM part p LEFT JOIN best b ON lower(p.p_name) = lower(b.p_name)""",
+    "guest_properties": _PROPERTIES,
+    "guest_properties_round_trip": _PROPERTIES,
+    "host_round_trip": "SELECT s_name AS name FROM supplier WHERE s_suppkey % 7 <> 0",
+    "guest_host_index": """SELECT ordinal, key, 'https://example.org/part/' || key || '.json' AS url FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal, 'part-' || p_partkey AS key FROM part)
+        WHERE ordinal < ceil(0.2::DOUBLE * (SELECT count(*) FROM part))
+        UNION ALL SELECT ordinal, key, 'https://example.org/customer/' || key || '.json' AS url FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal, 'customer-' || c_custkey AS key FROM customer)
+        WHERE ordinal < ceil(0.2::DOUBLE * (SELECT count(*) FROM customer))""",
     "measurement_profile": f"""WITH {_SINGLE}, c AS (SELECT count(*) AS n, count(DISTINCT filename) AS e, count(*) FILTER (pressure < 0) AS a, count(*) FILTER (adsorbed_amount < 0) AS b, count(*) FILTER (temperature <= 0) AS t FROM single)
         SELECT n AS measurements, e AS experiments, n // nullif(e, 0) AS avg_per_experiment, a AS neg_pressure, round(100.0::DOUBLE * a / nullif(n, 0), 2) AS neg_pressure_pct,
         b AS neg_uptake, round(100.0::DOUBLE * b / nullif(n, 0), 2) AS neg_uptake_pct, t AS bad_temperature, round(100.0::DOUBLE * t / nullif(n, 0), 2) AS bad_temperature_pct FROM c""",
@@ -223,5 +275,7 @@ SQL = {
     "standardize": f"WITH {_FEATURES} SELECT user_id, round(x, 6) + 0.0 AS n, round(y, 6) + 0.0 AS mean FROM z",
     "dbscan_labels": f"WITH RECURSIVE {_dbscan(0.4, 4)} SELECT user_id, cluster FROM labels",
     "dbscan_summary": f"WITH RECURSIVE {_dbscan(0.75, 5)} SELECT cluster, count(*) AS rows FROM labels GROUP BY 1",
+    "cluster_shares": f"WITH RECURSIVE {_dbscan(0.4, 4)} SELECT cluster, count(*) AS rows, round(count(*)::DOUBLE / (SELECT count(*) FROM labels), 6) AS share FROM labels GROUP BY 1",
+    "cluster_rows": f"WITH RECURSIVE {_dbscan(0.4, 4)} SELECT user_id, cluster FROM labels WHERE cluster = 0",
     "description_prompts": "SELECT DISTINCT p_name AS name, 'Provide a brief description of ' || p_name || '.' AS prompt FROM part",
 }

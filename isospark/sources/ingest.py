@@ -63,10 +63,12 @@ def parse_responses(df: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
 
 
 def experiments_from_docs(parsed: DataFrame) -> DataFrame:
+    """The fields of the documents as columns."""
     return parsed.select("doc.*")
 
 
 def host_names(parsed: DataFrame) -> DataFrame:
+    """Each host's name, null where it has none."""
     return parsed.select(F.col("doc.name").alias("name"))
 
 
@@ -75,11 +77,15 @@ def guest_names(parsed: DataFrame) -> DataFrame:
     return parsed.select(F.coalesce("doc.name", F.lit("")).alias("name"))
 
 
-def read_dataset_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A `;`-separated dataset file; array columns are JSON text there, and several texts stand for null."""
+def read_dataset_csv(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
+    """A `;`-separated dataset file; array columns are JSON text there, and several texts stand for null.
+
+    With `multiline`, quoted values may hold line ends, so a file is one task's work; a very
+    large file without such values is read in parts with it off.
+    """
     kind = _parse_datatype_string(schema)
     names = ", ".join(f"`{f.name}` STRING" for f in kind.fields)
-    text = spark.read.schema(names).option("sep", ";").option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+    text = spark.read.schema(names).option("sep", ";").option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", multiline).csv(path)
 
     def typed(f) -> Column:
         value = F.when(~F.col(f.name).isin(*NULL_TEXTS), F.col(f.name))

@@ -1,6 +1,8 @@
 """Hand-worked rows, plans, files and streams."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,8 @@ def test_enrichment(spark):
     names = spark.createDataFrame([("Nitrogen",), ("nitrogen",), ("Unobtainium",)], "name string")
     assert sorted((r.name, r.elements, r.heavy_atoms) for r in materials.enrich_guests(names, reg).collect() if r.elements) == [("Nitrogen", "N O", 2), ("nitrogen", "N O", 2)]
     assert {r.elements for r in materials.enrich_guests(names, reg, "NA").collect()} == {"N O", "NA"}
+    tied = reg.unionByName(reg.withColumn("atoms", F.lit("m")).where("hit_rank = 1"))
+    assert {r.atoms for order in (tied, tied.orderBy(F.desc("atoms"))) for r in materials.enrich_guests(names.limit(1), order).collect()} == {"m"}
 
 
 @pytest.mark.parametrize(("n", "f", "k"), [(3, 0.1, 1), (30, 0.1, 3), (100, 0.07, 8), (0, 0.1, 0)])
@@ -81,6 +85,83 @@ def test_dbscan_line(spark):
     assert cluster.cluster_rows(labelled, 1).count() == 3
 
 
+def plain_dbscan(points, eps, least):
+    """(id, point) -> cluster, by counting all neighbours."""
+    near = [[j for j, (_, q) in enumerate(points) if sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) <= eps * eps] for _, p in points]
+    core = [len(n) >= least for n in near]
+    label = {}
+    for i in sorted((i for i in range(len(points)) if core[i]), key=lambda i: points[i]):
+        if i in label:
+            continue
+        number, todo = len(set(label.values())), [i]
+        while todo:
+            x = todo.pop()
+            if x not in label:
+                label[x] = number
+                todo += [y for y in near[x] if core[y]]
+    return [label[i] if core[i] else min((label[j] for j in near[i] if core[j]), default=-1) for i in range(len(points))]
+
+
+@pytest.mark.parametrize(("dims", "eps", "least"), [(1, 0.05, 4), (2, 0.3, 5), (2, 0.12, 3), (3, 0.4, 6)])
+def test_dbscan_is_plain_with_dense_cells_and_repeated_ids(spark, dims, eps, least):
+    rnd = random.Random(dims)
+    centers = [[rnd.uniform(-2, 2) for _ in range(dims)] for _ in range(4)]
+    points = [(i // 2 if i < 40 else i, [c + rnd.gauss(0, 0.15 * (1 + i % 3)) for c in centers[i % 4]]) for i in range(300)]
+    points += [(1000 + i, points[i][1]) for i in range(30)]
+    rnd.shuffle(points)
+    cols = [f"x{k}" for k in range(dims)]
+    schema = "id long, " + ", ".join(f"{c} double" for c in cols)
+    df = spark.createDataFrame([(i, *p) for i, p in points] + [(5000, *[None] * dims), (5001, *[float("nan")] * dims)], schema)
+    want = Counter((i, *p, c) for (i, p), c in zip(points, plain_dbscan(points, eps, least), strict=True))
+    for dense in (True, False):
+        got = cluster.dbscan(df, "id", cols, eps, least, dense).collect()
+        assert len(got) == len(points) + 2 and all(r.cluster == -1 for r in got if r.id >= 5000)
+        assert Counter(tuple(r) for r in got if r.id < 5000) == want
+    assert cluster.dbscan(df.limit(0), "id", cols, eps, least).count() == 0
+
+
+def test_dbscan_under_relabelling(spark):
+    """Other ids and another order of rows give the same groups, with other numbers."""
+    rnd = random.Random(2)
+    xs = [rnd.choice((0, 3, 9)) + rnd.random() for _ in range(120)]
+    groups = []
+    for ids in (range(120), rnd.sample(range(1000), 120)):
+        rows = list(zip(ids, xs, strict=True))
+        found = cluster.dbscan(spark.createDataFrame(rnd.sample(rows, 120), "id long, x double"), "id", ["x"], 0.2, 4)
+        sets = {}
+        for r in found.collect():
+            sets.setdefault(r.cluster, set()).add(r.x)
+        groups.append((sets.pop(-1, set()), {frozenset(s) for s in sets.values()}))
+    assert groups[0] == groups[1] and len(groups[0][1]) >= 3
+
+
+def test_empty_tables(spark, golden):
+    single = isotherms.exploded_single(golden.limit(0))
+    assert tuple(profile.measurement_profile(single).first()) == (0, 0, None, 0, None, 0, None, 0, None)
+    assert {r.nulls for r in profile.null_counts(single).collect()} == {0}
+    assert profile.class_distribution(single, "filename").count() == profile.box_stats(single, ["pressure"]).count() == 0
+    assert profile.unit_report(single).first().rows_kept == 0
+    assert cluster.standardize(single, ["pressure"]).count() == 0
+    assert materials.enrich_guests(spark.createDataFrame([("x",)], "name string"), spark.createDataFrame([], REGISTRY)).first().atoms is None
+
+
+def test_points_are_conserved(golden):
+    """Each point of an experiment with one or two gases is a row, or has a null."""
+    points = golden.where("size(adsorbates) in (1, 2)").select(F.sum(F.size("isotherm_data"))).first()[0]
+    single, binary = isotherms.exploded_single(golden), isotherms.binary_mixture(golden, not_null=["filename"])
+    assert single.count() + binary.count() == points
+
+
+def test_csv_as_pandas_writes_it(spark, tmp_path):
+    import pandas as pd
+
+    names = ["two\nlines", 'a "quoted" one', "semi;colon", None, "plain"]
+    pd.DataFrame({"name": names}).to_csv(tmp_path / "p.csv", sep=";", index=False)
+    assert [r.name for r in ingest.read_dataset_csv(spark, str(tmp_path / "p.csv"), "name STRING").collect()] == names
+    (tmp_path / "n.csv").write_text("name;x\n" + "".join(f"{t};1.5\n" for t in ("#NA", "#N/A N/A", "1.#IND", "-1.#QNAN", "NA", "-nan", "word")))
+    assert [r.name for r in ingest.read_dataset_csv(spark, str(tmp_path / "n.csv"), "name STRING, x DOUBLE").collect()] == [None] * 6 + ["word"]
+
+
 def test_index_file(spark, tmp_path):
     (tmp_path / "i.json").write_text(json.dumps([{"filename": "b", "other": 1}, {"filename": "a"}]))
     assert [tuple(r) for r in ingest.read_index(spark, str(tmp_path / "i.json"), "filename STRING").collect()] == [(0, "b"), (1, "a")]

@@ -25,7 +25,7 @@ def rows(columns, values):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, name):
-    sf = "/root/testdata/sf0.001" if not name.startswith("dbscan") else "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.001" if not name.startswith(("dbscan", "cluster")) else "/root/testdata/sf0.01"
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
