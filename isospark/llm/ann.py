@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from isospark.llm.common import stage
 
-#: Rows of the sample that the lists' centres are fitted on at most, lists at most and rows a list is meant to have.
-SAMPLE, MOST_LISTS, PER_LIST = 20_000, 1024, 400
-#: Lists that a query probes: this share of all, and this many at least. Lists in no order at all would give this share of the nearest, so recall stays over it at any size.
-PROBE_SHARE, PROBE_LEAST = 0.9, 8
+#: Rows of the sample that the lists' centres are fitted on at most, rows of it for each list at least, lists at most and rows a list is meant to have.
+SAMPLE, PER_CENTRE, MOST_LISTS, PER_LIST = 65_536, 16, 4096, 400
+#: Share of the sample's own nearest neighbours that the probed lists must hold, queries of the sample that tell, and lists probed at least.
+RECALL, TRIED, PROBE_LEAST = 0.97, 256, 8
 #: Nearest lists that are searched first: what they give bounds what the other lists send.
 FIRST = 3
-#: Candidates and queries that a task holds against each other at a time.
-BLOCK, QUERIES = 4096, 512
+#: Candidates and queries of a task, and queries that are held against the candidates at a time.
+BLOCK, QUERY_BLOCK, QUERIES = 4096, 8192, 512
 #: Columns a step reads, and the test's width: a larger one abandons fewer candidates by mistake.
 COLUMNS, EPSILON = 16, 2.1
 
@@ -58,6 +58,25 @@ def nearest(rows: np.ndarray, middles: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmin((middles**2).sum(1) - 2 * rows[i : i + 4096] @ middles.T, axis=1) for i in range(0, len(rows), 4096)] or [np.empty(0, int)])
 
 
+def needed_probes(sample: np.ndarray, middles: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """How many lists hold a share `recall` of the `k` nearest in `sample` to rows of it, lists in the order of their centres' inner product.
+
+    In all rows the nearest are nearer than in a sample, and so in earlier lists: this is on the safe side.
+    """
+    tried = np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)
+    owner, queries = nearest(sample, middles), sample[tried]
+    scores = queries @ sample.T
+    scores[np.arange(len(tried)), tried] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(middles)
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    place = np.empty((len(tried), len(middles)), int)
+    np.put_along_axis(place, np.argsort(-(queries @ middles.T), axis=1, kind="stable"), np.arange(len(middles))[None], axis=1)
+    found = np.sort(np.take_along_axis(place, owner[best], axis=1).ravel())
+    return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1
+
+
 def scan_list(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
     """For each query, candidates among `rows` that may be of its `k` best; all are rotated.
 
@@ -84,33 +103,37 @@ def scan_list(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int)
     return out
 
 
-def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probe_share: float = PROBE_SHARE) -> DataFrame:
+def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id, score): the `k` nearest found of each row whose id is divisible by `every`.
 
     Score is the inner product in double precision; ties go to the smaller id; a query is not
     its own candidate. Equal vectors are one candidate with its k + 1 smallest ids, which is all
     that an answer can need of them. Vectors of another size than most take no part, nor those
     `usable` leaves out. All rows are indexed; the lists' centres are fitted on at most SAMPLE
-    rows. A list goes out in blocks of BLOCK candidates, its queries in blocks of QUERIES, so a
-    list that many rows share is no single task's work. Repeated rows are one row.
+    rows, and so many lists are probed as hold a share `recall` of the sample's neighbours: few
+    where vectors lie in clusters, nearly all where they have no order. `recall` 1.0 probes all
+    lists, which is the exact way. A list goes out in blocks of BLOCK candidates, its queries in
+    blocks of QUERY_BLOCK, so a list that many rows share is no single task's work. Repeated
+    rows are one row; of an id's different vectors, the one that comes first by its values
+    counts. An empty table gives an empty one; other columns are not read.
     """
     spark = df.sparkSession
-    rows = usable(df, id_col, vector_col).dropDuplicates(["id"])
+    rows = stage(usable(df, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")))
     sizes = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").limit(1).collect()
     size = sizes[0]["s"] if sizes else 1
-    rows = stage(rows.where(F.size("v") == size))
+    rows = rows.where(F.size("v") == size)
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     distinct = stage(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     total = distinct.count()
 
     lists = int(min(MOST_LISTS, max(1, total // PER_LIST)))
-    part = min(1.0, SAMPLE / max(1, total))
+    part = min(1.0, min(SAMPLE, max(SAMPLE // 3, PER_CENTRE * lists)) / max(1, total))
     drawn = distinct.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(part * (1 << 30))).select("v").toPandas()["v"]
     turn = rotation(size)
     sample = np.stack(drawn.to_list()) @ turn if len(drawn) else np.zeros((1, size))
     middles = centres(sample[np.lexsort(sample.T[::-1])], min(lists, len(sample)))
     lists = len(middles)
-    probes = min(lists, max(PROBE_LEAST, int(np.ceil(lists * probe_share))))
+    probes = lists if recall >= 1 else min(lists, max(PROBE_LEAST, needed_probes(sample, middles, k, recall)))
     held = spark.sparkContext.broadcast((turn, middles))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +156,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     # equal queries are searched once; q names a query vector
     queries = stage(asked.groupBy("v").agg(F.min("id").alias("q")))
     probing = queries.mapInPandas(probe, "q long, v array<double>, list int, turn int").join(F.broadcast(blocks), "list")
-    query_blocks = int(max(1, np.ceil(queries.count() * probes / max(1, lists) / QUERIES)))
+    query_blocks = int(max(1, np.ceil(queries.count() * probes / max(1, lists) / QUERY_BLOCK)))
     probing = probing.withColumn("qblock", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "qblock", "q", "v", "turn")
     candidates = candidates.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
