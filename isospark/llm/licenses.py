@@ -154,7 +154,120 @@ SIGNATURES = (
     ("apache-2", "spdx", (rf"spdx {_LICENCE} identifier apache 2 0",)),
     ("bsd-3-clause", "spdx", (rf"spdx {_LICENCE} identifier bsd 3 clause",)),
     ("unknown", "licensed", (r"licensed under", r"licen[cs]ed to")),
-    ("unknown", "license", (r"(?:see|read) the licen[cs]e", r"license agreement", r"released under the [a-z0-9]+ licen[cs]e")),
+    ("unknown", "license", (r"(?:see|read) the licen[cs]e", r"license agreement", r"released under the [a-z0-9]{1,40} licen[cs]e")),
+    ("epl-2", "url", (r"eclipse org legal epl 2 0", r"eclipse org legal epl v20")),
+    ("epl-1", "url", (r"eclipse org legal epl v10",)),
+    ("gpl-3", "url", (r"gnu org licenses gpl 3 0", r"opensource org licenses gpl 3 0", r"spdx org licenses gpl 3 0")),
+    ("gpl-2", "url", (r"gnu org licenses (?:old licenses )?gpl 2 0", r"opensource org licenses gpl 2 0", r"spdx org licenses gpl 2 0")),
+    ("lgpl-3", "url", (r"gnu org licenses lgpl 3 0", r"opensource org licenses lgpl 3 0")),
+    ("lgpl-2.1", "url", (r"gnu org licenses (?:old licenses )?lgpl 2 1", r"opensource org licenses lgpl 2 1")),
+    ("agpl-3", "url", (r"gnu org licenses agpl(?: 3 0)?", r"opensource org licenses agpl 3 0")),
+    ("gfdl", "url", (r"gnu org (?:copyleft|licenses) fdl",)),
+    ("apache-2", "url", (r"apache org licenses license 2 0(?: txt| html)?", r"opensource org licenses apache 2 0", r"spdx org licenses apache 2 0")),
+    ("mit", "url", (r"opensource org license mit", r"spdx org licenses mit", r"choosealicense com licenses mit")),
+    ("isc", "url", (r"opensource org licenses isc", r"spdx org licenses isc")),
+    ("bsd-3-clause", "url", (r"opensource org licenses bsd 3 clause", r"spdx org licenses bsd 3 clause")),
+    ("bsd-2-clause", "url", (r"opensource org licenses bsd 2 clause", r"spdx org licenses bsd 2 clause")),
+    ("mpl-2", "url", (r"mozilla org (?:en us )?mpl 2 0", r"opensource org licenses mpl 2 0")),
+    ("cc0-1", "url", (r"creativecommons org publicdomain zero 1 0",)),
+    ("public-domain", "url", (r"creativecommons org publicdomain mark 1 0",)),
+    ("unlicense", "url", (r"opensource org licenses unlicense", r"unlicense org unlicense")),
+    ("zlib", "url", (r"opensource org licenses zlib", r"zlib net zlib license")),
+    ("boost-1", "url", (r"boost org license 1 0(?: txt)?", r"opensource org licenses bsl 1 0")),
+    ("wtfpl", "url", (r"wtfpl net",)),
+    ("artistic-2", "url", (r"opensource org licenses artistic 2 0", r"perlfoundation org artistic license 2 0")),
+    ("ofl-1.1", "url", (r"scripts sil org ofl", r"opensource org licenses ofl 1 1", r"openfontlicense org")),
+    ("odbl", "url", (r"opendatacommons org licenses odbl",)),
+    ("odc-by", "url", (r"opendatacommons org licenses by",)),
+    ("pddl", "url", (r"opendatacommons org licenses pddl",)),
+    ("eupl-1.2", "url", (r"eupl eu 1 2", r"opensource org licenses eupl 1 2")),
+    ("cecill", "url", (r"cecill info licences",)),
+    ("cddl-1.0", "url", (r"opensource org licenses cddl 1 0",)),
+    ("afl-3", "url", (r"opensource org licenses afl 3 0",)),
+    ("osl-3", "url", (r"opensource org licenses osl 3 0",)),
+    ("ncsa", "url", (r"opensource org licenses ncsa",)),
+    ("postgresql", "url", (r"opensource org licenses postgresql",)),
+    ("upl-1", "url", (r"opensource org licenses upl",)),
+    ("elastic-2", "url", (rf"elastic co licensing elastic {_LICENCE}",)),
+    ("sspl-1", "url", (rf"mongodb com licensing server side public {_LICENCE}",)),
+    ("mit-0", "spdx", (rf"spdx {_LICENCE} identifier mit 0",)),
+    ("lgpl-3", "spdx", (rf"spdx {_LICENCE} identifier lgpl 3 0(?: only| or later)?",)),
+    ("lgpl-2.1", "spdx", (rf"spdx {_LICENCE} identifier lgpl 2 1(?: only| or later)?",)),
+    ("agpl-3", "spdx", (rf"spdx {_LICENCE} identifier agpl 3 0(?: only| or later)?",)),
+    ("bsd-2-clause", "spdx", (rf"spdx {_LICENCE} identifier bsd 2 clause",)),
+    ("0bsd", "spdx", (rf"spdx {_LICENCE} identifier 0bsd",)),
+    ("mpl-2", "spdx", (rf"spdx {_LICENCE} identifier mpl 2 0",)),
+    ("epl-2", "spdx", (rf"spdx {_LICENCE} identifier epl 2 0",)),
+    ("cc0-1", "spdx", (rf"spdx {_LICENCE} identifier cc0 1 0",)),
+    ("cc-by", "spdx", (rf"spdx {_LICENCE} identifier cc by [1234] [05]",)),
+    ("cc-by-sa", "spdx", (rf"spdx {_LICENCE} identifier cc by sa [1234] [05]",)),
+    ("unlicense", "spdx", (rf"spdx {_LICENCE} identifier unlicense",)),
+    ("zlib", "spdx", (rf"spdx {_LICENCE} identifier zlib",)),
+    ("boost-1", "spdx", (rf"spdx {_LICENCE} identifier bsl 1 0",)),
+    ("artistic-2", "spdx", (rf"spdx {_LICENCE} identifier artistic 2 0",)),
+    ("ofl-1.1", "spdx", (rf"spdx {_LICENCE} identifier ofl 1 1",)),
+    ("wtfpl", "spdx", (rf"spdx {_LICENCE} identifier wtfpl",)),
+    ("mit", "text", (r"the above copyright notice and this permission notice shall be included in all copies", r"mit style", r"expat licen[cs]e")),
+    ("mit", "badge", (r"licen[cs]e mit", r"licen[cs]ed? under (?:the )?mit")),
+    ("apache-2", "text", (r"you may not use this file except in compliance with the licen[cs]e", r"asl ?2(?: 0)?", r"licen[cs]ed under (?:the )?apache 2(?: 0)?")),
+    ("bsd", "text", (r"neither the name of the copyright holder nor the names of its contributors", r"licen[cs]ed under (?:the )?bsd")),
+    ("bsd-4-clause", "text", (r"all advertising materials mentioning features or use of this software",)),
+    ("zlib", "text", (r"this software is provided as is without any express or implied warranty in no event",)),
+    ("boost-1", "text", (r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software",)),
+    ("gpl", "text", (r"this program is free software you can redistribute it and or modify", r"copyleft gpl", r"licen[cs]ed under (?:the )?(?:gnu )?gpl")),
+    ("gpl", "text", (r"this program is distributed in the hope that it will be useful but without any warranty",)),
+    ("lgpl", "text", (r"this library is free software you can redistribute it and or modify",)),
+    ("mpl-2", "text", (r"this source code form is subject to the terms of the mozilla public licen[cs]e",)),
+    ("epl", "text", (r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e",)),
+    ("wtfpl", "text", (r"you just do what the fuck you want to",)),
+    ("unlicense", "text", (r"anyone is free to copy modify publish use compile sell or distribute this software",)),
+    ("beerware", "text", (r"beer ?ware(?: licen[cs]e)?", r"buy me a beer in return")),
+    ("json", "text", (r"the software shall be used for good not evil", r"json licen[cs]e")),
+    ("curl", "curl", (rf"curl {_LICENCE}",)),
+    ("tcl", "tcl", (rf"tcl tk {_LICENCE}", rf"tcl {_LICENCE}")),
+    ("ntp", "ntp", (rf"ntp {_LICENCE}",)),
+    ("naist", "naist", (rf"naist {_LICENCE}",)),
+    ("unicode", "unicode", (rf"unicode {_LICENCE} agreement", rf"unicode {_LICENCE}", r"unicode data files and software")),
+    ("icu", "icu", (rf"icu {_LICENCE}",)),
+    ("ijg", "ijg", (rf"independent jpeg group s? ?{_LICENCE}", rf"ijg {_LICENCE}")),
+    ("freetype", "freetype", (rf"freetype (?:project )?{_LICENCE}", rf"ftl {_LICENCE}")),
+    ("imagemagick", "imagemagick", (rf"imagemagick {_LICENCE}",)),
+    ("blueoak-1", "blue", (rf"blue oak model {_LICENCE}(?: 1 0 0)?",)),
+    ("parity-7", "parity", (rf"parity public {_LICENCE}(?: 7 0 0)?",)),
+    ("polyform", "polyform", (rf"polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use) {_LICENCE}(?: 1 0 0)?",)),
+    ("commons-clause", "clause", (r"commons clause",)),
+    ("fair-source", "fair", (rf"fair source {_LICENCE}", rf"functional source {_LICENCE}")),
+    ("confluent", "confluent", (rf"confluent community {_LICENCE}",)),
+    ("redis-source", "redis", (rf"redis source available {_LICENCE}", r"rsalv2")),
+    ("timescale", "timescale", (rf"timescale {_LICENCE}",)),
+    ("rpl-1.5", "reciprocal", (rf"reciprocal public {_LICENCE}(?: 1 5)?",)),
+    ("apsl-2", "apsl", (rf"apple public source {_LICENCE}(?: 2 0)?", r"apsl 2 0")),
+    ("ibmpl-1", "ibm", (rf"ibm public {_LICENCE}(?: 1 0)?",)),
+    ("nposl-3", "nonprofit", (rf"non profit open software {_LICENCE}(?: 3 0)?",)),
+    ("sun-public", "sun", (rf"sun public {_LICENCE}(?: 1 0)?", rf"sun industry standards source {_LICENCE}")),
+    ("nasa-1.3", "nasa", (rf"nasa open source agreement(?: 1 3)?",)),
+    ("ogl-uk", "government", (rf"open government {_LICENCE}(?: v?[123] 0)?",)),
+    ("etalab", "etalab", (r"licence ouverte(?: etalab)?(?: 2 0)?", r"etalab open licen[cs]e")),
+    ("dl-de-by", "datenlizenz", (r"datenlizenz deutschland(?: namensnennung)?(?: 2 0)?",)),
+    ("cdla", "cdla", (r"community data licen[cs]e agreement(?: permissive| sharing)?(?: [12] 0)?", r"cdla (?:permissive|sharing)(?: [12] 0)?")),
+    ("c-uda", "data", (r"computational use of data agreement",)),
+    ("gemma", "gemma", (r"gemma terms of use",)),
+    ("deepseek", "deepseek", (rf"deepseek {_LICENCE}",)),
+    ("falcon", "falcon", (rf"falcon (?:180b )?(?:tii )?{_LICENCE}",)),
+    ("bigcode-openrail-m", "openrail", (r"bigcode openrail m",)),
+    ("free-art", "art", (rf"free art {_LICENCE}(?: 1 3)?", r"licence art libre(?: 1 3)?")),
+    ("gust-font", "gust", (rf"gust font {_LICENCE}",)),
+    ("ubuntu-font", "ubuntu", (rf"ubuntu font {_LICENCE}(?: 1 0)?", rf"ubuntu font licen[cs]e")),
+    ("bitstream-vera", "vera", (rf"bitstream vera (?:fonts? )?{_LICENCE}",)),
+    ("dual", "dual", (r"dual licen[cs]ed?", r"licen[cs]ed under either of")),
+    ("proprietary", "rights", (r"no part of this (?:publication|book|document) may be reproduced", r"unauthori[sz]ed (?:copying|reproduction|distribution)", r"trade secrets? of")),
+    ("non-commercial", "noncommercial", (r"for non ?commercial (?:use|purposes)(?: only)?", r"personal use only", r"for personal and non ?commercial use")),
+    ("research-only", "research", (r"for (?:academic|research) (?:use|purposes) only", r"research only licen[cs]e")),
+    ("evaluation", "evaluation", (r"for evaluation (?:use|purposes) only", r"evaluation licen[cs]e")),
+    ("freeware", "freeware", (r"this (?:program|software) is freeware", r"freeware licen[cs]e")),
+    ("shareware", "shareware", (r"this (?:program|software) is shareware", r"shareware licen[cs]e")),
+    ("eula", "user", (r"end user licen[cs]e", r"software licen[cs]e agreement")),
+    ("unknown", "licence", (r"some rights reserved", r"open source licen[cs]e", r"permissive licen[cs]e", r"free software licen[cs]e", r"under the same licen[cs]e", r"copyleft licen[cs]e", r"licen[cs]e terms", r"terms of the licen[cs]e")),
 )
 VAGUE = {"unknown", "copyright", "cc", "gpl", "lgpl", "apache", "bsd", "mpl", "epl"}
 
@@ -192,7 +305,7 @@ class Rule:
 #: One rule for each pattern; the first has the highest priority.
 RULES = [Rule(label, literals(p), re.compile(f"(?<= ){p}(?= )"), -n) for n, (label, p) in enumerate((label, p) for label, _, ps in SIGNATURES for p in ps)]
 
-#: More characters than any pattern can match.
+#: More characters than any pattern can match: patterns repeat single characters and short parts only, with a bound.
 REACH = 512
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -279,7 +392,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def license_labels(docs: DataFrame) -> DataFrame:
-    """The scan's places and labels in one row for each document."""
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score): the scan in one row for each row of `docs`.
+
+    Null and empty texts have no words, places and labels, and score 0; first_word and last_word
+    are null without a place. Repeated rows and null ids stay as they are; an empty table gives
+    an empty one; texts of any length are read whole; other columns are not read.
+    """
     base, marks = F.col("base.label"), F.col("marks.label")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return license_scan(docs).select(
