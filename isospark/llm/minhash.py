@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isospark.llm.common import let_go, map_slices, raw_texts, stage, texts_of
@@ -123,10 +123,12 @@ def compared_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The next row has the next smaller id, or the same one; the last one's is the first row. Rows
     with one id follow each other by a hash of their texts; null ids come last. A single row is
-    its own next. Texts are dealt out by ranges of ids once; a range's first and last rows are
-    written aside, and joined with their neighbours' afterwards: two rows of a range, however
-    many rows it has.
+    its own next. Texts are dealt out by ranges of ids once; a range's first and last texts are
+    written aside, and joined with their neighbours' afterwards: two texts of a range, however
+    many rows it has. Null texts are empty ones; texts of any length are read whole; an empty
+    table gives an empty one; other columns are not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("key"))
     order = [F.desc_nulls_last("id"), F.asc("key")]
     kind = rows.schema["id"].dataType.simpleString()
@@ -157,10 +159,11 @@ def compared_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     made = stage(map_slices(ranged, run, f"id {kind}, {_RESULT}, part int, last_text string, first_text string", 256))
     ends = made.where("part is not null").select("id", "part", "last_text", "first_text")
-    # one row for each partition of the range shuffle, not for each document
-    chain = Window.orderBy("part")
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    linked = ends.select("id", "last_text", F.coalesce(F.lead("first_text").over(chain), F.first("first_text").over(whole)).alias("after"))
+    # numbers of the range shuffle's partitions that have rows, without texts: each one's next, the last one's is the first
+    parts = sorted(r["part"] for r in ends.select("part").collect())
+    after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
+    heads = ends.select(F.col("part").alias("next"), F.col("first_text").alias("after"))
+    linked = ends.select("id", "part", "last_text").join(F.broadcast(after), "part").join(heads, "next").select("id", "last_text", "after")
 
     names = [x.split()[0] for x in _RESULT.split(", ")]
 

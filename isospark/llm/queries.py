@@ -10,54 +10,70 @@ from isospark.llm.common import table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id: SimHash of 64 bits over four-word shingles, linked at 4 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, learned from the labels that are not held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest of each vector whose id is divisible by 20."""
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: passages of 50 words that a smaller id has go."""
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length of each piece."""
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     decoded = bpe.round_trip(table(spark, sf_dir, "documents"))
     written = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, by the law `rows`."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     return minhash.compared_to_next(table(spark, sf_dir, "documents"))
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op10: its bands joined, and Jaccard verified."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the stages of corpus_pipeline leave."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_nearest_neighbours, op4_substring_dedup, op5_packing, op6_byte_bpe, op7_sharding, op8_token_counts, op9_license_scan, op10_minhash_fingerprints, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_nearest_neighbours, op4_substring_dedup, op5_packing, op6_byte_bpe, op7_sharding, op8_token_counts, op9_license_scan, op10_minhash_fingerprints, minhash_near_duplicates, pipeline)}
 
 SQL = {
     "op4_substring_dedup": r"""

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -150,6 +151,31 @@ def test_minhash_rows(spark, sf):
     assert minhash.compared_to_next(empty(spark)).count() == 0
 
 
+def plain_signature(text):
+    """MinHash with whole numbers, one shingle and one permutation at a time."""
+    word = re.compile(rb"[^\x20\x09-\x0D]+")
+    words = word.findall(bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in (text or "").encode()))
+    own = {w: int(pd.util.hash_array(np.array([w.decode()], object), categorize=False)[0]) for w in set(words)}
+    mod = 1 << 64
+    runs = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    hashes = []
+    for run in runs:
+        h = 0
+        for w in run:
+            h = (h * 0x9E3779B97F4A7C15 + own[w]) % mod
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % mod
+        hashes.append(h ^ h >> 27)
+    slots = [min(((a * h + b) % mod >> 32 for h in hashes), default=0xFFFFFFFF) & 0xFFFF for a, b in zip(minhash._A.tolist(), minhash._B.tolist(), strict=True)]
+    return "".join(f"{x:04x}" for x in slots)
+
+
+def test_minhash_is_the_plain_one(spark, sf):
+    for df in (documents(spark, sf).limit(40), edges(spark)):
+        texts = {(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()}
+        want = Counter((d, plain_signature(t)) for d, t in texts)
+        assert Counter(tuple(r) for r in minhash.fingerprints(df.select("doc_id", "text").distinct()).collect()) == want
+
+
 def test_minhash_estimates_jaccard():
     rnd = random.Random(2)
     for share in (0.2, 0.5, 0.8):

@@ -8,6 +8,7 @@ from re import _parser
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from isospark.llm import ann, licenses, toxicity
@@ -126,10 +127,17 @@ def test_neighbours_have_recall(spark):
     assert sum(got.values()) / (20 * len(want)) >= 0.9
 
 
-def test_neighbours_have_recall_where_lists_are_skipped(spark):
-    """Random unit vectors, the hardest for lists: 20,000 have 50 lists, far more than PROBE_LEAST."""
-    v = np.random.default_rng(1).standard_normal((20_000, 64))
-    v /= np.linalg.norm(v, axis=1)[:, None]
+def vectors(kind, n, rng):
+    v = rng.standard_normal((n, 64))
+    if kind == "clustered":
+        v = rng.standard_normal((200, 64))[rng.integers(0, 200, n)] + 0.35 * v
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("kind", "n"), [("random", 20_000), ("clustered", 20_000), ("clustered", 100_000)])
+def test_neighbours_have_recall_where_lists_are_skipped(spark, kind, n):
+    """Random unit vectors are the hardest for lists; in clusters, few lists are probed."""
+    v = vectors(kind, n, np.random.default_rng(1))
     asked = np.arange(0, len(v), 20)
     scores = v[asked] @ v.T
     scores[np.arange(len(asked)), asked] = -np.inf
@@ -138,15 +146,29 @@ def test_neighbours_have_recall_where_lists_are_skipped(spark):
     rows = ann.search(frame).collect()
     assert len(rows) == 20 * len(want)
     assert sum(r["vec_id"] in want[r["query_id"]] for r in rows) / len(rows) >= 0.9
+    if kind == "clustered":
+        middles = ann.centres(v[:20_000], n // ann.PER_LIST)
+        assert ann.needed_probes(v[:20_000], middles, 20) < len(middles) / 4
+
+
+def test_all_lists_are_exact(spark):
+    v = vectors("random", 6000, np.random.default_rng(2))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    rows = {}
+    for r in ann.search(frame, recall=1.0).collect():
+        rows.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    found = sum(i in {x for _, x in own} for q, own in brute(dict(enumerate(v)), 20, 20).items() for i in rows[q].values())
+    assert found >= 0.995 * 20 * len(rows)
 
 
 def test_neighbours_edges(spark):
     v = [1.0, 2.0, 0.5]
-    data = [(i, v) for i in range(60)] + [(60, [1.0, 2.0, 0.4]), (61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 1.0]), (64, [1.0, float("nan"), 1.0]), (65, [float("inf"), 1.0, 1.0]), (66, [1.0]), (67, []), (None, v), (40, v)]
+    data = [(i, v) for i in range(60)] + [(60, [1.0, 2.0, 0.4]), (61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 1.0]), (64, [1.0, float("nan"), 1.0]), (65, [float("inf"), 1.0, 1.0]), (66, [1.0]), (67, []), (None, v), (40, v), (41, [0.1, 0.1, 0.1])]
     rows = rows_of(ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr("*", "1 AS q", "2 AS list")))
     for q in (0, 20, 40):
         mine = [r["vec_id"] for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])]
         assert mine == [i for i in range(22) if i != q][:20]
+    assert all(r["vec_id"] != 41 or r["score"] < 1 for r in rows)  # of two vectors of one id, the smaller one
     assert {r["query_id"] for r in rows} == {0, 20, 40, 60}
     few = spark.createDataFrame([(0, v), (1, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(few).collect()] == [(0, 1, 1, 1.0)]
@@ -199,6 +221,49 @@ def example(tree, rnd):
     return out
 
 
+def brute_labels(text):
+    """All rules on all places, no gate; a detection goes where one of higher priority holds it, and a vague one where a definite one does."""
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    line = " " + " ".join(words) + " "
+    kept = []
+    for rule in sorted(licenses.RULES, key=lambda r: -r.priority):
+        pattern = re.compile(rule.pattern.pattern, re.ASCII)
+        for m in sorted(((m.start(), m.end()) for m in pattern.finditer(line)), key=lambda s: (s[0], -s[1])):
+            if any(a <= m[0] and m[1] <= b for a, b, _ in kept):
+                continue
+            kept = [k for k in kept if not (m[0] <= k[0] and k[1] <= m[1] and k[2] in licenses.VAGUE)]
+            kept.append((*m, rule.label))
+    return {label for _, _, label in kept}
+
+
+def test_license_labels_are_brute_force(spark, sf):
+    """On documents, on an example of each rule, and on many examples in one text."""
+    rnd = random.Random(9)
+    examples = [example(_parser.parse(p), rnd) for _, _, patterns in licenses.SIGNATURES for p in patterns]
+    texts = examples + [" and ".join(rnd.sample(examples, 12)) for _ in range(60)] + ["word " * 200 + e + " tail" * 300 + " " + e for e in rnd.sample(examples, 20)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for df in (documents(spark, sf).select("doc_id", "text"), edges(spark).select("doc_id", "text"), made):
+        rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+        base = {t: {label for phrase, label in licenses.BASE if f" {phrase} " in " " + " ".join(WORD.findall(t.lower() if t.isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))) + " "} for _, t in rows}
+        want = Counter((d, ",".join(sorted(base[t] | brute_labels(t)))) for d, t in rows)
+        assert Counter((r["doc_id"], r["labels"]) for r in licenses.license_labels(df).select("doc_id", "labels").collect()) == want
+
+
+def test_license_rules_are_hundreds_and_reachable():
+    assert len(licenses.RULES) >= 300
+    assert all(max(map(len, r.gates)) >= 3 for r in licenses.RULES)
+    scan, rnd = licenses.Scanner().scan, random.Random(1)
+    for label, _, patterns in licenses.SIGNATURES:
+        for p in patterns:
+            assert any(label == m[2] for _ in range(20) for m in scan(example(_parser.parse(p), rnd).encode())[2]) or label in licenses.VAGUE, (label, p)
+
+
+def test_license_long_text():
+    text = "x" * 3_000_000 + " released under the " + "y" * 1000 + " license " + "word " * 300_000 + "gplv3"
+    n, base, marks = licenses.Scanner().scan(text.encode())
+    assert n == 300_007 and not base and marks[-1][2] == "gpl-3"
+
+
 def test_license_gate_loses_no_match():
     gated, ungated = licenses.Scanner(), licenses.Scanner([replace(r, gates=(" ",)) for r in licenses.RULES])
     rnd = random.Random(4)
