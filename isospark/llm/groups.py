@@ -42,6 +42,16 @@ class Forest:
         self.root[max(x, y)] = min(x, y)
         return x != y
 
+    def apart(self, left: np.ndarray, right: np.ndarray, step: int = 4096) -> Iterator[tuple[int, int]]:
+        """The pairs that are in two sets when their turn comes, about: looked up `step` at a time, as joins go on."""
+        for s in range(0, len(left), step):
+            root = np.array(self.root)
+            while (root[root] != root).any():
+                root = root[root]
+            a, b = left[s : s + step], right[s : s + step]
+            open_ = root[a] != root[b]
+            yield from zip(a[open_].tolist(), b[open_].tolist(), strict=True)
+
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
     """Sorted batches as tables of whole runs of equal values of the first `keys` columns (integers without nulls), with where each run begins and ends."""
@@ -63,8 +73,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Tabl
         yield carried, [(0, carried.num_rows)]
 
 
-def tile_links(texts: list[bytes], left: np.ndarray, right: np.ndarray, labels: np.ndarray, pairs: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, int]]], threshold: float, size: int) -> list[tuple[int, int]]:
-    """Verified links between the texts at `left` and those at `right`, at most one for each text: pairs that links or `labels` connect already are passed over."""
+def tile_links(texts: list[bytes], left: np.ndarray, right: np.ndarray | None, labels: np.ndarray, pairs: Callable[[np.ndarray, np.ndarray | None], Iterator[tuple[np.ndarray, np.ndarray]]], threshold: float, size: int) -> list[tuple[int, int]]:
+    """Verified links between the texts at `left` and those at `right` (None: among the former), at most one for each text: pairs that links or `labels` connect already are passed over."""
     forest, first, known = Forest(len(texts)), {}, {}
     for i, label in enumerate(labels.tolist()):
         forest.join(first.setdefault(label, i), i)
@@ -75,7 +85,7 @@ def tile_links(texts: list[bytes], left: np.ndarray, right: np.ndarray, labels:
         return known[i]
 
     out = []
-    for i, j in pairs(left, right):
+    for i, j in (pair for some in pairs(left, right) for pair in forest.apart(*some)):
         if forest.find(i) != forest.find(j) and jaccard(own(i), own(j), threshold) >= threshold:
             forest.join(i, j)
             out.append((i, j))
@@ -100,7 +110,7 @@ def _linked(tiles: DataFrame, keys: list[str], candidates: Callable, threshold:
                 texts = [t or b"" for t in rows["text"].cast(pa.binary()).to_pylist()]
                 marks = np.frombuffer(b"".join(rows["mark"].to_pylist()), np.uint64).reshape(end - start, -1)
                 pairs = lambda a, b: candidates(marks, a, b)  # noqa: B023, E731
-                found += [(nodes[start + i], nodes[start + j]) for i, j in tile_links(texts, left, right if len(right) else left, labels[start:end], pairs, threshold, size)]
+                found += [(nodes[start + i], nodes[start + j]) for i, j in tile_links(texts, left, right if len(right) else None, labels[start:end], pairs, threshold, size)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([f[k] for f in found], np.int64)) for k in (0, 1)], names=["a", "b"])
 
@@ -112,7 +122,7 @@ def verified_components(marks: DataFrame, texts: DataFrame, links: DataFrame, ca
 
     `marks` (node long, mark binary of whole 64-bit words) and `texts` (node, text) have each node
     once; `links` (a, b) connects all candidates. `candidates(marks, left, right)` gives the
-    candidate pairs among the rows of a tile pair (or of one tile, both being the same array); a
+    candidate pairs among the rows of a tile pair (or of one tile, `right` being None) as arrays; a
     link has sets of `size`-word shingles of Jaccard likeness `threshold` or more. Each candidate
     pair is compared, or links connect it already.
     """

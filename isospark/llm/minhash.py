@@ -61,12 +61,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _sharing_bands(marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs that have a band in common; a row of `marks` is a signature, a band a word."""
+def _sharing_bands(marks: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that have a band in common, of `left` and `right` or of `left` alone; a row of `marks` is a signature, a band a word."""
     for s in range(0, len(left), 64):
-        some = left[s : s + 64]
-        x, y = np.nonzero((marks[some][:, None, :] == marks[right][None, :, :]).any(axis=2))
-        yield from zip(some[x].tolist(), right[y].tolist(), strict=True)
+        some, other = left[s : s + 64], left[s + 1 :] if right is None else right
+        x, y = np.nonzero((marks[some][:, None, :] == marks[other][None, :, :]).any(axis=2))
+        yield some[x], other[y]
 
 
 def near_texts(texts: DataFrame, prints: DataFrame, threshold: float = LIKENESS, tile: int = TILE) -> DataFrame:

@@ -28,7 +28,7 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 TILE = 2048
 #: For likeness: 64-bit words of a fingerprint, standard deviations that a distance may be off, fingerprints of a bucket, chance that no bucket has a pair at the threshold.
 WORDS, WIDTH, BUCKET, MISSED = 4, 4.5, 512, 0.003
-_FACTORS = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB, 0xA0761D6478BD642F))
+_FACTORS = np.array([0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB, 0xA0761D6478BD642F], np.uint64)
 _ONE = np.uint64(1)
 
 
@@ -43,10 +43,16 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     else:
         starts = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
         hashes = [xxhash.xxh64_intdigest(clean[a:b], SEED) for a, b in zip(starts[:-size].tolist(), (starts[size:] - 1).tolist(), strict=True)]
-    data, ones = np.array(hashes, np.uint64), np.zeros(BITS, np.int64)
-    for i in range(0, len(data), 1 << 16):
-        ones += np.unpackbits(data[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(data), bitorder="little").view(np.uint64)[0])
+    ones = bit_counts(np.array(hashes, np.uint64)[:, None])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of `rows` (n x words of 64 bits) have each bit; 255 rows are added in bytes."""
+    ones = np.zeros(64 * rows.shape[1], np.int64)
+    for i in range(0, len(rows), 255):
+        ones += np.unpackbits(rows[i : i + 255].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return ones
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,17 +82,25 @@ class BitPlanes:
         if self.n % 64:
             self.valid[-1] = (_ONE << np.uint64(self.n % 64)) - _ONE
 
-    def within(self, queries: np.ndarray, limits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index of query, index of fingerprint) whose distance over the first p planes is at most r for each p: r of `limits`."""
+    def within(self, queries: np.ndarray, limits: dict[int, int], own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (index of query, index of fingerprint) whose distance over the first p planes is at most r for each p: r of `limits`.
+
+        With `own`, the queries are the fingerprints from there on, and only later ones are their partners.
+        """
         words = self.planes.shape[1]
         query, word = np.repeat(np.arange(len(queries)), words), np.tile(np.arange(words), len(queries))
+        if own is not None:
+            later = word >= (query + own + 1) >> 6
+            query, word = query[later], word[later]
         counters = np.zeros((max(limits.values()).bit_length(), len(query)), np.uint64)
         over = ~self.valid[word]
         for p in range(self.bits):
             carry = self.planes[p][word] ^ (np.uint64(0) - ((queries[query, p >> 6] >> np.uint64(p & 63)) & _ONE))
-            for c in counters:
+            used = (p + 1).bit_length()  # no count is over p + 1
+            for c in counters[:used]:
                 carry, c[:] = carry & c, carry ^ c
-            over |= carry
+            if used > len(counters):
+                over |= carry
             if p + 1 in limits:
                 over |= self._above(counters, limits[p + 1])
                 alive = over != ~np.uint64(0)
@@ -96,7 +110,8 @@ class BitPlanes:
                     break
         lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, lane = np.nonzero(lanes)
-        return query[row], word[row] * 64 + lane
+        q, f = query[row], word[row] * 64 + lane
+        return (q, f) if own is None else (q[f > q + own], f[f > q + own])
 
     @staticmethod
     def _above(counters: np.ndarray, radius: int) -> np.ndarray:
@@ -110,11 +125,11 @@ class BitPlanes:
                 equal = equal & ~counters[bit]
         return above
 
-    def pairs(self, queries: np.ndarray, limits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """`within` for blocks of `queries`, so that memory is bounded."""
+    def pairs(self, queries: np.ndarray, limits: dict[int, int], own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`within` for blocks of `queries`, so that memory is bounded. With `own`, the queries are the fingerprints and each pair comes once."""
         step = max(1, (1 << 16) // self.planes.shape[1])
         for s in range(0, len(queries), step):
-            q, f = self.within(queries[s : s + step], limits)
+            q, f = self.within(queries[s : s + step], limits, s if own else None)
             yield q + s, f
 
 
@@ -130,9 +145,8 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, limits: dict[int,
     """
     planes, forest = BitPlanes(left if right is None else right), Forest(len(left) + (0 if right is None else len(right)))
     out = []
-    for q, f in planes.pairs(left, limits):
-        keep = f > q if right is None else slice(None)
-        for a, b in zip(q[keep].tolist(), (f[keep] + (0 if right is None else len(left))).tolist(), strict=True):
+    for q, f in planes.pairs(left, limits, right is None):
+        for a, b in forest.apart(q, f if right is None else f + len(left)):
             if forest.join(a, b):
                 out.append((a, b))
     return out
@@ -207,15 +221,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """WORDS x 64 bits of a set of shingle hashes: each is 1 where it is set in over half of them. Zero for none."""
-    out = np.zeros(WORDS, np.uint64)
-    hashes = np.unique(hashes)
-    for w, factor in enumerate(_FACTORS):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 16):
-            part = mixed(hashes[i : i + (1 << 16)] + factor, factor)
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[w] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
+    hashes, ones = np.unique(hashes), np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        ones += bit_counts(mixed(hashes[i : i + (1 << 14), None] + _FACTORS, _FACTORS))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
 def flip_chance(threshold: float) -> float:
@@ -263,10 +272,10 @@ def near_texts(texts: DataFrame, threshold: float = LIKENESS, size: int = SHINGL
 
     limits = likeness_limits(threshold)
 
-    def candidates(marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-        planes = BitPlanes(marks[right])
-        for q, f in planes.pairs(marks[left], limits):
-            yield from zip(left[q].tolist(), right[f].tolist(), strict=True)
+    def candidates(marks: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        other = left if right is None else right
+        for q, f in BitPlanes(marks[other]).pairs(marks[left], limits, right is None):
+            yield left[q], other[f]
 
     prints = stage(map_slices(texts.select("node", "text"), run, "node long, fp array<long>, mark binary"))
     near = stage(links(prints.select("node", "fp"), drawn_masks(prints.count(), threshold), limits))
