@@ -94,7 +94,9 @@ def tile_links(texts: list[bytes], left: np.ndarray, right: np.ndarray | None, l
 
 def _linked(tiles: DataFrame, keys: list[str], candidates: Callable, threshold: float, size: int) -> DataFrame:
     """(a, b) of verified links in each tile pair of `tiles` (keys, side, node, label, mark, text)."""
-    sorted_ = tiles.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "label", "mark", "text")
+    # by number, so that few MB of texts, which are much work, are not put together in few tasks
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = tiles.repartition(parts, *keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "label", "mark", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
