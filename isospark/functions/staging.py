@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folders: dict[str, str] = {}
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,8 +32,28 @@ def stage(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     Cuts lineage: a lost executor costs no recomputation of what is before, and a table
-    that is used twice is made once.
+    that is used twice is made once. The write's shuffle files go as soon as it has ended, not
+    when the driver happens to collect its garbage; the session's setting is as before then.
     """
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the folder of a table that `stage` gave, once all that is made of it is written."""
+    spark = staged.sparkSession
+    top = shared_folder(spark).rstrip("/").split("://")[-1]
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        if f"{top}/isospark/" not in folder:
+            raise ValueError(f"{folder} is not a staged table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
