@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isospark.functions.staging import stage  # noqa: F401  (used by the operators)
+from isospark.functions.staging import discard, stage  # noqa: F401  (used by the operators)
 
 _held: dict = {}
 #: Ranks that one row gives at a time.

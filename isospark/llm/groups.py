@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isospark.functions.graph import components
-from isospark.llm.common import let_go, stage
+from isospark.llm.common import discard, let_go, stage
 from isospark.llm.shingles import LIKENESS, SHINGLE, jaccard, shingle_hashes
 
 #: Texts and MB of a tile, about.
@@ -140,6 +140,7 @@ def verified_components(marks: DataFrame, texts: DataFrame, links: DataFrame, ca
     # beside another tile, the first one is compared with that alone
     links = stage(_linked(against_first, ["group", "j"], candidates, threshold, size))
     if large.isEmpty():
+        discard(own)
         return components(links)
 
     reached = stage(components(links)).withColumnRenamed("component", "label")
@@ -154,6 +155,8 @@ def verified_components(marks: DataFrame, texts: DataFrame, links: DataFrame, ca
     all_side = left.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("j", F.col("i")).withColumn("side", F.lit(1))
     names = ["group", "r", "j", "side", "node", "label", "mark", "text"]
     more = stage(_linked(rest_side.select(*names).unionByName(all_side.select(*names)), ["group", "r", "j"], candidates, threshold, size))
+    discard(own)
+    discard(labelled)
     return components(links.unionByName(more))
 
 

@@ -160,14 +160,15 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     texts = rows.where("id is not null")
     places = anchors(texts.select("id", "text"), window)
     shared = _owners(places, ["anchor"]).select("anchor")
-    ats = places.hint("merge").join(shared, "anchor").groupBy("id").agg(F.collect_set("at").alias("ats"))
+    # written before texts are shuffled, and so are the windows below: the hashes' shuffles are gone by then
+    ats = stage(places.hint("merge").join(shared, "anchor").groupBy("id").agg(F.collect_set("at").alias("ats")))
     # a copy adds no window that its owner, which is smaller, doesn't have
     only_copies = marked.groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id")
     found = stage(texts.join(ats.join(only_copies, "id", "left_anti"), "id"))
 
     spans = windows(found, window)
     owned = _owners(spans, ["w1", "w2"])
-    gone = spans.hint("merge").join(owned, ["w1", "w2"]).where("owner < id").groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+    gone = stage(spans.hint("merge").join(owned, ["w1", "w2"]).where("owner < id").groupBy("id", "key").agg(F.collect_set("at").alias("ats")))
     lost = trimmed(found.drop("ats").join(gone, ["id", "key"]).select("id", "key", "text", "ats"), window)
     return marked, lost
 
