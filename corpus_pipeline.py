@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isospark.llm import packing, simhash, substrings, toxicity
-from isospark.llm.common import stage, table
+from isospark.llm.common import discard, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
     texts = stage(keyed.groupBy("key").agg(F.first("text").alias("text")).withColumnRenamed("key", "node"))
     found = stage(simhash.near_texts(texts))
+    discard(texts)
     return keyed.select("doc_id", "key").join(found.withColumnRenamed("node", "key"), "key")
 
 
