@@ -35,6 +35,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low.astype(np.uint16)
 
 
+def band_words(hashes: np.ndarray) -> np.ndarray:
+    """The BANDS bands of the signature, each as one 64-bit word."""
+    return signature(hashes).view(np.uint64)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 

@@ -21,13 +21,14 @@ from isospark.functions.graph import components
 from isospark.llm.common import let_go, map_slices, raw_texts, stage
 from isospark.llm.groups import TILE as TEXT_TILE
 from isospark.llm.groups import Forest, runs, smallest_ids, verified_components
+from isospark.llm.minhash import BANDS, band_words
 from isospark.llm.shingles import LIKENESS, mixed, shingle_hashes
 from isospark.llm.shingles import SHINGLE as SHINGLE_WORDS
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 TILE = 2048
-#: For likeness: 64-bit words of a fingerprint, standard deviations that a distance may be off, fingerprints of a bucket, chance that no bucket has a pair at the threshold.
-WORDS, WIDTH, BUCKET, MISSED = 4, 4.5, 512, 0.003
+#: For likeness: 64-bit words of a fingerprint, standard deviations that a distance may be off.
+WORDS, WIDTH = 4, 4.5
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB, 0xA0761D6478BD642F], np.uint64)
 _ONE = np.uint64(1)
 
@@ -165,20 +166,25 @@ def block_masks(n: int, radius: int = RADIUS) -> list[list[int]]:
 
 
 def links(nodes: DataFrame, masks: list[list[int]], limits: dict[int, int], tile: int = TILE) -> DataFrame:
-    """(a, b) that connect all of `nodes` (node long, fp array<long>) whose distance is within `limits` and that agree in one of `masks`.
-
-    Buckets over `tile` are cut into tiles, and each pair of tiles is a task's own work: a tile
-    goes to as many pairs as its bucket has tiles, so no task holds more than two tiles.
-    """
+    """(a, b) that connect all of `nodes` (node long, fp array<long>) whose distance is within `limits` and that agree in one of `masks`."""
     signed = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in masks]
     words = len(signed[0])
     table = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(m).alias(f"m{w}") for w, m in enumerate(mask)]) for i, mask in enumerate(signed)])
     keys = F.transform(table, lambda m: F.xxhash64(m["i"], *[F.get("fp", F.lit(w)).bitwiseAND(m[f"m{w}"]) for w in range(words)]))
-    keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
-    # buckets over a tile: at most a row for each `tile` rows of the buckets
-    large = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("t")))
-    placed = keyed.join(large, "key", "left").withColumn("t", F.coalesce("t", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
-    paired = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    return bucket_links(nodes.select("node", F.explode(keys).alias("key")), nodes, words, limits, tile)
+
+
+def bucket_links(keyed: DataFrame, nodes: DataFrame, words: int, limits: dict[int, int], tile: int = TILE) -> DataFrame:
+    """(a, b) that connect all of `nodes` (node long, fp array<long> of `words`) whose distance is within `limits` and that have a key of `keyed` (node, key) in common.
+
+    Keys are counted first, and only nodes with a shared one get their fingerprints beside it.
+    Buckets over `tile` are cut into tiles, and each pair of tiles is a task's own work: a tile
+    goes to as many pairs as its bucket has tiles, so no task holds more than two tiles.
+    """
+    shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("t")))
+    # a shuffle of its own, not the aggregation's, so that the skew join can split a bucket
+    placed = keyed.hint("merge").join(shared, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
+    paired = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).join(nodes.select("node", "fp"), "node")
     sorted_ = paired.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") > F.col("j")).cast("int").alias("side"), "node", "fp").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,37 +244,26 @@ def likeness_limits(threshold: float, width: float = WIDTH) -> dict[int, int]:
     return {p: int(q * p + width * np.sqrt(q * (1 - q) * p)) for p in range(32, 64 * WORDS + 1, 16)}
 
 
-def drawn_masks(n: int, threshold: float, bucket: int = BUCKET, missed: float = MISSED) -> list[list[int]]:
-    """Masks of as many random bits as give `n` unlike fingerprints buckets of about `bucket`, and so many masks that texts of likeness `threshold` agree in none with a chance of about `missed`."""
-    k = max(6, int(np.ceil(np.log2(max(1, n / bucket)))))
-    count = int(np.ceil(np.log(missed) / np.log(1 - (1 - flip_chance(threshold)) ** k)))
-    rng = np.random.default_rng(11)
-    out = []
-    for _ in range(count):
-        mask = [0] * WORDS
-        for bit in rng.choice(64 * WORDS, k, replace=False).tolist():
-            mask[bit >> 6] |= 1 << (bit & 63)
-        out.append(mask)
-    return out
-
-
 def near_texts(texts: DataFrame, threshold: float = LIKENESS, size: int = SHINGLE_WORDS, tile: int = TEXT_TILE) -> DataFrame:
     """(node, component) of each row of `texts` (node long, each once, text): texts whose sets of `size`-word shingles have a Jaccard likeness of `threshold` or more are linked.
 
-    A fingerprint of WORDS x 64 bits, as many SimHashes with own seeds, gives the candidates: by
-    bucket of random bits, with bit planes, abandoned where a distance is beyond what the
-    likeness explains. Candidates are verified on the shingle sets, so no unlike texts are
-    linked; a pair at the threshold itself is missed with a chance of about a hundredth. Null,
-    empty and blank texts have no shingles and are like each other. Any length is read whole.
+    MinHash bands give the buckets, BANDS rows of a text at any number of texts: two texts at
+    the threshold of 0.8 have none in common once in 5,000. In a bucket, fingerprints of WORDS x
+    64 bits, as many SimHashes with own seeds, are compared by bit planes, abandoned where a
+    distance is beyond what the likeness explains. What is left is verified on the shingle
+    sets, so no unlike texts are linked. Null, empty and blank texts have no shingles and are
+    like each other. Any length is read whole; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
-            found = np.array([wide_fingerprint(shingle_hashes(t, size)) for t in raw_texts(batch.column(1))], np.uint64).reshape(-1, WORDS)
-            ends = pa.array(np.arange(len(found) + 1) * WORDS, pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(found.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "fp", "mark"])
+            hashes = [shingle_hashes(t, size) for t in raw_texts(batch.column(1))]
+            found = np.array([wide_fingerprint(h) for h in hashes], np.uint64).reshape(-1, WORDS)
+            bands = np.array([band_words(h) for h in hashes], np.uint64).reshape(-1, BANDS)
+            keys = mixed(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _FACTORS[0])
+            fp, key = (pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (found, keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, key, pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "fp", "keys", "mark"])
 
     limits = likeness_limits(threshold)
 
@@ -277,7 +272,7 @@ def near_texts(texts: DataFrame, threshold: float = LIKENESS, size: int = SHINGL
         for q, f in BitPlanes(marks[other]).pairs(marks[left], limits, right is None):
             yield left[q], other[f]
 
-    prints = stage(map_slices(texts.select("node", "text"), run, "node long, fp array<long>, mark binary"))
-    near = stage(links(prints.select("node", "fp"), drawn_masks(prints.count(), threshold), limits))
+    prints = stage(map_slices(texts.select("node", "text"), run, "node long, fp array<long>, keys array<long>, mark binary"))
+    near = stage(bucket_links(prints.select("node", F.explode("keys").alias("key")), prints, WORDS, limits))
     found = verified_components(prints.select("node", "mark"), texts, near, candidates, threshold, size, tile)
     return prints.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

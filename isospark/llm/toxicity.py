@@ -7,16 +7,16 @@ most weights at zero, so what is broadcast is small: at most 2**BITS numbers at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isospark.llm.common import let_go, map_slices, stage
+from isospark.llm.common import let_go, map_slices, slices, stage
 from isospark.llm.pretokens import utf8
 
 BITS = 20
@@ -153,23 +153,33 @@ def train(labelled: DataFrame, most_rows: int = MOST_ROWS, per_share: int = PER_
     return weights, bias
 
 
-def scores(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of each row of `docs`; null and empty texts are scored by the bias alone. Scores are from 0 to 1."""
+def scorer(spark: SparkSession, weights: np.ndarray, bias: float) -> Callable[[str], Column]:
+    """A function that gives a text column's scores, from 0 to 1: texts go to Python once, and only scores come back.
+
+    Null and empty texts are scored by the bias alone; texts of any length are scored whole.
+    """
     at = np.flatnonzero(weights)
-    held = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights[at], bias))
+    held = spark.sparkContext.broadcast((at.astype(np.int32), weights[at], bias))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         let_go()
         at, values, bias = held.value
         dense = np.zeros(1 << BITS)
         dense[at] = values
-        for batch in batches:
-            features = Features(batch.column(1))
-            margins = np.array([dense[features.of(i)].sum() + bias for i in range(batch.num_rows)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margins, -35, 35))), pa.float64())], names=["id", "score"])
+        for column in columns:
+            margins = []
+            for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])])):
+                features = Features(part.column(0))
+                margins += [dense[features.of(i)].sum() + bias for i in range(part.num_rows)]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(margins, float), -35, 35))), pa.float64())
+
+    return score
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+
+def scores(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of each row of `docs`; see `scorer`. Other columns are not read; an empty table gives an empty one."""
+    return docs.select(F.col(id_col), scorer(docs.sparkSession, weights, bias)(text_col).alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):

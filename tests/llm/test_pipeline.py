@@ -104,3 +104,27 @@ def test_each_group_of_near_copies_keeps_one_document(spark, sf):
         docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in order], SCHEMA)
         got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
         assert got == sorted([(False, 0, a), (False, 1, b), (False, 1, c + " more"), (False, 3, None), (True, None, b)])
+
+
+def test_clashing_names_and_rows_alike_in_id_and_text(spark, sf):
+    """Columns with names that the stages use inside keep their values; of rows alike in id and text the first by the others stays."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, "en", "z"), (1, a, "en", "s"), (2, b, "en", "s"), (3, a, "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "10L AS n_chars", "7L AS _key", "'k' AS _z", "1.5D AS _part", "'n' AS _n", "8 AS _row", "9L AS row", "'x' AS `key`", "true AS first", "6 AS node", "map(1, 2) AS m")
+    got = sorted((r["doc_id"], r["source"], r["_key"], r["_z"], r["_part"], r["_n"], r["_row"], r["row"], r["key"], r["first"], r["node"], r["m"][1]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
+    assert got == [(i, s, 7, "k", 1.5, "n", 8, 9, "x", True, 6, 2) for i, s in ((1, "s"), (2, "s"))]
+    for function in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_repeats):
+        kept = function(spark, docs, sf)
+        assert kept.columns == docs.columns
+        assert {(r["_key"], r["_z"], r["_part"], r["_n"], r["_row"], r["row"], r["key"]) for r in kept.collect()} == {(7, "k", 1.5, "n", 8, 9, "x")}
+    assert sum(r["length"] for r in corpus_pipeline.pack(spark, docs, sf).collect()) > 0
+
+
+def test_a_very_long_text_goes_through_each_stage(spark, sf):
+    words = " ".join(f"w{i}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, words, "en", "s", len(words)), (2, words + " end", "en", "s", len(words) + 4), (3, "x" * 1_000_000, "en", "s", 1_000_000)], SCHEMA)
+    assert {r[0] < 0.3 for r in docs.select(toxicity.scorer(spark, np.zeros(1 << toxicity.BITS), -3.0)("text")).collect()} == {True}
+    for _, function in corpus_pipeline.STAGES[1:-1]:
+        docs = function(spark, docs, sf)
+        assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {1, 3}
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, sf).select("doc_id").collect()} == {1, 3}
