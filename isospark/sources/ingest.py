@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
 from isospark.functions.schemas import NULL_TEXTS
-from isospark.functions.staging import stage
+from isospark.functions.staging import free_names, stage
 
 
 def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -19,13 +19,14 @@ def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def numbered(df: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
     """`df` with a dense ordinal from 0 by `key`: ranges of keys are ranked each for itself, after the sizes of those before."""
-    dealt = stage(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    part, n, least, first = free_names([*df.columns, ordinal], "_part", "_n", "_least", "_first")
+    dealt = stage(df.repartitionByRange(key).withColumn(part, F.spark_partition_id()))
     # one row for each range
-    before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_least"))
-    first = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return dealt.join(F.broadcast(first), "_part").select((F.col("_first") + rank).alias(ordinal), *df.columns)
+    before = Window.orderBy(least).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(n), F.min(key).alias(least))
+    starts = parts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
+    return dealt.join(F.broadcast(starts), part).select((F.col(first) + rank).alias(ordinal), *df.columns)
 
 
 def read_index_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
