@@ -11,11 +11,8 @@ from isospark.llm.common import discard, stage, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; the model learns from `labels` of these documents."""
-    weights, bias = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col("text"))
-    scored = toxicity.scores(rows, weights, bias, id_col="row")
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*").select(*names)
+    score = toxicity.scorer(spark, *toxicity.train_on(docs, table(spark, sf_dir, "labels")))
+    return docs.where(score("text") < toxicity.THRESHOLD)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -34,12 +31,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest id, and of that id's texts the one with the least hash. Rows with a null id stay; of rows that are the same in id and text one stays."""
+    """One document of each component of near copies: the one with the smallest id, and of that id's texts the one with the least hash.
+
+    Rows with a null id stay. Of rows that are the same in id and text one stays: the first by
+    their other columns that have an order.
+    """
     known = near_copies(docs).where("doc_id is not null")
-    first = known.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(first.withColumnRenamed("key", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = known.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.doc_id", "first.key")
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"))
+    keyed = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("key"))
+    others = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
+    kept = keyed.join(first, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min_by("row", F.struct(F.lit(0), *others)).alias("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
