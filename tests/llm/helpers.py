@@ -26,3 +26,17 @@ def documents(spark, sf):
 
 def rows_of(df):
     return [r.asDict() for r in df.collect()]
+
+
+def oracle_rows(name, sf):
+    """(columns, sorted rows) of a registered query's SQL in DuckDB."""
+    import duckdb
+
+    from isospark.llm import queries
+
+    con = duckdb.connect()
+    for t in "documents labels conversations embeddings pages benchmark".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    found = con.sql(queries.SQL[name])
+    order = sorted(range(len(found.columns)), key=lambda i: found.columns[i])
+    return [found.columns[i] for i in order], sorted((tuple(r[i] for i in order) for r in found.fetchall()), key=str)
