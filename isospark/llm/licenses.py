@@ -1,8 +1,10 @@
 """Licence scans: ordered signature rules behind a prefilter of literals.
 
 Texts are brought to lower-case words with single spaces. A rule runs only on texts that hold
-a literal that each of its matches must hold. Where detections overlap, rules of a lower priority whose words lie within those
-of a higher one are suppressed, so "gnu lesser general public license" is not a plain GPL too.
+a literal that each of its matches must hold. Where a detection lies within another one, one of
+them is suppressed: a vague one (of no version, or of no known licence) gives way to a definite
+one, else the shorter to the longer, else the later rule to the earlier. So "gnu lesser general
+public license" is not a plain GPL too, and "MIT-0" not MIT.
 """
 
 from __future__ import annotations
@@ -26,23 +28,46 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 
 _LICENCE = r"licen[cs]e"
 _VERSION = r"(?: version)?"
+#: What may stand before a licence's short name.
+_ID = rf"(?:spdx {_LICENCE} identifier |{_LICENCE} )?"
+_LATER = r"(?: only| or (?:at your option )?(?:any )?(?:later|newer|above)(?: versions?)?)?"
+
+
+def _at(number: str) -> str:
+    """A version after a name, as words: v3, v 3, version 3, 3.0, -3.0-or-later."""
+    digits = number.replace(".", " ")
+    return rf"(?: ?v| ver| version)? ?{digits}{'' if ' ' in digits else '(?: 0)?'}{_LATER}"
+
+
+def _gnu(label: str, name: str, short: str, numbers: tuple[str, ...]) -> tuple:
+    """Signatures of a GNU licence: its versions by long and short name, its headers, and what names no version."""
+    long = rf"(?:gnu )?{name}(?:gnu )?general public {_LICENCE}"
+    brief = rf"{_ID}(?:gnu )?(?:{short}|{name}gpl)" if name else rf"{_ID}(?:gnu )?{short}"
+    either = rf"(?:as published by the free software foundation )?(?:either )?version"
+    out = []
+    for number in numbers:
+        digits = number.replace(".", " ")
+        ways = (rf"{long}{_at(number)}", rf"{brief}{_at(number)}", rf"version {digits}(?: 0)? of the {long}", rf"{long} {either} {digits}(?: 0)? of the {_LICENCE}{_LATER}")
+        out.append((f"{label}-{number}", label, ways))
+    return (*out, (label, label, (long, rf"(?:gnu )?{name}gpl" if name else rf"gnu (?:gpl|public {_LICENCE})", rf"under the (?:gnu )?{short}", rf"(?:gnu )?{short}" if name else rf"{short} {_LICENCE}")))
+
+
+def _bsd(label: str, clauses: str, names: str) -> tuple:
+    return (label, "bsd", (rf"{_ID}bsd {clauses} clauses?(?: {_LICENCE})?", rf"(?:{names}|{clauses} clauses?) bsd(?: {_LICENCE})?"))
+
+
+def _cc(label: str, *parts: str) -> tuple:
+    """A Creative Commons licence by its name, its address and its short name."""
+    words = {"by": r"(?:attribution|by)", "nc": r" (?:non ?commercial|nc)", "sa": r" (?:share ?alike|sa)", "nd": r" (?:no ?deriv(?:ative|ativ)?e?s?(?: works)?|nd)"}
+    kind, number = "".join(words[x] for x in parts), r"(?: v?[1234] [05])?"
+    return (label, "creative", (rf"creative commons (?:{_LICENCE} )?{kind}{number}(?: international| unported| generic)?(?: public)?(?: {_LICENCE})?", rf"creativecommons org licenses {' '.join(parts)}{number}", rf"{_ID}cc {' '.join(parts)}{number}"))
+
+
 #: Fixed values: (label, family, patterns) of the signatures, the more special ones of a family first.
 SIGNATURES = (
-    ("agpl-3", "affero", (rf"gnu affero general public {_LICENCE}{_VERSION} 3(?: 0)?(?: or (?:any )?later)?", rf"affero general public {_LICENCE}", r"gnu agpl ?v?3?", r"agpl 3 0(?: only| or later)?")),
-    ("agpl-1", "affero", (rf"affero general public {_LICENCE}{_VERSION} 1(?: 0)?",)),
-    ("agpl-3", "agpl", (r"agpl ?v?3(?: 0)?(?: only| or later)?", r"under the (?:gnu )?agpl")),
-    ("lgpl-3", "lesser", (rf"gnu lesser general public {_LICENCE}{_VERSION} 3(?: 0)?(?: or (?:any )?later)?",)),
-    ("lgpl-2.1", "lesser", (rf"gnu lesser general public {_LICENCE}{_VERSION} 2 1(?: or (?:any )?later)?",)),
-    ("lgpl", "lesser", (rf"(?:gnu )?lesser general public {_LICENCE}",)),
-    ("lgpl-2", "library", (rf"gnu library general public {_LICENCE}(?:{_VERSION} 2(?: 0)?)?",)),
-    ("lgpl", "lgpl", (r"lgpl ?v?[23](?: [01])?(?: only| or later)?", r"(?:gnu )?lgpl")),
-    ("gpl-3", "general", (rf"gnu general public {_LICENCE}{_VERSION} 3(?: 0)?(?: or (?:at your option )?any later version)?", rf"version 3 of the gnu general public {_LICENCE}")),
-    ("gpl-2", "general", (rf"gnu general public {_LICENCE}{_VERSION} 2(?: 0)?(?: or (?:at your option )?any later version)?", rf"version 2 of the gnu general public {_LICENCE}")),
-    ("gpl-1", "general", (rf"gnu general public {_LICENCE}{_VERSION} 1(?: 0)?",)),
-    ("gpl", "general", (rf"(?:gnu )?general public {_LICENCE}",)),
-    ("gpl-3", "gpl", (r"gpl ?v?3(?: 0)?(?: only| or later)?", r"gplv3")),
-    ("gpl-2", "gpl", (r"gpl ?v?2(?: 0)?(?: only| or later)?", r"gplv2")),
-    ("gpl", "gpl", (r"under the (?:gnu )?gpl", r"gnu gpl")),
+    *_gnu("agpl", "affero ", "agpl", ("3", "1")),
+    *_gnu("lgpl", "(?:lesser|library) ", "lgpl", ("3", "2.1", "2")),
+    *_gnu("gpl", "", "gpl", ("3", "2", "1")),
     ("gfdl-1.3", "documentation", (rf"gnu free documentation {_LICENCE}{_VERSION} 1 3", r"gfdl 1 3(?: only| or later)?")),
     ("gfdl-1.2", "documentation", (rf"gnu free documentation {_LICENCE}{_VERSION} 1 2", r"gfdl 1 2(?: only| or later)?")),
     ("gfdl", "documentation", (rf"(?:gnu )?free documentation {_LICENCE}", r"gnu fdl")),
@@ -50,17 +75,18 @@ SIGNATURES = (
     ("apache-1.1", "apache", (rf"apache (?:software )?{_LICENCE}{_VERSION} 1 1", r"apache 1 1")),
     ("apache-1.0", "apache", (rf"apache (?:software )?{_LICENCE}{_VERSION} 1 0", r"apache 1 0")),
     ("apache", "apache", (rf"apache software {_LICENCE}", rf"apache {_LICENCE}")),
-    ("mit-0", "mit", (r"mit no attribution", rf"mit 0 {_LICENCE}")),
+    ("mit-0", "mit", (rf"mit no attribution(?: {_LICENCE})?", rf"{_ID}mit 0(?: {_LICENCE})?")),
     ("mit", "mit", (rf"under the (?:terms of the )?mit {_LICENCE}", rf"(?:the )?mit {_LICENCE}", rf"spdx {_LICENCE} identifier mit", r"mit licensed", r"opensource org licenses mit")),
     ("mit", "permission", (r"permission is hereby granted free of charge to any person obtaining a copy of this software",)),
     ("x11", "x11", (rf"(?:mit )?x11 {_LICENCE}", rf"x11 mit {_LICENCE}")),
     ("isc", "isc", (rf"(?:under the )?isc {_LICENCE}", rf"internet systems consortium {_LICENCE}", rf"spdx {_LICENCE} identifier isc")),
     ("isc", "permission", (r"permission to use copy modify and or distribute this software for any purpose with or without fee",)),
-    ("bsd-4-clause", "bsd", (rf"bsd 4 clause(?: {_LICENCE})?", rf"(?:original|4 clause) bsd {_LICENCE}")),
-    ("bsd-3-clause-clear", "bsd", (r"bsd 3 clause clear", rf"clear bsd {_LICENCE}")),
-    ("bsd-3-clause", "bsd", (rf"bsd 3 clause(?: {_LICENCE})?", rf"(?:new|revised|modified|3 clause) bsd {_LICENCE}")),
-    ("bsd-2-clause", "bsd", (rf"bsd 2 clause(?: {_LICENCE})?", rf"(?:simplified|freebsd|2 clause) bsd {_LICENCE}", rf"freebsd {_LICENCE}")),
-    ("bsd-1-clause", "bsd", (r"bsd 1 clause",)),
+    ("bsd-3-clause-clear", "bsd", (rf"{_ID}bsd 3 clause clear(?: {_LICENCE})?", rf"clear bsd {_LICENCE}")),
+    _bsd("bsd-4-clause", "(?:4|four)", "original|old"),
+    _bsd("bsd-3-clause", "(?:3|three)", "new|revised|modified"),
+    _bsd("bsd-2-clause", "(?:2|two)", "simplified|freebsd"),
+    ("bsd-2-clause", "bsd", (rf"freebsd {_LICENCE}",)),
+    _bsd("bsd-1-clause", "(?:1|one)", "one clause"),
     ("0bsd", "bsd", (r"(?:zero|0) clause bsd", r"bsd zero clause", r"0bsd")),
     ("bsd", "bsd", (rf"bsd (?:style )?{_LICENCE}", r"under the bsd")),
     ("bsd", "redistribution", (r"redistribution and use in source and binary forms with or without modification are permitted",)),
@@ -99,24 +125,18 @@ SIGNATURES = (
     ("public-domain", "domain", (r"(?:released |dedicated |placed )?(?:in|into|to) the public domain", r"public domain (?:dedication|mark)")),
     ("cc0-1", "cc0", (r"cc0(?: 1 0)?(?: universal)?",)),
     ("cc0-1", "zero", (r"creative commons zero(?: v?1 0)?(?: universal)?",)),
-    ("cc-by-nc-sa", "creative", (rf"creative commons attribution non ?commercial share ?alike(?: [1234] [05])?(?: international| unported)?(?: {_LICENCE})?", r"creativecommons org licenses by nc sa(?: [1234] [05])?")),
-    ("cc-by-nc-nd", "creative", (rf"creative commons attribution non ?commercial no ?deriv(?:ative|ativ)?e?s?(?: works)?(?: [1234] [05])?(?: {_LICENCE})?", r"creativecommons org licenses by nc nd(?: [1234] [05])?")),
-    ("cc-by-nc", "creative", (rf"creative commons attribution non ?commercial(?: [1234] [05])?(?: international| unported)?(?: {_LICENCE})?", r"creativecommons org licenses by nc(?: [1234] [05])?")),
-    ("cc-by-nd", "creative", (rf"creative commons attribution no ?deriv(?:ative|ativ)?e?s?(?: works)?(?: [1234] [05])?(?: {_LICENCE})?", r"creativecommons org licenses by nd(?: [1234] [05])?")),
-    ("cc-by-sa", "creative", (rf"creative commons attribution share ?alike(?: [1234] [05])?(?: international| unported)?(?: {_LICENCE})?", r"creativecommons org licenses by sa(?: [1234] [05])?")),
-    ("cc-by", "creative", (rf"creative commons attribution(?: [1234] [05])?(?: international| unported)?(?: {_LICENCE})?", r"creativecommons org licenses by(?: [1234] [05])?")),
+    _cc("cc-by-nc-sa", "by", "nc", "sa"),
+    _cc("cc-by-nc-nd", "by", "nc", "nd"),
+    _cc("cc-by-nc", "by", "nc"),
+    _cc("cc-by-nd", "by", "nd"),
+    _cc("cc-by-sa", "by", "sa"),
+    _cc("cc-by", "by"),
     ("cc", "creative", (rf"(?:under a )?creative commons {_LICENCE}", r"creative commons")),
-    ("cc-by-nc-sa", "cc", (r"cc by nc sa(?: [1234] [05])?",)),
-    ("cc-by-nc-nd", "cc", (r"cc by nc nd(?: [1234] [05])?",)),
-    ("cc-by-nc", "cc", (r"cc by nc(?: [1234] [05])?",)),
-    ("cc-by-nd", "cc", (r"cc by nd(?: [1234] [05])?",)),
-    ("cc-by-sa", "cc", (r"cc by sa(?: [1234] [05])?",)),
-    ("cc-by", "cc", (r"cc by(?: [1234] [05])?",)),
     ("ofl-1.1", "font", (rf"(?:sil )?open font {_LICENCE}(?:{_VERSION} 1 1)?", r"ofl 1 1")),
     ("odbl", "database", (rf"open database {_LICENCE}(?: v?1 0)?", rf"open data commons open database {_LICENCE}")),
     ("odc-by", "commons", (rf"open data commons attribution {_LICENCE}",)),
     ("pddl", "commons", (rf"(?:open data commons )?public domain dedication and {_LICENCE}",)),
-    ("eupl-1.2", "european", (rf"european union public {_LICENCE}{_VERSION} 1 2",)),
+    ("eupl-1.2", "european", (rf"european union public {_LICENCE}{_at('1.2')}", rf"eupl{_at('1.2')}")),
     ("eupl", "european", (rf"european union public {_LICENCE}",)),
     ("eupl", "eupl", (r"eupl(?: v?1 [012])?",)),
     ("cecill", "cecill", (r"cecill(?: [abc])?(?: [12] [01])?", rf"cecill free software {_LICENCE}")),
@@ -149,10 +169,7 @@ SIGNATURES = (
     ("eula", "user", (rf"end user {_LICENCE} agreement",)),
     ("copyright", "copyright", (r"copyright (?:c )?(?:19|20)[0-9][0-9]", r"copyright notice")),
     ("copyright", "copyrighted", (r"copyrighted material",)),
-    ("gpl-3", "spdx", (rf"spdx {_LICENCE} identifier gpl 3 0(?: only| or later)?",)),
-    ("gpl-2", "spdx", (rf"spdx {_LICENCE} identifier gpl 2 0(?: only| or later)?",)),
     ("apache-2", "spdx", (rf"spdx {_LICENCE} identifier apache 2 0",)),
-    ("bsd-3-clause", "spdx", (rf"spdx {_LICENCE} identifier bsd 3 clause",)),
     ("unknown", "licensed", (r"licensed under", r"licen[cs]ed to")),
     ("unknown", "license", (r"(?:see|read) the licen[cs]e", r"license agreement", r"released under the [a-z0-9]{1,40} licen[cs]e")),
     ("epl-2", "url", (r"eclipse org legal epl 2 0", r"eclipse org legal epl v20")),
@@ -190,17 +207,10 @@ SIGNATURES = (
     ("upl-1", "url", (r"opensource org licenses upl",)),
     ("elastic-2", "url", (rf"elastic co licensing elastic {_LICENCE}",)),
     ("sspl-1", "url", (rf"mongodb com licensing server side public {_LICENCE}",)),
-    ("mit-0", "spdx", (rf"spdx {_LICENCE} identifier mit 0",)),
-    ("lgpl-3", "spdx", (rf"spdx {_LICENCE} identifier lgpl 3 0(?: only| or later)?",)),
-    ("lgpl-2.1", "spdx", (rf"spdx {_LICENCE} identifier lgpl 2 1(?: only| or later)?",)),
-    ("agpl-3", "spdx", (rf"spdx {_LICENCE} identifier agpl 3 0(?: only| or later)?",)),
-    ("bsd-2-clause", "spdx", (rf"spdx {_LICENCE} identifier bsd 2 clause",)),
     ("0bsd", "spdx", (rf"spdx {_LICENCE} identifier 0bsd",)),
     ("mpl-2", "spdx", (rf"spdx {_LICENCE} identifier mpl 2 0",)),
     ("epl-2", "spdx", (rf"spdx {_LICENCE} identifier epl 2 0",)),
     ("cc0-1", "spdx", (rf"spdx {_LICENCE} identifier cc0 1 0",)),
-    ("cc-by", "spdx", (rf"spdx {_LICENCE} identifier cc by [1234] [05]",)),
-    ("cc-by-sa", "spdx", (rf"spdx {_LICENCE} identifier cc by sa [1234] [05]",)),
     ("unlicense", "spdx", (rf"spdx {_LICENCE} identifier unlicense",)),
     ("zlib", "spdx", (rf"spdx {_LICENCE} identifier zlib",)),
     ("boost-1", "spdx", (rf"spdx {_LICENCE} identifier bsl 1 0",)),
@@ -257,7 +267,7 @@ SIGNATURES = (
     ("bigcode-openrail-m", "openrail", (r"bigcode openrail m",)),
     ("free-art", "art", (rf"free art {_LICENCE}(?: 1 3)?", r"licence art libre(?: 1 3)?")),
     ("gust-font", "gust", (rf"gust font {_LICENCE}",)),
-    ("ubuntu-font", "ubuntu", (rf"ubuntu font {_LICENCE}(?: 1 0)?", rf"ubuntu font licen[cs]e")),
+    ("ubuntu-font", "ubuntu", (rf"ubuntu font {_LICENCE}(?: 1 0)?",)),
     ("bitstream-vera", "vera", (rf"bitstream vera (?:fonts? )?{_LICENCE}",)),
     ("dual", "dual", (r"dual licen[cs]ed?", r"licen[cs]ed under either of")),
     ("proprietary", "rights", (r"no part of this (?:publication|book|document) may be reproduced", r"unauthori[sz]ed (?:copying|reproduction|distribution)", r"trade secrets? of")),
@@ -269,7 +279,7 @@ SIGNATURES = (
     ("eula", "user", (r"end user licen[cs]e", r"software licen[cs]e agreement")),
     ("unknown", "licence", (r"some rights reserved", r"open source licen[cs]e", r"permissive licen[cs]e", r"free software licen[cs]e", r"under the same licen[cs]e", r"copyleft licen[cs]e", r"licen[cs]e terms", r"terms of the licen[cs]e")),
 )
-VAGUE = {"unknown", "copyright", "cc", "gpl", "lgpl", "apache", "bsd", "mpl", "epl"}
+VAGUE = {"unknown", "copyright", "cc", "gpl", "lgpl", "agpl", "apache", "bsd", "mpl", "epl"}
 
 
 def literals(pattern: str) -> tuple[str, ...]:
@@ -303,7 +313,7 @@ class Rule:
 
 
 #: One rule for each pattern; the first has the highest priority.
-RULES = [Rule(label, literals(p), re.compile(f"(?<= ){p}(?= )"), -n) for n, (label, p) in enumerate((label, p) for label, _, ps in SIGNATURES for p in ps)]
+RULES = [Rule(label, literals(p), re.compile(f"(?<= )(?:{p})(?= )"), -n) for n, (label, p) in enumerate(dict.fromkeys((label, p) for label, _, ps in SIGNATURES for p in ps))]
 
 #: More characters than any pattern can match: patterns repeat single characters and short parts only, with a bound.
 REACH = 512
@@ -329,14 +339,13 @@ class Scanner:
         gated = {id(rules): rules for _, rules in self.gates.iter(text)}
         open_ = {r.priority: r for rules in gated.values() for r in rules}
         found = [(m.start(), m.end(), r) for r in open_.values() for m in r.pattern.finditer(text)]
-        found.sort(key=lambda d: (-d[2].priority, d[0], -d[1]))
+        found.sort(key=lambda d: (d[2].label in VAGUE, d[0] - d[1], -d[2].priority, d[0]))
         near: dict[int, list[tuple[int, int, Rule]]] = defaultdict(list)  # by begin // REACH; no detection is longer than REACH
         for begin, end, rule in found:
-            cell = begin // REACH
-            if any(b <= begin and end <= e for c in (cell - 1, cell) for b, e, _ in near[c]):
+            cell, vague = begin // REACH, rule.label in VAGUE
+            around = [k for c in (cell - 1, cell, cell + 1) for k in near[c]]
+            if any(b <= begin and end <= e or vague and r.label not in VAGUE and begin <= b and e <= end for b, e, r in around):
                 continue
-            for c in (cell, cell + 1):  # a vague one within a definite one goes as well
-                near[c] = [k for k in near[c] if not (begin <= k[0] and k[1] <= end and k[2].label in VAGUE)]
             near[cell].append((begin, end, rule))
         return sorted((d for ds in near.values() for d in ds), key=lambda d: d[:2])
 

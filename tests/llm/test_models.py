@@ -222,17 +222,15 @@ def example(tree, rnd):
 
 
 def brute_labels(text):
-    """All rules on all places, no gate; a detection goes where one of higher priority holds it, and a vague one where a definite one does."""
+    """All rules on all places, no gate; of two detections, one within the other, the vague one goes, else the shorter, else the later rule's."""
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     line = " " + " ".join(words) + " "
+    found = [(m.start(), m.end(), -r.priority, r.label) for r in licenses.RULES for m in re.compile(r.pattern.pattern, re.ASCII).finditer(line)]
     kept = []
-    for rule in sorted(licenses.RULES, key=lambda r: -r.priority):
-        pattern = re.compile(rule.pattern.pattern, re.ASCII)
-        for m in sorted(((m.start(), m.end()) for m in pattern.finditer(line)), key=lambda s: (s[0], -s[1])):
-            if any(a <= m[0] and m[1] <= b for a, b, _ in kept):
-                continue
-            kept = [k for k in kept if not (m[0] <= k[0] and k[1] <= m[1] and k[2] in licenses.VAGUE)]
-            kept.append((*m, rule.label))
+    for begin, end, _, label in sorted(found, key=lambda d: (d[3] in licenses.VAGUE, d[0] - d[1], d[2], d[0])):
+        holds = lambda k: begin <= k[0] and k[1] <= end and k[2] not in licenses.VAGUE  # noqa: B023, E731
+        if not any(k[0] <= begin and end <= k[1] or label in licenses.VAGUE and holds(k) for k in kept):
+            kept.append((begin, end, label))
     return {label for _, _, label in kept}
 
 
