@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isospark.llm.common import stage
+from isospark.llm.common import let_go, slices, stage
 
 #: Rows of the sample that the lists' centres are fitted on at most, rows of it for each list at least, lists at most and rows a list is meant to have.
 SAMPLE, PER_CENTRE, MOST_LISTS, PER_LIST = 65_536, 16, 4096, 400
@@ -24,8 +25,8 @@ SAMPLE, PER_CENTRE, MOST_LISTS, PER_LIST = 65_536, 16, 4096, 400
 RECALL, TRIED, PROBE_LEAST = 0.97, 256, 8
 #: Nearest lists that are searched first: what they give bounds what the other lists send.
 FIRST = 3
-#: Candidates and queries of a task, and queries that are held against the candidates at a time.
-BLOCK, QUERY_BLOCK, QUERIES = 4096, 8192, 512
+#: Candidates of a task, and queries that are held against them at a time.
+BLOCK, QUERIES = 4096, 512
 #: Columns a step reads, and the test's width: a larger one abandons fewer candidates by mistake.
 COLUMNS, EPSILON = 16, 2.1
 
@@ -112,8 +113,9 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     `usable` leaves out. All rows are indexed; the lists' centres are fitted on at most SAMPLE
     rows, and so many lists are probed as hold a share `recall` of the sample's neighbours: few
     where vectors lie in clusters, nearly all where they have no order. `recall` 1.0 probes all
-    lists, which is the exact way. A list goes out in blocks of BLOCK candidates, its queries in
-    blocks of QUERY_BLOCK, so a list that many rows share is no single task's work. Repeated
+    lists, which is the exact way. A list goes out in blocks of BLOCK candidates, so one that
+    many rows share is no single task's work; each block's candidates are sent once, followed
+    by the list's queries. Repeated
     rows are one row; of an id's different vectors, the one that comes first by its values
     counts. An empty table gives an empty one; other columns are not read.
     """
@@ -156,43 +158,59 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     # equal queries are searched once; q names a query vector
     queries = stage(asked.groupBy("v").agg(F.min("id").alias("q")))
     probing = queries.mapInPandas(probe, "q long, v array<double>, list int, turn int").join(F.broadcast(blocks), "list")
-    query_blocks = int(max(1, np.ceil(queries.count() * probes / max(1, lists) / QUERY_BLOCK)))
-    probing = probing.withColumn("qblock", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "qblock", "q", "v", "turn")
-    candidates = candidates.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            turn, _ = held.value
-            raw = np.stack(right["v"].to_list())
-            turned, ids = raw @ turn, right["ids"].to_list()
-            first = np.argsort((turned**2).sum(1))[::-1]
-            raw, turned, ids = raw[first], turned[first], [ids[i] for i in first]
-            for s in range(0, len(left), QUERIES):
-                own = left.iloc[s : s + QUERIES]
-                q_raw = np.stack(own["v"].to_list())
-                q = q_raw @ turn
-                head = min(len(raw), 8 * (k + 1))
-                bounds = own["bound"].to_numpy(float)
-                if head > k:
-                    here = np.partition(q @ turned[:head].T, head - k - 1, axis=1)[:, head - k - 1]
-                    bounds = np.maximum(bounds, here - 1e-9 * (1 + np.abs(here)))
-                for name, vector, bound, alive in zip(own["q"], q_raw, own["bound"], scan_list(q, turned, bounds, k), strict=True):
-                    exact = (raw[alive] * vector).sum(1)
-                    alive, exact = alive[exact >= bound], exact[exact >= bound]
-                    best = np.argsort(-exact, kind="stable")[: k + 1]
-                    edge = exact[best[-1]] if len(best) else 0.0
-                    for at in np.flatnonzero(exact >= edge) if len(best) else ():
-                        out += [(name, int(i), float(exact[at])) for i in ids[alive[at]]]
+    probing = probing.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "q", "v", "turn")
+
+    def answers_of(names: np.ndarray, q_raw: np.ndarray, bounds: np.ndarray, raw: np.ndarray, turned: np.ndarray, ids: list, turn: np.ndarray) -> pd.DataFrame:
+        """The best of a block's candidates for some queries."""
+        out, q, head = [], q_raw @ turn, min(len(raw), 8 * (k + 1))
+        reached = bounds
+        if head > k:
+            here = np.partition(q @ turned[:head].T, head - k - 1, axis=1)[:, head - k - 1]
+            reached = np.maximum(bounds, here - 1e-9 * (1 + np.abs(here)))
+        for name, vector, bound, alive in zip(names.tolist(), q_raw, bounds, scan_list(q, turned, reached, k), strict=True):
+            exact = (raw[alive] * vector).sum(1)
+            alive, exact = alive[exact >= bound], exact[exact >= bound]
+            best = np.argsort(-exact, kind="stable")[: k + 1]
+            edge = exact[best[-1]] if len(best) else 0.0
+            for at in np.flatnonzero(exact >= edge) if len(best) else ():
+                out += [(name, int(i), float(exact[at])) for i in ids[alive[at]]]
         found = pd.DataFrame(out, columns=["q", "id", "score"])
-        found = found.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").groupby("q").head(k + 1)
-        return found.astype({"q": "int64", "id": "int64", "score": "float64"})
+        return found.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").groupby("q").head(k + 1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's candidates come first and stay in memory; its queries follow, however many, and are answered as they come."""
+        let_go()
+        turn, _ = held.value
+        now, vectors, ids, ready = None, [], [], None
+        for batch in slices(batches, QUERIES, 16):
+            lists, blocks, side = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            v = batch.column(4).flatten().to_numpy().reshape(-1, size)
+            cuts = [0, *(np.flatnonzero((lists[1:] != lists[:-1]) | (blocks[1:] != blocks[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(lists)] if len(lists) else [0]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if now != (lists[s], blocks[s]):
+                    now, vectors, ids, ready = (lists[s], blocks[s]), [], [], None
+                if side[s] == 0:
+                    vectors.append(v[s:e])
+                    ids += batch.column(6).slice(s, e - s).to_pylist()
+                elif vectors:
+                    if ready is None:
+                        raw = np.concatenate(vectors)
+                        turned = raw @ turn
+                        first = np.argsort((turned**2).sum(1))[::-1]
+                        ready = raw[first], turned[first], [ids[i] for i in first]
+                    q, bound = (batch.column(i).slice(s, e - s).to_numpy() for i in (3, 5))
+                    found = answers_of(q, v[s:e], bound, *ready, turn)
+                    yield pa.RecordBatch.from_arrays([pa.array(found["q"].to_numpy(np.int64)), pa.array(found["id"].to_numpy(np.int64)), pa.array(found["score"].to_numpy(float))], names=["q", "id", "score"])
 
-    keys = ["list", "block", "qblock"]
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
 
     def searched(asking: DataFrame) -> DataFrame:
-        found = asking.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(scan, "q long, id long, score double")
+        none = F.lit(None)
+        rows = candidates.select("list", "block", F.lit(0).alias("side"), none.cast("long").alias("q"), "v", none.cast("double").alias("bound"), "ids")
+        rows = rows.unionByName(asking.select("list", "block", F.lit(1).alias("side"), "q", "v", "bound", none.cast("array<long>").alias("ids")))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sorted_ = rows.repartition(parts, "list", "block").sortWithinPartitions("list", "block", "side")
+        found = sorted_.mapInArrow(scan, "q long, id long, score double")
         return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
 
     early = stage(searched(probing.where(F.col("turn") < FIRST).withColumn("bound", F.lit(float("-inf")))))
