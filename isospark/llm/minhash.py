@@ -134,8 +134,9 @@ def compared_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("key"))
-    order = [F.desc_nulls_last("id"), F.asc("key")]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("key"), F.monotonically_increasing_id().alias("place"))
+    # rows alike in id and text are each other's next, in whatever order: their places let a range end among them
+    order = [F.desc_nulls_last("id"), F.asc("key"), F.asc("place")]
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
