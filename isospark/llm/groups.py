@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isospark.functions.graph import components
+from isospark.functions.graph import Forest, components
 from isospark.llm.common import discard, let_go, stage
 from isospark.llm.shingles import LIKENESS, SHINGLE, jaccard, shingle_hashes
 
@@ -23,36 +23,6 @@ from isospark.llm.shingles import LIKENESS, SHINGLE, jaccard, shingle_hashes
 TILE, TILE_MB = 1024, 8
 
 
-class Forest:
-    """Sets that are joined; the smallest member stands for each."""
-
-    def __init__(self, size: int):
-        self.root = list(range(size))
-
-    def find(self, i: int) -> int:
-        root = self.root
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        """Whether they were in two sets."""
-        x, y = self.find(i), self.find(j)
-        self.root[max(x, y)] = min(x, y)
-        return x != y
-
-    def apart(self, left: np.ndarray, right: np.ndarray, step: int = 4096) -> Iterator[tuple[int, int]]:
-        """The pairs that are in two sets when their turn comes, about: looked up `step` at a time, as joins go on."""
-        for s in range(0, len(left), step):
-            root = np.array(self.root)
-            while (root[root] != root).any():
-                root = root[root]
-            a, b = left[s : s + step], right[s : s + step]
-            open_ = root[a] != root[b]
-            yield from zip(a[open_].tolist(), b[open_].tolist(), strict=True)
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
     """Sorted batches as tables of whole runs of equal values of the first `keys` columns (integers without nulls), with where each run begins and ends."""
     carried: pa.Table | None = None

@@ -29,6 +29,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 TILE = 2048
 #: For likeness: 64-bit words of a fingerprint, standard deviations that a distance may be off.
 WORDS, WIDTH = 4, 4.5
+#: Fingerprints of a tile that are held against all others of it first.
+PIVOTS = 8
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB, 0xA0761D6478BD642F], np.uint64)
 _ONE = np.uint64(1)
 
@@ -142,14 +144,34 @@ def exact_limits(radius: int = RADIUS, bits: int = BITS) -> dict[int, int]:
 def spanning_links(left: np.ndarray, right: np.ndarray | None, limits: dict[int, int]) -> list[tuple[int, int]]:
     """Links that connect what is within `limits`: of `left` alone, or from `left` to `right`, as indices of both one after the other.
 
-    At most one link for each fingerprint but one, instead of all pairs.
+    At most one link for each fingerprint but one, instead of all pairs. A few fingerprints are
+    held against all first. What they connect most of needs no pair of its own: each other pair
+    has an end outside, and only those ends are compared with the rest.
     """
-    planes, forest = BitPlanes(left if right is None else right), Forest(len(left) + (0 if right is None else len(right)))
-    out = []
-    for q, f in planes.pairs(left, limits, right is None):
-        for a, b in forest.apart(q, f if right is None else f + len(left)):
-            if forest.join(a, b):
-                out.append((a, b))
+    all_ = left if right is None else np.concatenate([left, right])
+    planes, forest, out = BitPlanes(all_), Forest(len(all_)), []
+
+    def link(of: np.ndarray, against: BitPlanes, at: np.ndarray) -> None:
+        for q, f in against.pairs(all_[of], limits):
+            for a, b in forest.apart(of[q], at[f]):
+                if forest.join(a, b):
+                    out.append((a, b))
+
+    every, waiting = np.arange(len(all_)), np.arange(len(all_))
+    for _ in range(PIVOTS):
+        if len(waiting) < 2:
+            break
+        pivot = waiting[:1]
+        link(pivot, planes, every)
+        waiting = waiting[forest.roots()[waiting] != forest.find(int(pivot[0]))]
+    roots = forest.roots()
+    rest = every[roots != np.bincount(roots, minlength=1).argmax()] if len(every) else every
+    if right is None:
+        link(rest, planes, every)
+    elif len(rest):
+        n = len(left)
+        link(rest[rest < n], BitPlanes(right), every[n:])
+        link(rest[rest >= n], BitPlanes(left), every[:n])
     return out
 
 
@@ -185,7 +207,9 @@ def bucket_links(keyed: DataFrame, nodes: DataFrame, words: int, limits: dict[in
     # a shuffle of its own, not the aggregation's, so that the skew join can split a bucket
     placed = keyed.hint("merge").join(shared, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
     paired = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).join(nodes.select("node", "fp"), "node")
-    sorted_ = paired.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") > F.col("j")).cast("int").alias("side"), "node", "fp").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    sorted_ = paired.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") > F.col("j")).cast("int").alias("side"), "node", "fp")
+    # by number, so that few bytes, which are much work, are not put together in few tasks
+    sorted_ = sorted_.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
