@@ -55,3 +55,17 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("value").cast("decimal(18,6)")).cast("double").alias("mean"))
+
+
+def wide_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five numbers of each user: events, and mean, least, greatest and number of different values."""
+    value = F.col("value")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(value.cast("decimal(18,6)")).cast("double").alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.countDistinct("event_type").cast("double").alias("kinds"),
+    )
+
+
+def gas_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of the gases, by parts in place of registry hits: gas A and gas N have some, gas R has none."""
+    hits = table(spark, sf_dir, "part").selectExpr("concat('GAS ', substr('ANXY', cast(p_partkey % 4 as int) + 1, 1)) AS name", "p_partkey", "p_retailprice AS molecular_weight", "p_brand AS molecular_formula")
+    return hits.groupBy("name").agg(F.min_by(F.struct("molecular_weight", "molecular_formula"), "p_partkey").alias("x")).select("name", "x.*")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isospark.functions.schemas import BINARY, GUEST_INDEX, GUEST_PROPERTIES, HOST_INDEX, NAMED, SINGLE
 from isospark.functions.staging import new_path, stage
-from isospark.operators import cluster, isotherms, materials, profile
+from isospark.operators import chunks, cluster, enriched, isotherms, materials, profile, units
 from isospark.plans import adapter
 from isospark.plans.adapter import table
 from isospark.sources import ingest, sinks
@@ -183,10 +185,93 @@ def description_prompts(spark, sf):
     return materials.description_prompts(table(spark, sf, "part").select(F.col("p_name").alias("name")))
 
 
+def index_array(spark, sf):
+    """The index of nations, landed as one JSON array; a short list, as indexes are."""
+    path = new_path(spark)
+    entries = table(spark, sf, "nation").agg(F.to_json(F.sort_array(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("nation-"), "n_nationkey").alias("filename"), "n_name")))).alias("value"))
+    entries.write.text(path)
+    return ingest.read_index(spark, path, "filename STRING, n_name STRING")
+
+
+def chunked_collection(spark, sf):
+    """The orders collected in chunks of 1,000, the second one landed again with half its entries; what is landed, by chunk and run."""
+    path = new_path(spark)
+    index = stage(chunks.with_chunk(ingest.numbered(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey"), 1000))
+    chunks.write_chunks(index.withColumn("run", F.lit(1)), path)
+    chunks.write_chunks(index.where("chunk = 1 and o_orderkey % 2 = 0").withColumn("run", F.lit(2)), path)
+    return chunks.read_chunks(spark, path, 0, 4).groupBy("chunk", "run").agg(F.count(F.lit(1)).alias("entries"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+
+
+def chunk_profiles(spark, sf):
+    """A profile put together from the kept profiles of chunks of 500 experiments; its distinct counts are estimates, held against the exact ones: within four standard errors."""
+    path = new_path(spark)
+    single = stage(_single(spark, sf))
+    chunk = F.floor(F.substring_index("filename", "-", -1).cast("long") / 500)
+    chunks.chunk_profiles(single.withColumn("chunk", chunk)).write.parquet(path)
+    merged = chunks.merged_profile(spark.read.parquet(path))
+    exact = single.agg(F.countDistinct("filename").alias("experiments"), F.countDistinct("adsorptionUnits").alias("units"))
+    near = lambda c: (F.abs(F.col(f"m.{c}") - F.col(f"e.{c}")) <= 4 * 1.04 / 2 ** (chunks.LOG_SLOTS / 2) * F.col(f"e.{c}") + 1).alias(f"{c}_near")
+    # one row each
+    return merged.alias("m").join(F.broadcast(exact.alias("e"))).select("m.measurements", "e.experiments", "e.units", near("experiments"), near("units"), "neg_pressure", "neg_pressure_pct", "neg_uptake", "neg_uptake_pct", "bad_temperature", "bad_temperature_pct")
+
+
+def _in_si(spark, sf):
+    gases = adapter.gas_properties(spark, sf).select(F.lower("name").alias("gas"), "molecular_weight")
+    single = _joined(_single(spark, sf))
+    known = single.withColumn("gas", F.lower("adsorbates_name")).join(gases, "gas", "left")
+    return units.in_pa_and_mol_per_kg(known, units.factor_table(spark), "molecular_weight")
+
+
+def measurements_in_si(spark, sf):
+    """Single-gas measurements in Pa and mol/kg; null where no path of factors leads there, or it takes a molar mass that isn't known."""
+    return _in_si(spark, sf).select("filename", "point_idx", F.round("pressure_pa", 3).alias("pressure_pa"), F.round("uptake_mol_kg", 6).alias("uptake_mol_kg"))
+
+
+def conversion_report(spark, sf):
+    return units.conversion_report(_in_si(spark, sf))
+
+
+def measurement_properties(spark, sf):
+    """Properties of the gas beside each measurement, by tables bucketed by gas; gases with over 500 rows are dealt to several shares."""
+    names, paths = tuple(f"isospark_{x}_{uuid.uuid4().hex}" for x in ("measurements", "gases")), (new_path(spark), new_path(spark))
+    enriched.lay_out(_joined(_single(spark, sf)), adapter.gas_properties(spark, sf), "adsorbates_name", names, paths, buckets=8, share=500)
+    return enriched.with_properties(spark, names).select("filename", "point_idx", "adsorbates_name", "molecular_weight", "molecular_formula")
+
+
+def grouped_round_trip(spark, sf):
+    """Measurements grouped by experiment in a bucketed table, and flat again."""
+    single = stage(_joined(_single(spark, sf)))
+    table_name = f"isospark_grouped_{uuid.uuid4().hex}"
+    chunks.write_grouped(chunks.grouped_runs(single, run=2), table_name, new_path(spark), buckets=8)
+    return chunks.flat_runs(spark.table(table_name), single.columns)
+
+
+def csv_parts_round_trip(spark, sf):
+    """The CSV round trip by files that are read in parts, with line ends in each second experiment's material name."""
+    path = new_path(spark)
+    named = _single(spark, sf).withColumn("adsorbent_name", F.when(F.col("point_idx") % 2 == 0, F.concat("adsorbent_name", F.lit('\n;"x"\n'))).otherwise(F.col("adsorbent_name")))
+    sinks.write_dataset(named, path, "csv")
+    return _joined(ingest.read_dataset_csv(spark, path, SINGLE, in_parts=True)).select("filename", "point_idx", "adsorbent_name", "pressure", "adsorbed_amount")
+
+
+def responses_latest(spark, sf):
+    """Of the events of a user as tries of one response, the last valid one."""
+    found = ingest.latest_valid(adapter.responses(spark, sf), "k STRING")
+    return found.select("key", "doc.k", "ordinal")
+
+
+def dbscan_many_columns(spark, sf):
+    """Clusters of users by five numbers."""
+    cols = ["n", "mean", "low", "high", "kinds"]
+    scaled = stage(cluster.standardize(adapter.wide_user_features(spark, sf), cols))
+    return cluster.dbscan(scaled, "user_id", cols, 1.1, 4).select("user_id", "cluster")
+
+
 _FUNCTIONS = (
     single_component, binary_mixture, guest_cardinality, species_ids, index_head_fraction, detail_urls, responses_parsed, responses_rejected, host_names, guest_names,
     guest_properties, csv_round_trip, binary_round_trip, guest_properties_round_trip, host_round_trip, guest_host_index, measurement_profile, null_counts, distinct_units, unit_report, valid_units, invalid_measurements, class_distribution_events,
     class_distribution_langs, box_stats, scatter_frame, scatter_bins, standardize, dbscan_labels, dbscan_summary, cluster_shares, cluster_rows, description_prompts,
+    index_array, chunked_collection, chunk_profiles, measurements_in_si, conversion_report, measurement_properties, grouped_round_trip, csv_parts_round_trip, responses_latest, dbscan_many_columns,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -216,6 +301,26 @@ def _dbscan(eps: float, least: int) -> str:
     labels AS (SELECT user_id, coalesce((SELECT min(k) FROM near JOIN numbered ON numbered.a = near.b WHERE near.a = user_id), -1)::INT AS cluster FROM z)"""
 
 
+_GASES = """masses AS (SELECT 'gas ' || x AS gas, first(p_retailprice ORDER BY p_partkey) AS mass, first(p_brand ORDER BY p_partkey) AS formula
+        FROM (SELECT *, substr('anxy', (p_partkey % 4 + 1)::INT, 1) AS x FROM part) GROUP BY x)"""
+_SI = f"""{_SINGLE}, {_GASES}, si AS (SELECT single.*, pressure::DOUBLE * CASE "pressureUnits" WHEN 'bar' THEN 1e5 WHEN 'Pa' THEN 1 END AS pressure_pa, adsorbed_amount::DOUBLE *
+        CASE WHEN "adsorptionUnits" IN ('mmol/g', 'mol/kg') THEN 1.0 WHEN "adsorptionUnits" = 'mol/g' THEN 1000.0 WHEN "adsorptionUnits" = 'mmol/kg' THEN 0.001 WHEN "adsorptionUnits" IN ('cm3(STP)/g', 'ml(STP)/g') THEN 1 / 22.414::DOUBLE
+             WHEN "adsorptionUnits" = 'mg/g' THEN 1 / mass WHEN "adsorptionUnits" = 'g/g' THEN 1000 / mass WHEN "adsorptionUnits" IN ('wt%', 'g/100g', 'g Adsorbate / 100g Adsorbent') THEN 10 / mass END AS uptake_mol_kg
+        FROM single LEFT JOIN masses ON gas = lower(adsorbates_name))"""
+
+
+def _clusters(features: str, columns: str, eps: float, least: int) -> str:
+    """DBSCAN of `features` (user_id and columns), standardized."""
+    names = columns.split()
+    scaled = ", ".join(f"({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_pop({c}) FROM f) AS {c}" for c in names)
+    apart = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in names)
+    return f"""WITH RECURSIVE f AS ({features}), z AS (SELECT user_id, {scaled} FROM f), near AS (SELECT a.user_id AS a, b.user_id AS b FROM z a, z b WHERE {apart} <= {eps}::DOUBLE ** 2),
+    core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= {least}), linked AS (SELECT near.a, near.b FROM near JOIN core c ON c.a = near.a JOIN core d ON d.a = near.b),
+    reach AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY 1),
+    numbered AS (SELECT a, dense_rank() OVER (ORDER BY root) - 1 AS k FROM roots)
+    SELECT user_id, coalesce((SELECT min(k) FROM near JOIN numbered ON numbered.a = near.b WHERE near.a = user_id), -1)::INT AS cluster FROM z"""
+
+
 def _box(name: str, source: str) -> str:
     return f"""SELECT '{name}' AS "column", q1, median, q3, min(v) FILTER (ok) AS whisker_low, max(v) FILTER (ok) AS whisker_high, count(*) FILTER (NOT ok) AS outliers
     FROM (SELECT {name} AS v, q[1] AS q1, q[2] AS median, q[3] AS q3, {name} BETWEEN q[1] - 1.5 * (q[3] - q[1]) AND q[3] + 1.5 * (q[3] - q[1]) AS ok
@@ -278,4 +383,17 @@ SQL = {
     "cluster_shares": f"WITH RECURSIVE {_dbscan(0.4, 4)} SELECT cluster, count(*) AS rows, round(count(*)::DOUBLE / (SELECT count(*) FROM labels), 6) AS share FROM labels GROUP BY 1",
     "cluster_rows": f"WITH RECURSIVE {_dbscan(0.4, 4)} SELECT user_id, cluster FROM labels WHERE cluster = 0",
     "description_prompts": "SELECT DISTINCT p_name AS name, 'Provide a brief description of ' || p_name || '.' AS prompt FROM part",
+    "index_array": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ordinal, 'nation-' || n_nationkey AS filename, n_name FROM nation",
+    "chunked_collection": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders), landed AS (SELECT ordinal // 1000 AS chunk, ordinal, CASE WHEN ordinal // 1000 = 1 THEN 2 ELSE 1 END AS run FROM o
+        WHERE ordinal // 1000 <> 1 OR o_orderkey % 2 = 0) SELECT chunk, run, count(*) AS entries, min(ordinal) AS first, max(ordinal) AS last FROM landed WHERE chunk <= 4 GROUP BY chunk, run""",
+    "chunk_profiles": f"""WITH {_SINGLE}, c AS (SELECT count(*) AS n, count(DISTINCT filename) AS e, count(DISTINCT "adsorptionUnits") AS u, count(*) FILTER (pressure < 0) AS a, count(*) FILTER (adsorbed_amount < 0) AS b, count(*) FILTER (temperature <= 0) AS t FROM single)
+        SELECT n AS measurements, e AS experiments, u AS units, true AS experiments_near, true AS units_near, a AS neg_pressure, round(100.0::DOUBLE * a / nullif(n, 0), 2) AS neg_pressure_pct,
+        b AS neg_uptake, round(100.0::DOUBLE * b / nullif(n, 0), 2) AS neg_uptake_pct, t AS bad_temperature, round(100.0::DOUBLE * t / nullif(n, 0), 2) AS bad_temperature_pct FROM c""",
+    "measurements_in_si": f"WITH {_SI} SELECT filename, point_idx, round(pressure_pa, 3) AS pressure_pa, round(uptake_mol_kg, 6) AS uptake_mol_kg FROM si",
+    "conversion_report": f"""WITH {_SI} SELECT "pressureUnits", "adsorptionUnits", count(*) AS measurements, count(*) FILTER (pressure_pa IS NULL) AS without_pressure, count(*) FILTER (uptake_mol_kg IS NULL) AS without_uptake FROM si GROUP BY ALL""",
+    "measurement_properties": f"WITH {_SINGLE}, {_GASES} SELECT filename, point_idx, adsorbates_name, mass AS molecular_weight, formula AS molecular_formula FROM single LEFT JOIN masses ON gas = lower(adsorbates_name)",
+    "grouped_round_trip": f"WITH {_SINGLE} SELECT * FROM single",
+    "csv_parts_round_trip": f"""WITH {_SINGLE} SELECT filename, point_idx, CASE WHEN point_idx % 2 = 0 THEN adsorbent_name || chr(10) || ';"x"' || chr(10) ELSE adsorbent_name END AS adsorbent_name, pressure, adsorbed_amount FROM single""",
+    "responses_latest": f"""WITH {_RESPONSES} SELECT user_id::VARCHAR AS key, arg_max(json_extract_string(body, '$.k'), ordinal) AS k, max(ordinal) AS ordinal FROM r JOIN events ON event_id = ordinal WHERE {_JSON} AND json_valid(body) GROUP BY 1""",
+    "dbscan_many_columns": _clusters("SELECT user_id, count(*)::DOUBLE AS n, avg(value) AS mean, min(value) AS low, max(value) AS high, count(DISTINCT event_type)::DOUBLE AS kinds FROM events GROUP BY 1", "n mean low high kinds", 1.1, 4),
 }
