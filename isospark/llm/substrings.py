@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from isospark.llm.common import let_go, map_slices, raw_texts, stage
 
 WINDOW = 50
+#: Rows and MB of texts that a task handles at a time: each word has hashes of its own for that while.
+SLICE = (128, 4)
 #: A perfect difference set: each remainder modulo 31 but 0 is the difference of just one pair.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
@@ -47,7 +49,7 @@ def words_table(rows: DataFrame, window: int) -> DataFrame:
                 sha.append(hashlib.sha256(clean).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["id", "key", "whole", "n_words", "sha"])
 
-    return map_slices(rows, run, f"id {_kind(rows)}, key long, whole binary, n_words long, sha string")
+    return map_slices(rows, run, f"id {_kind(rows)}, key long, whole binary, n_words long, sha string", *SLICE)
 
 
 def _kind(rows: DataFrame) -> str:
@@ -75,7 +77,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
             at = pa.array(np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), batch.column(0).take(where), at], names=["anchor", "id", "at"])
 
-    return map_slices(docs, run, f"anchor long, id {_kind(docs)}, at int")
+    return map_slices(docs, run, f"anchor long, id {_kind(docs)}, at int", *SLICE)
 
 
 def windows(found: DataFrame, window: int) -> DataFrame:
@@ -106,7 +108,7 @@ def windows(found: DataFrame, window: int) -> DataFrame:
             at = pa.array(np.concatenate(places).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), batch.column(0).take(where), batch.column(1).take(where), at], names=["w1", "w2", "id", "key", "at"])
 
-    return map_slices(found, run, f"w1 long, w2 long, id {_kind(found)}, key long, at int")
+    return map_slices(found, run, f"w1 long, w2 long, id {_kind(found)}, key long, at int", *SLICE)
 
 
 def trimmed(found: DataFrame, window: int) -> DataFrame:
@@ -127,7 +129,7 @@ def trimmed(found: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "key", "n_removed", "kept"])
 
-    return map_slices(found, run, f"id {_kind(found)}, key long, n_removed long, kept string")
+    return map_slices(found, run, f"id {_kind(found)}, key long, n_removed long, kept string", *SLICE)
 
 
 def _owners(rows: DataFrame, keys: list[str]) -> DataFrame:
