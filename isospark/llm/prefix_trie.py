@@ -24,7 +24,7 @@ from isospark.llm.groups import runs
 from isospark.llm.shingles import mixed
 
 #: Turns of a band; turns of a shard, about; ids that are one block of text before they are hashed.
-BAND, SHARD, BLOCK = 4096, 4096, 4096
+BAND, SHARD, BLOCK = 4096, 512, 4096
 #: The rebuilt beginnings: turns of which conversation, and how many at most, less one.
 GROUP, HEADS = 20, 4
 _WORD = r"[^\x20\x09-\x0D]+"
