@@ -72,21 +72,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BitPlanes:
-    """Fingerprints (n x words of 64 bits) stored vertically, compared 64 at a time."""
+    """Fingerprints (n x words of 64 bits) stored vertically, compared 64 at a time; `at` gives each one's lane, by default its number."""
 
-    def __init__(self, fps: np.ndarray):
+    def __init__(self, fps: np.ndarray, at: np.ndarray | None = None):
         self.n, self.bits = len(fps), 64 * fps.shape[1]
-        words = -(-self.n // 64)
-        bits = np.zeros((words * 64, self.bits), np.uint8)
-        bits[: self.n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, self.bits // 8), axis=1, bitorder="little")
+        at = np.arange(self.n) if at is None else at
+        words = (int(at.max(initial=-1)) >> 6) + 1
+        bits, used = np.zeros((words * 64, self.bits), np.uint8), np.zeros(words * 64, np.uint8)
+        bits[at], used[at] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, self.bits // 8), axis=1, bitorder="little"), 1
         lanes = np.packbits(bits.reshape(words, 64, self.bits).transpose(2, 0, 1), axis=2, bitorder="little")
         self.planes = np.ascontiguousarray(lanes).view(np.uint64).reshape(self.bits, words)
-        self.valid = np.full(words, ~np.uint64(0))
-        if self.n % 64:
-            self.valid[-1] = (_ONE << np.uint64(self.n % 64)) - _ONE
+        self.valid = np.packbits(used, bitorder="little").view(np.uint64)
 
     def within(self, queries: np.ndarray, limits: dict[int, int], own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index of query, index of fingerprint) whose distance over the first p planes is at most r for each p: r of `limits`.
+        """Pairs (index of query, lane of fingerprint) whose distance over the first p planes is at most r for each p: r of `limits`.
 
         With `own`, the queries are the fingerprints from there on, and only later ones are their partners.
         """
@@ -95,8 +94,12 @@ class BitPlanes:
         if own is not None:
             later = word >= (query + own + 1) >> 6
             query, word = query[later], word[later]
+        q, f = self.compared(queries, query, word, ~self.valid[word], limits)
+        return (q, f) if own is None else (q[f > q + own], f[f > q + own])
+
+    def compared(self, queries: np.ndarray, query: np.ndarray, word: np.ndarray, over: np.ndarray, limits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """As `within`, of the given pairs of a query and a word of 64 lanes; lanes that are set in `over` are none."""
         counters = np.zeros((max(limits.values()).bit_length(), len(query)), np.uint64)
-        over = ~self.valid[word]
         for p in range(self.bits):
             carry = self.planes[p][word] ^ (np.uint64(0) - ((queries[query, p >> 6] >> np.uint64(p & 63)) & _ONE))
             used = (p + 1).bit_length()  # no count is over p + 1
@@ -113,8 +116,7 @@ class BitPlanes:
                     break
         lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, lane = np.nonzero(lanes)
-        q, f = query[row], word[row] * 64 + lane
-        return (q, f) if own is None else (q[f > q + own], f[f > q + own])
+        return query[row], word[row] * 64 + lane
 
     @staticmethod
     def _above(counters: np.ndarray, radius: int) -> np.ndarray:
@@ -141,6 +143,24 @@ def exact_limits(radius: int = RADIUS, bits: int = BITS) -> dict[int, int]:
     return dict.fromkeys(range(4, bits + 1, 4), radius)
 
 
+def bucket_pairs(fps: np.ndarray, cuts: list[tuple[int, int]], limits: dict[int, int], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within `limits` in each of many small buckets, rows of `fps` from cut to cut, 64 at most: each bucket is one word of lanes, so all go through the planes together."""
+    step = max(1, most // 8)
+    for s in range(0, len(cuts), step):
+        some = cuts[s : s + step]
+        sizes = np.array([b - a for a, b in some])
+        rows = np.concatenate([np.arange(a, b) for a, b in some])
+        word = np.repeat(np.arange(len(some)), sizes)
+        lane = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        planes = BitPlanes(fps[rows], word * 64 + lane)
+        # only later lanes of the bucket are partners
+        before = np.where(lane < 63, (_ONE << np.minimum(lane + 1, 63).astype(np.uint64)) - _ONE, ~np.uint64(0))
+        q, f = planes.compared(fps[rows], np.arange(len(rows)), word, ~planes.valid[word] | before, limits)
+        of_lane = np.full(len(some) * 64, -1)
+        of_lane[word * 64 + lane] = rows
+        yield rows[q], of_lane[f]
+
+
 def spanning_links(left: np.ndarray, right: np.ndarray | None, limits: dict[int, int]) -> list[tuple[int, int]]:
     """Links that connect what is within `limits`: of `left` alone, or from `left` to `right`, as indices of both one after the other.
 
@@ -217,7 +237,12 @@ def bucket_links(keyed: DataFrame, nodes: DataFrame, words: int, limits: dict[in
             side, node, low, high = (rows[c].to_numpy() for c in ("side", "node", "low", "high"))
             fps = rows["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(node), words)
             found: list[tuple[int, int]] = []
-            for start, end in cuts:
+            small = [(a, b) for a, b in cuts if 1 < b - a <= 64 and low[a] == high[a]]
+            forest = Forest(len(node))
+            for i, j in (pair for some in bucket_pairs(fps, small, limits) for pair in zip(*map(np.ndarray.tolist, some), strict=True)):
+                if forest.join(i, j):
+                    found.append((i, j))
+            for start, end in set(cuts).difference(small):
                 at = np.arange(start, end)
                 if low[start] == high[start]:
                     left, right = at, at[:0]
@@ -293,6 +318,10 @@ def near_texts(texts: DataFrame, threshold: float = LIKENESS, size: int = SHINGL
 
     def candidates(marks: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         other = left if right is None else right
+        if len(left) * len(other) <= 64:  # few pairs are verified as they are
+            i, j = np.nonzero(np.triu(np.ones((len(left), len(left)), bool), 1) if right is None else np.ones((len(left), len(other)), bool))
+            yield left[i], other[j]
+            return
         for q, f in BitPlanes(marks[other]).pairs(marks[left], limits, right is None):
             yield left[q], other[f]
 
