@@ -249,7 +249,7 @@ def grouped_round_trip(spark, sf):
 def csv_parts_round_trip(spark, sf):
     """The CSV round trip by files that are read in parts, with line ends in each second experiment's material name."""
     path = new_path(spark)
-    named = _single(spark, sf).withColumn("adsorbent_name", F.when(F.col("point_idx") % 2 == 0, F.concat("adsorbent_name", F.lit('\n;"x"\n'))).otherwise(F.col("adsorbent_name")))
+    named = _single(spark, sf).withColumn("adsorbent_name", F.when(F.col("point_idx") % 2 == 0, F.concat("adsorbent_name", F.lit('\n;"x"'))).otherwise(F.col("adsorbent_name")))
     sinks.write_dataset(named, path, "csv")
     return _joined(ingest.read_dataset_csv(spark, path, SINGLE, in_parts=True)).select("filename", "point_idx", "adsorbent_name", "pressure", "adsorbed_amount")
 
@@ -312,7 +312,7 @@ _SI = f"""{_SINGLE}, {_GASES}, si AS (SELECT single.*, pressure::DOUBLE * CASE "
 def _clusters(features: str, columns: str, eps: float, least: int) -> str:
     """DBSCAN of `features` (user_id and columns), standardized."""
     names = columns.split()
-    scaled = ", ".join(f"({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_pop({c}) FROM f) AS {c}" for c in names)
+    scaled = ", ".join(f"({c} - (SELECT avg({c}) FROM f)) / (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) FROM f) AS {c}" for c in names)
     apart = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in names)
     return f"""WITH RECURSIVE f AS ({features}), z AS (SELECT user_id, {scaled} FROM f), near AS (SELECT a.user_id AS a, b.user_id AS b FROM z a, z b WHERE {apart} <= {eps}::DOUBLE ** 2),
     core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= {least}), linked AS (SELECT near.a, near.b FROM near JOIN core c ON c.a = near.a JOIN core d ON d.a = near.b),
@@ -393,7 +393,7 @@ SQL = {
     "conversion_report": f"""WITH {_SI} SELECT "pressureUnits", "adsorptionUnits", count(*) AS measurements, count(*) FILTER (pressure_pa IS NULL) AS without_pressure, count(*) FILTER (uptake_mol_kg IS NULL) AS without_uptake FROM si GROUP BY ALL""",
     "measurement_properties": f"WITH {_SINGLE}, {_GASES} SELECT filename, point_idx, adsorbates_name, mass AS molecular_weight, formula AS molecular_formula FROM single LEFT JOIN masses ON gas = lower(adsorbates_name)",
     "grouped_round_trip": f"WITH {_SINGLE} SELECT * FROM single",
-    "csv_parts_round_trip": f"""WITH {_SINGLE} SELECT filename, point_idx, CASE WHEN point_idx % 2 = 0 THEN adsorbent_name || chr(10) || ';"x"' || chr(10) ELSE adsorbent_name END AS adsorbent_name, pressure, adsorbed_amount FROM single""",
+    "csv_parts_round_trip": f"""WITH {_SINGLE} SELECT filename, point_idx, CASE WHEN point_idx % 2 = 0 THEN adsorbent_name || chr(10) || ';"x"' ELSE adsorbent_name END AS adsorbent_name, pressure, adsorbed_amount FROM single""",
     "responses_latest": f"""WITH {_RESPONSES} SELECT user_id::VARCHAR AS key, arg_max(json_extract_string(body, '$.k'), ordinal) AS k, max(ordinal) AS ordinal FROM r JOIN events ON event_id = ordinal WHERE {_JSON} AND json_valid(body) GROUP BY 1""",
     "dbscan_many_columns": _clusters("SELECT user_id, count(*)::DOUBLE AS n, avg(value) AS mean, min(value) AS low, max(value) AS high, count(DISTINCT event_type)::DOUBLE AS kinds FROM events GROUP BY 1", "n mean low high kinds", 1.1, 4),
 }
