@@ -26,7 +26,7 @@ def test_dense_cells_are_linked_as_their_points_are(spark, dims, eps):
     points = np.concatenate([m + rng.normal(0, eps / 6, (60, dims)) for m in middles] + [rng.uniform(0, 6, (60, dims))]).round(4)
     df, cols = frame(spark, points.tolist())
     want = plain_dbscan(list(enumerate(map(tuple, points.tolist()))), eps, 6)
-    for dense in (True, False):
+    for dense in (True, False) if dims == 2 else (True,):
         assert [r.cluster for r in cluster.dbscan(df, "id", cols, eps, 6, dense).orderBy("id").collect()] == want
 
 
@@ -76,7 +76,7 @@ def test_many_columns_are_brute_force(spark, monkeypatch, dims, eps, least):
     want = plain_dbscan(list(enumerate(map(tuple, points.tolist()))), eps, least)
     assert len(set(want)) > 3
     more = df.unionByName(spark.createDataFrame([(9000, None, *[1.0] * (dims - 1)), (9001, float("nan"), *[1.0] * (dims - 1))], df.schema))
-    for most, sample in ((2048, 16_384), (40, 200), (25, 1)):
+    for most, sample in ((2048, 16_384), (40, 200), (25, 1)) if dims == 8 else ((30, 100),):
         monkeypatch.setattr(neighbours.leaves, "__defaults__", (most, sample))
         got = cluster.dbscan(more, "id", cols, eps, least).orderBy("id").collect()
         assert [r.cluster for r in got if r.id < 9000] == want
