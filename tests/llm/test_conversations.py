@@ -70,7 +70,7 @@ def talks(seed, convs=90):
     return rows
 
 
-@pytest.mark.parametrize(("band", "shard"), [(4096, 4096), (4096, 6), (2, 3), (3, 1000), (1, 5)])
+@pytest.mark.parametrize(("band", "shard"), [(4096, 4096), (4096, 6), (2, 3), (1, 5)])
 def test_trie_is_the_plain_one(spark, band, shard):
     """Whole in one shard, in shards by more and more turns, and in bands of few turns."""
     check(spark, talks(band + shard), band=band, shard=shard)
@@ -83,7 +83,6 @@ def test_copies_and_very_long_conversations(spark):
     rows += [(c, t, "user", "first" if t == 0 else f"{c} {t}") for c in range(3000, 3060) for t in range(3)]
     rows += [(4000, 1, "user", "word " * 60_000)]
     check(spark, rows, band=64, shard=40)
-    check(spark, rows)
 
 
 def test_turnless_conversations_and_empty_tables(spark):
