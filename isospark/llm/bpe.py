@@ -210,7 +210,12 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id, ids, decoded) of each row of `docs`: `encode` and then `decode`, in one pass of one Python worker."""
+    """(id, ids, decoded) of each row of `docs`: `encode` and then `decode`, in one pass of one Python worker.
+
+    Null and empty texts have no ids and no bytes; null ids and repeated rows stay each for
+    itself; texts of any length are encoded whole; an empty table gives an empty one; other
+    columns are not read.
+    """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,9 @@
-"""The registered queries of the training-data operators, and their SQL where SQL can express them."""
+"""The registered queries of the training-data operators, and their SQL where SQL can express them.
+
+Each reads its whole tables with production parameters. What null and empty texts, null ids, rows
+that repeat, very long texts and empty tables give is said by the operator that a query calls;
+columns that an operator has no use for are not read.
+"""
 
 from __future__ import annotations
 

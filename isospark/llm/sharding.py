@@ -77,7 +77,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     Shards' row counts are at most one apart, also with repeated rows, null ids and null texts
     (no bytes). A row's place on the ring is that of its id and its text's checksum, so that an
     id that many rows share does not fill one cell. Text is read once, for its size and
-    checksum, and is never shuffled. An empty table gives an empty one.
+    checksum, and is never shuffled, whatever its length. An empty table gives an empty one;
+    other columns are not read.
     """
     cells = 1 << cell_bits
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

@@ -176,7 +176,12 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
 
 
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256) of each row of `docs`; see `removals`."""
+    """(id, n_words, n_removed, kept_sha256) of each row of `docs`; see `removals`.
+
+    Null and empty texts have no words; rows with a null id lose nothing; repeated rows stay
+    each for itself, as do rows of one id; texts of any length are read whole; an empty table
+    gives an empty one; other columns are not read.
+    """
     marked, lost = removals(docs, window, id_col, text_col)
     lost = lost.select("id", "key", "n_removed", F.sha2("kept", 256).alias("kept_sha")).dropDuplicates(["id", "key"])
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed")
@@ -185,7 +190,12 @@ def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the same rows and columns, the texts that lose words being the words left, joined by one space."""
+    """`docs` with the same rows and columns, the texts that lose words being the words left, joined by one space.
+
+    Other texts, null and empty ones too, stay as they are. Rows with a null id lose nothing.
+    Texts of any length are read whole; an empty table gives an empty one; other columns keep
+    their values, whatever their names.
+    """
     marked, lost = removals(docs, window, id_col, text_col)
     copies = marked.where("copy").select("id", "key", F.lit("").alias("kept"))
     new = lost.select("id", "key", "kept").unionByName(copies).dropDuplicates(["id", "key"])
