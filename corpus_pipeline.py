@@ -10,7 +10,12 @@ from isospark.llm.common import discard, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic; the model learns from `labels` of these documents."""
+    """Documents that are not predicted to be toxic; the model learns from `labels` of these documents.
+
+    Null and empty texts are judged by the model's bias alone. Without labelled documents each
+    score is 0.5, so none stays. Repeated rows and null ids are judged each for itself; texts of
+    any length are read whole; an empty table gives an empty one; other columns keep their values.
+    """
     score = toxicity.scorer(spark, *toxicity.train_on(docs, table(spark, sf_dir, "labels")))
     return docs.where(score("text") < toxicity.THRESHOLD)
 
@@ -46,12 +51,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 50 words and more that a smaller id has; n_chars follows the text."""
+    """All documents, without the passages of 50 words and more that a smaller id has; n_chars follows the text.
+
+    Null texts stay null, with a null n_chars. For all else see `substrings.without_repeats`.
+    """
     return substrings.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of at most 4096 tokens."""
+    """The pieces of the documents in sequences of at most 4096 tokens; see `packing.packed_documents` for nulls, empty and long texts, empty tables and other columns."""
     return packing.packed_documents(docs)
 
 
