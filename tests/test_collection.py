@@ -38,6 +38,34 @@ def test_chunks_are_replaced_alone_and_pruned(spark, tmp_path):
         chunks.with_chunk(index, 0)
 
 
+def test_landing_many_chunks_writes_few_files(spark, tmp_path):
+    """Files don't grow with chunks; chunks of several blocks, one without a number, and ones that are landed again come back once."""
+    path = str(tmp_path / "c")
+    index = chunks.with_chunk(spark.range(6_000).withColumnRenamed("id", "ordinal"), 2).withColumn("try", F.lit(1))
+    chunks.write_chunks(index.withColumn("chunk", F.when(F.col("chunk") != 7, F.col("chunk"))), path)
+    assert len(list((tmp_path / "c").rglob("*.parquet"))) <= 60
+    chunks.write_chunks(index.where("chunk in (1, 999, 1000) and ordinal % 2 = 0").withColumn("try", F.lit(2)), path)
+    want = {(i, i // 2 if i // 2 != 7 else None, 2 if i // 2 in (1, 999, 1000) else 1) for i in range(6_000) if i % 2 == 0 or i // 2 not in (1, 999, 1000)}
+    got = [(r.ordinal, r.chunk, r["try"]) for r in chunks.read_chunks(spark, path).collect()]
+    assert len(got) == len(want) and set(got) == want
+    some = chunks.read_chunks(spark, path, 999, 1000).collect()
+    assert sorted((r.ordinal, r.chunk, r["try"]) for r in some) == [(1998, 999, 2), (2000, 1000, 2)]
+
+
+def test_landings_that_failed_or_are_empty_replace_nothing(spark, tmp_path):
+    path = str(tmp_path / "c")
+    index = chunks.with_chunk(spark.range(20).withColumnRenamed("id", "ordinal"), 10)
+    chunks.write_chunks(index.limit(0), path)
+    assert (chunks.read_chunks(spark, path).columns, chunks.read_chunks(spark, path).count()) == (["ordinal", "chunk"], 0)
+    chunks.write_chunks(index, path)
+    broken = index.withColumn("ordinal", F.when(F.col("ordinal") < 15, F.col("ordinal")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        chunks.write_chunks(broken, path)
+    assert sorted(r.ordinal for r in chunks.read_chunks(spark, path).collect()) == list(range(20))
+    with pytest.raises(ValueError, match="landing"):
+        chunks.write_chunks(index.withColumn("Landing", F.lit(1)), path)
+
+
 def test_profiles_of_new_chunks_leave_old_ones_alone(spark):
     rows = [(f"e{i % 7000}", 1.0 if i % 9 else -1.0, 1.0, 300.0 if i % 5 else 0.0, f"u{i % 12}" if i % 4 else None, i // 5000) for i in range(20_000)]
     df = spark.createDataFrame(rows, "filename string, pressure double, adsorbed_amount double, temperature double, adsorptionUnits string, chunk long")
