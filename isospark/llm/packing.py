@@ -35,12 +35,15 @@ class WordIds:
 
     The tokenizer drops white space and looks at nothing across it, and parts letters from
     marks, so text is cut there and each chunk is encoded once. ASCII letters are lower-cased
-    first, as the tokenizer does, unless a capital one may compose with what follows it. Long chunks are cut before digits, of which each is a word of its own. Texts that may hold a
+    first, as the tokenizer does, unless a capital one may compose with what follows it. Chunks
+    that are one word each go to the library in rows. Long chunks are cut before digits, of which each is a word of its own. Texts that may hold a
     special string are encoded whole.
     """
 
-    #: Chunks kept, and how long they may be; bytes that the library is given at a time, and of a chunk that is cut.
-    KEEP, LONGEST, GIVEN, CUT = 600_000, 48, 1 << 20, 1 << 16
+    #: Chunks kept, and how long they may be; bytes that the library is given at a time, and of a chunk that is cut; words in a row.
+    KEEP, LONGEST, GIVEN, CUT, ROW = 600_000, 48, 1 << 20, 1 << 16, 256
+    #: Letters that neither compose nor come apart, nor do so as small ones: a chunk of them is one word.
+    WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,6 +51,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,27 +67,38 @@ class WordIds:
             start = end
         return b"".join(x for p in parts for x in self._library([p]))
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks that are one word each: of each word's tokens the last one, and no other, has the suffix of word ends."""
+        rows = [" ".join(words[i : i + self.ROW]) for i in range(0, len(words), self.ROW)]
+        data = b"".join(self._library(rows))
+        ends = 4 * (np.flatnonzero(self.last[np.frombuffer(data, np.int32)]) + 1)
+        if len(ends) != len(words):  # a vocabulary without such a suffix
+            return self._library(words)
+        cuts = [0, *ends.tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _all(self, chunks: list[str]) -> list[bytes]:
         """Ids of each of `chunks`, which differ, by the library for those that are not kept."""
         if len(self.known) > self.KEEP:
             self.known.clear()
-        known, part, size = self.known, [], 0
-        long = {c for c in chunks if c not in known and len(c) > self.LONGEST}
-        for c in chunks:
-            if c in known:
-                continue
-            if len(c) > self.CUT:
-                known[c] = self._long(c)
-                continue
-            part.append(c)
-            size += len(c) + 64
-            if size > self.GIVEN:
-                known.update(zip(part, self._library(part), strict=True))
-                part, size = [], 0
-        known.update(zip(part, self._library(part), strict=True))
-        out = list(map(known.__getitem__, chunks))
-        for c in long:
-            del known[c]
+        out = list(map(self.known.get, chunks))
+        words, others = [], []
+        for i in (i for i, ids in enumerate(out) if ids is None):
+            if len(chunks[i]) > self.CUT:
+                out[i] = self._long(chunks[i])
+            else:
+                (words if self.WORD.fullmatch(chunks[i]) else others).append(i)
+        for part, encode in ((words, self._words), (others, self._library)):
+            start = size = 0
+            for k, i in enumerate(part, 1):
+                size += len(chunks[i]) + 64
+                if size > self.GIVEN or k == len(part):
+                    given = [chunks[j] for j in part[start:k]]
+                    for j, c, ids in zip(part[start:k], given, encode(given), strict=True):
+                        out[j] = ids
+                        if len(c) <= self.LONGEST:
+                            self.known[c] = ids
+                    start, size = k, 0
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:

@@ -68,6 +68,26 @@ def test_decoding_goes_up_the_tree():
     assert TREE.decode(ids) == b"of many words, " * 50_000
 
 
+def test_new_words_go_to_the_library_in_rows():
+    """Also letters of Latin-1 in all pairs, words beside chunks that aren't one word, and a vocabulary without a suffix of word ends."""
+    letters = [chr(c) for c in range(0x41, 0x180) if chr(c).isalpha()]
+    texts = [" ".join(a + b for b in letters) for a in letters]
+    texts += ["don't İa ªb e\u0301a ﬁn 12 a1b --- ½ straße ÉA A\u0301 Ŀl 中文 " + "xy" * 40]
+    for rows in (True, False):
+        ids, given = packing.WordIds(vocabularies.path(packing.VOCABULARY)), []
+        ids.last &= rows
+        library = ids._library
+        ids._library = lambda part, f=library, n=given: (n.append(len(part)), f(part))[1]
+        want = [WORDS.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(i, np.int32).tolist() for i in ids.encode(pa.array(texts))] == want
+        if rows:
+            small = str.maketrans({c: c.lower() for c in map(chr, range(0x41, 0x5B))})
+            chunks = {t.translate(small) for text in texts for t in text.split()}
+            words = {c for c in chunks if ids.WORD.fullmatch(c)}
+            assert len(words) > 4_000
+            assert sum(given) < len(chunks) - len(words) + len(words) / 50
+
+
 def test_long_texts_are_whole():
     """Several MB, with and without white space."""
     rnd = np.random.default_rng(1)
