@@ -161,6 +161,65 @@ def test_all_lists_are_exact(spark):
     assert found >= 0.995 * 20 * len(rows)
 
 
+def sent(spark):
+    """Rows that this session's stages have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_a_query_is_sent_once_to_a_shard_of_lists(spark, monkeypatch):
+    """With a row for each list it probes, a batch of queries outgrew its Python worker."""
+    monkeypatch.setattr(ann, "PER_LIST", 4)
+    v = vectors("random", 4000, np.random.default_rng(3))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    before = sent(spark)
+    rows = ann.search(frame, recall=1.0).collect()
+    assert len(rows) == 20 * 200
+    after = sent(spark)
+    assert max(n for key, n in after.items() if key not in before) <= 20_000  # some 10 shards: at most 2,000 queries sent, 4,000 candidates, 21 results for each; 200,000 pairs of query and list
+    want = brute(dict(enumerate(v)), 20, 20)
+    assert all(r["vec_id"] == want[r["query_id"]][r["rank"] - 1][1] for r in rows)
+
+
+@pytest.mark.parametrize("lists", [4, 40])
+def test_neighbours_with_ties_in_cut_lists(spark, monkeypatch, lists):
+    """Few different scores, copies, lists cut into several shards and tiles: all as brute force says."""
+    monkeypatch.setattr(ann, "PER_LIST", 900 // lists)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, (1500, 5))
+    v = {i: x for i, x in enumerate(v.astype(float)) if x.any()}
+    ids = rng.permutation(len(v)).tolist()
+    v = dict(zip(ids, v.values(), strict=True))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(frame, recall=1.0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (-r["score"], r["vec_id"])
+    assert {q: [own[i] for i in range(1, 21)] for q, own in got.items()} == brute(v, 20, 20)
+
+
+def test_shards_hold_each_list_once():
+    v = vectors("clustered", 3000, np.random.default_rng(5))
+    middles = ann.centres(v, 60)
+    counts = {**dict.fromkeys(range(58), 30), 3: 1000, 9: 400}
+    shards = ann.shards_of(counts, middles, 200)
+    assert {x: n for x, _, n in shards} == {**dict.fromkeys(range(58), 1), 3: 5, 9: 2}
+    at = np.array([(first + i, x) for x, first, n in shards for i in range(n)])
+    assert sorted(set(at[:, 0].tolist())) == list(range(at[-1, 0] + 1)) and (np.diff(at[:, 0]) >= 0).all()
+    sizes = Counter()
+    for x, first, n in shards:
+        sizes.update({first + i: counts[x] / n for i in range(n)})
+    assert max(sizes.values()) <= 200
+    starts = np.flatnonzero(np.diff(at[:, 0], prepend=-1))
+    for probes in (8, 60):
+        least, first, later = ann.asked_shards(v[:50], middles, probes, at[:, 1], starts)
+        for q, edge, a, b in zip(v[:50], least, first, later, strict=True):
+            near = np.argsort(-(middles[:58] @ q))[:probes]
+            assert sorted([*a, *b]) == sorted(set(at[np.isin(at[:, 1], near), 0].tolist()))
+            assert len(a) == math.ceil(math.sqrt(len(a) + len(b))) and (middles[near] @ q >= edge - 1e-9).all()
+
+
 def test_neighbours_edges(spark):
     v = [1.0, 2.0, 0.5]
     data = [(i, v) for i in range(60)] + [(60, [1.0, 2.0, 0.4]), (61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 1.0]), (64, [1.0, float("nan"), 1.0]), (65, [float("inf"), 1.0, 1.0]), (66, [1.0]), (67, []), (None, v), (40, v), (41, [0.1, 0.1, 0.1])]
