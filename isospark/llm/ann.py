@@ -23,8 +23,8 @@ from isospark.llm.common import discard, let_go, slices, stage
 SAMPLE, PER_CENTRE, MOST_LISTS, PER_LIST = 65_536, 16, 4096, 400
 #: Share of the sample's own nearest neighbours that the probed lists must hold, queries of the sample that tell, and lists probed at least.
 RECALL, TRIED, PROBE_LEAST = 0.97, 256, 8
-#: Candidates of a shard at most and, where there are few, at least; its numbers at most.
-BLOCK, BLOCK_LEAST, BLOCK_NUMBERS = 32_768, 512, 1 << 22
+#: Candidates of a shard at most and, where there are few, at least; its numbers at most; about how many shards there are as long as they aren't full.
+BLOCK, BLOCK_LEAST, BLOCK_NUMBERS, SHARDS = 32_768, 512, 1 << 22, 80
 #: Queries and candidates that are held against each other at a time, and numbers that a step of this holds at most.
 QUERIES, TILE, NUMBERS = 1024, 1024, 1 << 21
 #: Columns a step reads, and the test's width: a larger one abandons fewer candidates by mistake. Reading a pair by itself takes about as long as DENSE pairs together.
@@ -281,7 +281,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     placed = stage(distinct.select("v", "ids").mapInArrow(place, f"list int, v {vector}, ids array<long>"))
     discard(distinct)
     counts = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
-    fill = max(1, min(BLOCK, BLOCK_NUMBERS // size, max(BLOCK_LEAST, total // (2 * parts))))
+    fill = max(1, min(BLOCK, BLOCK_NUMBERS // size, max(BLOCK_LEAST, total // min(2 * parts, SHARDS))))
     shards = shards_of(counts, middles, fill)
     at = np.array([(first + i, x) for x, first, n in shards for i in range(n)], int).reshape(-1, 2)
     lists_of = spark.sparkContext.broadcast((at[:, 1], np.flatnonzero(np.diff(at[:, 0], prepend=-1))))
